@@ -24,6 +24,7 @@ def get_spark(app: str = "auditlake", master: str = "local[*]", **conf: str) ->
         "spark.sql.adaptive.enabled": "true",
         "spark.sql.adaptive.skewJoin.enabled": "true",
         "spark.ui.enabled": "false",
+        "spark.ui.showConsoleProgress": "false",
     }
     for k, v in (base | conf).items():
         b = b.config(k, v)
