@@ -9,8 +9,9 @@ the structural profiles are learned from runs of the corpus whose kind is certai
 from __future__ import annotations
 
 import re
-from collections import defaultdict
+from collections import Counter, defaultdict
 from collections.abc import Iterator
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -30,6 +31,7 @@ FUNCTION_WORDS = {
     "ru": "и в на с не что по к за из у от для это как но о так же он она они мы вы был была было уже или до при без".split(),
 }
 _SETS = {k: frozenset(v) for k, v in FUNCTION_WORDS.items()}
+_LANGUAGES = {w: tuple(k for k in _SETS if w in _SETS[k]) for v in _SETS.values() for w in v}
 
 STRUCTURES = ("list", "table", "log", "code", "symbols", "encoded", "numbers", "keywords")
 #: Words a sentence or an item needs to count as a full one.
@@ -43,10 +45,9 @@ _STAMP = re.compile(r"^\s*\[?(?:\d{4}-\d\d-\d\d|\d{1,2}[/.]\w{2,3}[/.]\d{2,4}|\w
 _COLUMNS = re.compile(r"\S(?: {2,}|\t+)\S")
 _END = re.compile(r"[.!?…。！？][\"'”’»)\]]*\s*$")
 _UNIT = re.compile(r"(?<=[.!?…。！？])[\"'”’»)\]]*\s+|(?<=[。！？])")
-_WORDS = re.compile(r"[^\W\d_]+(?:[’'-][^\W\d_]+)*|\S")
-_TOKEN = re.compile(r"\S+")
 _LETTER = re.compile(r"[^\W\d_]")
 _SENTENCE_MARKS = frozenset(".,!?;:'\"()-–—’‘“”„«»…¿¡。、！？「」・")
+_MARKS = re.compile("[" + re.escape("".join(sorted(_SENTENCE_MARKS))) + "]")
 _CJK = re.compile(r"[\u3040-\u30ff\u3400-\u9fff\uac00-\ud7af\u0e00-\u0e7f]")
 
 
@@ -91,66 +92,85 @@ def language(words: list[str]) -> tuple[str, float]:
     """Language whose function words cover most of the words, and that share."""
     if not words:
         return "en", 0.0
-    best = max(_SETS, key=lambda k: sum(w in _SETS[k] for w in words))
-    return best, sum(w in _SETS[best] for w in words) / len(words)
+    votes: dict[str, int] = {}
+    for w, n in Counter(words).items():
+        for k in _LANGUAGES.get(w, ()):
+            votes[k] = votes.get(k, 0) + n
+    best = max(_SETS, key=lambda k: votes.get(k, 0))
+    return best, votes.get(best, 0) / len(words)
+
+
+@lru_cache(maxsize=200_000)
+def _token(raw: str) -> tuple[int, int, tuple[str, ...], bool]:
+    """(class apart from function words, weight, lower-case parts, has a letter) of one token.
+
+    Classes: 1 lower-case word, 2 word with a capital, 3 number, 4 mixed, 5 signs, 6 punctuation.
+    """
+    core = raw.strip("".join(_SENTENCE_MARKS))
+    if not core:
+        return 6, 1, (), False
+    letter = bool(_LETTER.search(core))
+    if _CJK.search(core):
+        return 1, max(1, len(core) // 4), (), letter
+    parts = tuple(p for p in re.split(r"[’'-]", core.lower()) if p)
+    if core.replace("-", "").replace("’", "").replace("'", "").isalpha():
+        return (2 if core[0].isupper() else 1), 1, parts, letter
+    if core.replace(".", "").replace(",", "").replace("%", "").isdigit():
+        return 3, 1, (), letter
+    return (4 if letter else 5), 1, (), letter
 
 
 def describe(lines: list[str], shape: str) -> tuple[np.ndarray, str, float, list[int]]:
     """Three distributions of a run, its language, its share of function words, words per unit."""
     if shape == "mark":
         lines = [_MARK.sub("", x) for x in lines]
-    text = " ".join(x.strip() for x in lines)
-    units = [u for x in lines for u in _UNIT.split(x)] if shape != "plain" else _UNIT.split(text)
-    sizes = []
-    for u in units:
-        if u and u.strip():
-            k = len(_CJK.findall(u))
-            sizes.append(k // 2 if k > 4 else sum(bool(_LETTER.search(t)) for t in _TOKEN.findall(u)))
-    tokens = _WORDS.findall(text)
-    words = [t.lower() for t in tokens if _LETTER.match(t)]
-    split = [p for w in words for p in re.split(r"[’']", w)]
-    lang, share = language(split)
+    text = " ".join(lines)
+    cjk = not text.isascii() and _CJK.search(text) is not None
+    sizes, tokens = [], []
+    for u in (u for x in lines for u in _UNIT.split(x)) if shape != "plain" else _UNIT.split(text):
+        found = [_token(t) for t in u.split()] if u else ()
+        if found:
+            tokens += found
+            k = len(_CJK.findall(u)) if cjk else 0
+            sizes.append(k // 2 if k > 4 else sum(t[3] for t in found))
+    words = [p for t in tokens for p in t[2]]
+    lang, share = language(words)
     known = _SETS[lang]
-    upper = sum(t.isupper() and len(t) > 1 for t in tokens) > 0.7 * max(1, len(words))
-    cls = np.zeros(7)
-    for raw in _TOKEN.findall(text):
-        core = raw.strip("".join(_SENTENCE_MARKS))
-        low = core.lower()
-        if not core:
-            cls[6] += 1
-        elif low in known or any(p in known for p in re.split(r"[’']", low)):
+    upper = text.isupper()
+    cls = [0] * 7
+    for kind, weight, parts, _ in tokens:
+        if parts and any(p in known for p in parts):
             cls[0] += 1
-        elif _CJK.search(core):
-            cls[1] += max(1, len(core) // 4)
-        elif core.replace("-", "").replace("’", "").replace("'", "").isalpha():
-            cls[2 if core[0].isupper() and not upper else 1] += 1
-        elif core.replace(".", "").replace(",", "").replace("%", "").isdigit():
-            cls[3] += 1
-        elif _LETTER.search(core):
-            cls[4] += 1
         else:
-            cls[5] += 1
-    chars = np.zeros(5)
-    for c in text:
-        chars[0 if c.isalpha() else 1 if c.isdigit() else 2 if c.isspace() else 3 if c in _SENTENCE_MARKS else 4] += 1
+            cls[1 if kind == 2 and upper else kind] += weight
+    letters, digits, spaces = sum(map(str.isalpha, text)), sum(map(str.isdigit, text)), sum(map(str.isspace, text))
+    marks = len(_MARKS.findall(text))
+    chars = [letters, digits, spaces, marks, max(0, len(text) - letters - digits - spaces - marks)]
     full = sum(s for s in sizes if s >= FULL)
-    span = np.array([full, sum(sizes) - full], float)
-    parts = [v / v.sum() if v.sum() else np.full(len(v), 1 / len(v)) for v in (cls, chars, span)]
-    return np.concatenate(parts), lang, share, sizes
+    parts = [np.array(v, float) for v in (cls, chars, [full, sum(sizes) - full])]
+    return np.concatenate([v / v.sum() if v.sum() else np.full(len(v), 1 / len(v)) for v in parts]), lang, share, sizes
 
 
 CUTS = ((0, 7), (7, 12), (12, 14))
 
 
-def divergence(p: np.ndarray, q: np.ndarray) -> float:
-    """Sum of the Jensen-Shannon divergences (in bits) of the three distributions."""
-    out = 0.0
-    for a, b in CUTS:
-        x, y = p[a:b], q[a:b]
-        m = (x + y) / 2
-        with np.errstate(divide="ignore", invalid="ignore"):
-            out += 0.5 * float(np.nansum(x * np.log2(x / m)) + np.nansum(y * np.log2(y / m)))
-    return out
+def divergences(p: np.ndarray, many: np.ndarray) -> np.ndarray:
+    """Sum of the Jensen-Shannon divergences (in bits) of the three distributions, to each row of ``many``."""
+    m = (p + many) / 2
+    with np.errstate(divide="ignore", invalid="ignore"):
+        left = np.where(p > 0, p * np.log2(p / m), 0.0)
+        right = np.where(many > 0, many * np.log2(many / m), 0.0)
+    return 0.5 * (left + right).sum(axis=1)
+
+
+class Profiles:
+    """Profiles as one matrix, split into prose by language and structures."""
+
+    def __init__(self, known: dict[str, list[float]]):
+        self.names = sorted(known)
+        self.matrix = np.array([known[k] for k in self.names])
+        self.prose = {k[6:]: i for i, k in enumerate(self.names) if k.startswith("prose-")}
+        self.others = [i for i, k in enumerate(self.names) if not k.startswith("prose-")]
 
 
 def runs(text: str) -> list[tuple[str, list[str], int]]:
@@ -224,12 +244,16 @@ def train(docs: DataFrame, text: str = "text") -> dict[str, list[float]]:
     return {**FALLBACK, **found}
 
 
-def kind_of(profiles: dict[str, np.ndarray], shape: str, lines: list[str]) -> tuple[str, float, str, float]:
+def kind_of(profiles: Profiles, shape: str, lines: list[str]) -> tuple[str, float, str, float]:
     """Nearest profile of a run, its divergence, its language and that language's prose divergence."""
     vector, lang, share, sizes = describe(lines, shape)
-    prose = {k: divergence(vector, p) for k, p in profiles.items() if k == f"prose-{lang}" or (f"prose-{lang}" not in profiles and k.startswith("prose-"))}
-    best_prose, to_prose = min(prose.items(), key=lambda x: x[1])
-    near, d = min(((k, divergence(vector, p)) for k, p in profiles.items() if not k.startswith("prose-")), key=lambda x: x[1])
+    d_all = divergences(vector, profiles.matrix)
+    at = profiles.prose.get(lang)
+    if at is None:
+        at = min(profiles.prose.values(), key=lambda i: d_all[i])
+    best_prose, to_prose = profiles.names[at], float(d_all[at])
+    i = min(profiles.others, key=lambda i: d_all[i])
+    near, d = profiles.names[i], float(d_all[i])
     n = sum(sizes)
     if shape in ("mark", "pairs"):
         # Items are sentences if most of their words stand in full ones with function words.
@@ -249,7 +273,7 @@ def kind_of(profiles: dict[str, np.ndarray], shape: str, lines: list[str]) -> tu
 FIELDS = "n_words bigint, mean_word_length double, symbol_ratio double, punctuated_lines double, common_words double, language string, profile string, divergence double, outside_share double"
 
 
-def statistics(profiles: dict[str, np.ndarray], text: str | None) -> tuple:
+def statistics(profiles: Profiles, text: str | None) -> tuple:
     """Values of ``FIELDS``. Null and blank texts have no words, profile or share."""
     if not text or not text.strip():
         return (0, None, None, None, None, None, None, None, None)
@@ -266,7 +290,7 @@ def statistics(profiles: dict[str, np.ndarray], text: str | None) -> tuple:
     words = [w for w in re.findall(r"[^\W\d_]+", text)]
     lines = [x for x in text.splitlines() if x.strip()]
     letters = sum(map(len, words))
-    visible = sum(not c.isspace() for c in text)
+    visible = len(text) - sum(map(str.isspace, text))
     lang = max(lang_w, key=lambda k: (lang_w[k], k))
     outside = sum(n for k, n in weight.items() if not k.startswith("prose-")) / total
     profile = max(weight, key=lambda k: (weight[k], k))
@@ -286,7 +310,7 @@ def statistics(profiles: dict[str, np.ndarray], text: str | None) -> tuple:
 
 def _scored(profiles, found_only: bool):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known = {k: np.array(v) for k, v in profiles.value.items()}
+        known = Profiles(profiles.value)
         names = [f.split()[0] for f in FIELDS.split(", ")]
         types = [{"bigint": pa.int64(), "double": pa.float64(), "string": pa.string()}[f.split()[1]] for f in FIELDS.split(", ")]
         for b in batches:

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from auditlake.llm import encoding, terms
+from auditlake.llm import encoding, quality, terms
 from auditlake.sources.tables import table
 
 TERM_FIELDS = ["check_id", "severity", "category"]
@@ -32,7 +32,17 @@ def p3_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return p3_terms(spark, sf_dir).where(F.col("mark").isNotNull()).select("field", "term", "mark")
 
 
-QUERIES = {f.__name__: f for f in (p2_found, p2_restored, p3_found, p3_terms)}
+def p9_statistics(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Counts, ratios and the nearest profile of every document."""
+    return quality.text_statistics(table(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
+def p9_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(doc_id): texts that are mostly a list, a table or junk."""
+    return quality.text_statistics(table(spark, sf_dir, "documents").select("doc_id", "text"), found_only=True)
+
+
+QUERIES = {f.__name__: f for f in (p2_found, p2_restored, p3_found, p3_terms, p9_found, p9_statistics)}
 
 _TERMS = """WITH f AS (SELECT DISTINCT finding_id, report_id, check_id, severity, category FROM finding),
 u AS (SELECT finding_id, report_id, 'check_id' AS field, check_id AS v FROM f UNION ALL SELECT finding_id, report_id, 'severity', severity FROM f UNION ALL SELECT finding_id, report_id, 'category', category FROM f),
