@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from auditlake.llm import encoding, quality, terms
+from auditlake.llm import encoding, leaks, quality, terms
 from auditlake.sources.tables import table
 
 TERM_FIELDS = ["check_id", "severity", "category"]
@@ -32,6 +32,16 @@ def p3_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return p3_terms(spark, sf_dir).where(F.col("mark").isNotNull()).select("field", "term", "mark")
 
 
+def p7_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(doc_id, item_id): documents that hold part of a test item's passage word for word."""
+    return leaks.verbatim_leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "eval_item"))
+
+
+def p7_paraphrases(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Document passages that come near a test item, with word-order and answer checks."""
+    return leaks.paraphrases(table(spark, sf_dir, "documents"), table(spark, sf_dir, "eval_item"))
+
+
 def p9_statistics(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Counts, ratios and the nearest profile of every document."""
     return quality.text_statistics(table(spark, sf_dir, "documents").select("doc_id", "text"))
@@ -42,7 +52,7 @@ def p9_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.text_statistics(table(spark, sf_dir, "documents").select("doc_id", "text"), found_only=True)
 
 
-QUERIES = {f.__name__: f for f in (p2_found, p2_restored, p3_found, p3_terms, p9_found, p9_statistics)}
+QUERIES = {f.__name__: f for f in (p2_found, p2_restored, p3_found, p3_terms, p7_found, p7_paraphrases, p9_found, p9_statistics)}
 
 _TERMS = """WITH f AS (SELECT DISTINCT finding_id, report_id, check_id, severity, category FROM finding),
 u AS (SELECT finding_id, report_id, 'check_id' AS field, check_id AS v FROM f UNION ALL SELECT finding_id, report_id, 'severity', severity FROM f UNION ALL SELECT finding_id, report_id, 'category', category FROM f),
