@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from auditlake.llm import encoding, leaks, quality, terms
+from auditlake.llm import encoding, leaks, mixing, quality, terms
 from auditlake.sources.tables import table
 
 TERM_FIELDS = ["check_id", "severity", "category"]
@@ -42,6 +42,16 @@ def p7_paraphrases(spark: SparkSession, sf_dir: str) -> DataFrame:
     return leaks.paraphrases(table(spark, sf_dir, "documents"), table(spark, sf_dir, "eval_item"))
 
 
+def p8_mixture(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(shard, slot, source, block, epoch, doc_id, start, n_tokens): the mixed selection."""
+    return mixing.mix(table(spark, sf_dir, "documents"), table(spark, sf_dir, "mix_target"))
+
+
+def p8_shares(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The shares the selection reached, by source."""
+    return mixing.shares(p8_mixture(spark, sf_dir), table(spark, sf_dir, "mix_target"))
+
+
 def p9_statistics(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Counts, ratios and the nearest profile of every document."""
     return quality.text_statistics(table(spark, sf_dir, "documents").select("doc_id", "text"))
@@ -52,7 +62,7 @@ def p9_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.text_statistics(table(spark, sf_dir, "documents").select("doc_id", "text"), found_only=True)
 
 
-QUERIES = {f.__name__: f for f in (p2_found, p2_restored, p3_found, p3_terms, p7_found, p7_paraphrases, p9_found, p9_statistics)}
+QUERIES = {f.__name__: f for f in (p2_found, p2_restored, p3_found, p3_terms, p7_found, p7_paraphrases, p8_mixture, p8_shares, p9_found, p9_statistics)}
 
 _TERMS = """WITH f AS (SELECT DISTINCT finding_id, report_id, check_id, severity, category FROM finding),
 u AS (SELECT finding_id, report_id, 'check_id' AS field, check_id AS v FROM f UNION ALL SELECT finding_id, report_id, 'severity', severity FROM f UNION ALL SELECT finding_id, report_id, 'category', category FROM f),
