@@ -5,12 +5,22 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from auditlake.llm import encoding, leaks, mixing, quality, terms
+from auditlake.llm import encoding, leaks, mixing, quality, residue, terms
 from auditlake.sources.tables import table
 
 TERM_FIELDS = ["check_id", "severity", "category"]
 
 
+def p1_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(page_id): captures that show template leftovers, filler, an error message or a call for scripts."""
+    return residue.residue_pages(table(spark, sf_dir, "page").select("page_id", "html")).select("page_id")
+
+
+def p1_kinds(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same with the kinds of residue found."""
+    return residue.residue_pages(table(spark, sf_dir, "page").select("page_id", "html"))
+
+
 def p2_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     """(page_id): captures with text that was decoded with the wrong encoding."""
     return encoding.damaged_pages(table(spark, sf_dir, "page").select("page_id", "html", "headers"))
@@ -62,7 +72,7 @@ def p9_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.text_statistics(table(spark, sf_dir, "documents").select("doc_id", "text"), found_only=True)
 
 
-QUERIES = {f.__name__: f for f in (p2_found, p2_restored, p3_found, p3_terms, p7_found, p7_paraphrases, p8_mixture, p8_shares, p9_found, p9_statistics)}
+QUERIES = {f.__name__: f for f in (p1_found, p1_kinds, p2_found, p2_restored, p3_found, p3_terms, p7_found, p7_paraphrases, p8_mixture, p8_shares, p9_found, p9_statistics)}
 
 _TERMS = """WITH f AS (SELECT DISTINCT finding_id, report_id, check_id, severity, category FROM finding),
 u AS (SELECT finding_id, report_id, 'check_id' AS field, check_id AS v FROM f UNION ALL SELECT finding_id, report_id, 'severity', severity FROM f UNION ALL SELECT finding_id, report_id, 'category', category FROM f),
