@@ -51,5 +51,7 @@ def resolve_redirects(starts: DataFrame, hops: DataFrame, max_hops: int = 10) ->
         grown = F.concat("chain", F.array("at"))
         part = met.where(F.col("dst").isNull() | again).select("url", F.col("at").alias("final"), F.when(again, grown).otherwise(F.col("chain")).alias("chain"), again.alias("is_loop"))
         out = part if out is None else out.unionByName(part)
-        moving = met.where(F.col("dst").isNotNull() & ~again).select("url", F.col("dst").alias("at"), grown.alias("chain"))
+        moving = materialize(met.where(F.col("dst").isNotNull() & ~again).select("url", F.col("dst").alias("at"), grown.alias("chain")), "hop")
+        if moving.isEmpty():
+            break
     return out

@@ -45,8 +45,8 @@ def newest(runs: DataFrame, host: str, limit: str | int | None = None) -> DataFr
 def newest_per_host(runs: DataFrame, n: int) -> DataFrame:
     """The ``n`` newest runs of every host with their place (1: newest).
 
-    ``max_by``-like top-k aggregation: each task keeps ``n`` runs of a host before the shuffle, so a host with a third
-    of all runs is cut down where its rows lie.
+    Spark cuts each task's rows to the first ``n`` of a host before the shuffle (window group limit), so
+    a host with a third of all runs is cut down where its rows lie.
     """
     w = Window.partitionBy("host").orderBy(F.desc("crawled_at"), F.desc("id"))
     return runs.where(F.col("host").isNotNull()).withColumn("place", F.row_number().over(w)).where(F.col("place") <= n)
@@ -67,10 +67,10 @@ def regressions(runs: DataFrame, least: int | None = None) -> DataFrame:
 
 
 def chart(runs: DataFrame, n: int = DEFAULT_LIMIT, width: float = 600.0, height: float = 160.0) -> DataFrame:
-    """Points of each host's chart, oldest first: (host, crawled_at, site_score, x, y); two runs at least."""
+    """Points of each host's chart, oldest first: (host, id, crawled_at, site_score, x, y); two runs at least."""
     last = newest_per_host(runs.where(F.col("site_score").isNotNull()), n)
     count = last.groupBy("host").agg(F.max("place").alias("points")).where("points >= 2")
     i = F.col("points") - F.col("place")
     x: Column = i * width / (F.col("points") - 1)
     y: Column = height - F.col("site_score") * height / 100
-    return last.join(count, "host").select("host", "crawled_at", "site_score", x.alias("x"), y.alias("y"))
+    return last.join(count, "host").select("host", "id", "crawled_at", "site_score", x.alias("x"), y.alias("y"))

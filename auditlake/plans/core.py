@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from auditlake.functions import urls
 from auditlake.functions.html_facts import extract
 from auditlake.operators import diff, frontier, history, links, report, robots, rules, score, sitemap
-from auditlake.plans import audit
+from auditlake.plans import audit, problems
 from auditlake.session import materialize, shared_dir
 from auditlake.sources import recorded
 from auditlake.sources.tables import first_copies, table
@@ -204,21 +204,26 @@ def category_deltas(spark: SparkSession, sf_dir: str) -> DataFrame:
     return diff.category_deltas(rows.where(even), rows.where(~even), ["host"])
 
 
+def _history(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Distinct runs with evenly written hosts."""
+    return problems.host_runs(spark, sf_dir).withColumnsRenamed({"score": "site_score", "at": "crawled_at"})
+
+
 def history_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The three newest runs of each host."""
-    runs = first_copies(table(spark, sf_dir, "audit_runs").select("id", "host", "root_url", "site_score", "crawled_at"), "id")
+    runs = _history(spark, sf_dir)
     return history.newest_per_host(runs, 3).select("host", "id", "site_score", "place")
 
 
 def score_regressions(spark: SparkSession, sf_dir: str) -> DataFrame:
-    runs = first_copies(table(spark, sf_dir, "audit_runs").select("id", "host", "site_score", "crawled_at"), "id")
+    runs = _history(spark, sf_dir)
     return history.regressions(runs, 5)
 
 
 def history_chart(spark: SparkSession, sf_dir: str) -> DataFrame:
-    runs = first_copies(table(spark, sf_dir, "audit_runs").select("id", "host", "site_score", "crawled_at"), "id")
+    runs = _history(spark, sf_dir)
     c = history.chart(runs)
-    return c.select("host", "crawled_at", "site_score", F.round("x", 4).alias("x"), F.round("y", 4).alias("y"))
+    return c.select("host", "id", "site_score", F.round("x", 4).alias("x"), F.round("y", 4).alias("y"))
 
 
 # --- crawl -----------------------------------------------------------------------------------
@@ -376,4 +381,3 @@ QUERIES = {
         progress_stream, rate_limit_windows, grant_times,
     )
 }
-SQL: dict[str, str] = {}

@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from auditlake.functions import urls
+from auditlake.session import materialize
 
 MAX_HOPS = 10
 MAX_RETRIES = 3
@@ -83,8 +84,8 @@ def fetch(seeds: DataFrame, responses: DataFrame, max_hops: int = MAX_HOPS) -> D
 
     A redirect needs a 3xx status and a Location. ``redirect_chain`` holds the URLs visited before the final
     one. A URL met twice, or more than ``max_hops`` hops, gives error "RedirectLoop"; a URL without a
-    record, or one whose record failed, gives its error. One bounded join per hop; only rows that
-    still move take part in the next.
+    record, or one whose record failed, gives its error. One join per hop; only rows that still move
+    take part in the next, and hops end when none do.
     """
     table = final_attempts(responses.where("method = 'GET'")).select(F.col("url").alias("r_url"), F.col("status").alias("r_status"), "location", F.col("headers").alias("r_headers"), "body", F.col("error").alias("r_error"))
     keep = seeds.columns
@@ -102,5 +103,7 @@ def fetch(seeds: DataFrame, responses: DataFrame, max_hops: int = MAX_HOPS) -> D
         done = part if done is None else done.unionByName(part)
         if hop == max_hops:
             break
-        moving = met.where(~ended).select(*keep, F.col("next").alias("url"), F.concat("redirect_chain", F.array("url")).alias("redirect_chain"))
+        moving = materialize(met.where(~ended).select(*keep, F.col("next").alias("url"), F.concat("redirect_chain", F.array("url")).alias("redirect_chain")), "hop")
+        if moving.isEmpty():
+            break
     return done.withColumn("html", decode_html("body", F.try_element_at("headers", F.lit("content-type")))).drop("body")
