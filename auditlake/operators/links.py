@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from auditlake.operators.rules import CRITICAL, WARNING, finding
+from auditlake.sources.web import as_web
 
 
 def link_rows(pages: DataFrame, key: str, external: bool = False) -> DataFrame:
@@ -20,17 +21,21 @@ def link_rows(pages: DataFrame, key: str, external: bool = False) -> DataFrame:
     return pages.select(key, F.explode(both).alias("l")).select(key, "l.*")
 
 
-def probe(targets: DataFrame, responses: DataFrame) -> DataFrame:
-    """(target, status) of each distinct target from recorded responses (method, url, status, error).
+def probe(targets: DataFrame, source) -> DataFrame:
+    """(target, status) of each distinct target in ``source``: recorded responses (method, url, status, error)
+    or a ``Web``.
 
     HEAD first; on 405 or a failed HEAD, GET counts; a failed GET is status 0. A target without a record
     failed. The later of two attempts counts. Each target is probed once, however many pages link to it.
     """
     wanted = targets.select("target").where(F.col("target").isNotNull()).distinct()
-    last = responses.where(F.col("method").isin("HEAD", "GET")).groupBy("url", "method").agg(F.max(F.struct(F.coalesce("attempt", F.lit(0)).alias("attempt"), F.when(F.col("error").isNull(), F.col("status")).alias("status"))).alias("r"))
-    per = last.groupBy("url").agg(F.max(F.when(F.col("method") == "HEAD", F.col("r.status"))).alias("head"), F.max(F.when(F.col("method") == "GET", F.col("r.status"))).alias("get"))
-    status = F.when(F.col("head").isNotNull() & (F.col("head") != 405), F.col("head")).otherwise(F.coalesce("get", F.lit(0)))
-    return wanted.join(per, wanted["target"] == per["url"], "left").select("target", status.alias("status"))
+    web = as_web(source)
+    answer = F.max(F.struct(F.coalesce("attempt", F.lit(0)).alias("attempt"), F.when(F.col("error").isNull(), F.col("status")).alias("status")))["status"]
+    ask = lambda urls, method: web(urls.select(F.col("target").alias("url")), method).groupBy(F.col("url").alias("target")).agg(answer.alias(method.lower()))
+    first = wanted.join(ask(wanted, "HEAD"), "target", "left")
+    again = F.col("head").isNull() | (F.col("head") == 405)
+    both = first.join(ask(first.where(again), "GET"), "target", "left")
+    return both.select("target", F.when(again, F.coalesce("get", F.lit(0))).otherwise(F.col("head")).alias("status"))
 
 
 def status_class(status: Column) -> Column:

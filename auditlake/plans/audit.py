@@ -41,14 +41,14 @@ def origin_of(url):
     return F.concat(p["scheme"], F.lit("://"), p["host"], F.when(p["port"].isNotNull(), F.concat(F.lit(":"), p["port"])).otherwise(""))
 
 
-def host_files(pages: DataFrame, responses: DataFrame, name: str, url_column: str = "url") -> DataFrame:
+def host_files(pages: DataFrame, responses, name: str, url_column: str = "url") -> DataFrame:
     """(origin, status, body) of ``/name`` of each origin of ``pages``: fetched once per origin."""
     origins = pages.select(origin_of(F.col(url_column)).alias("origin")).where("origin IS NOT NULL").distinct()
     got = recorded.fetch(origins.withColumn("requested", F.concat("origin", F.lit("/" + name))), responses)
     return got.select("origin", F.when(F.col("error").isNull(), F.col("status")).alias("status"), F.col("html").alias("body"))
 
 
-def fetch_level(frontier: DataFrame, responses: DataFrame, config: Config) -> DataFrame:
+def fetch_level(frontier: DataFrame, responses, config: Config) -> DataFrame:
     """Pages of one level (requested, depth, ...) that robots.txt allows and that could be fetched."""
     if not config.ignore_robots:
         files = host_files(frontier, responses, "robots.txt", "requested").where("status BETWEEN 200 AND 299")
@@ -58,7 +58,7 @@ def fetch_level(frontier: DataFrame, responses: DataFrame, config: Config) -> Da
     return recorded.fetch(frontier, responses)
 
 
-def site_findings(pages: DataFrame, responses: DataFrame, config: Config) -> DataFrame:
+def site_findings(pages: DataFrame, responses, config: Config) -> DataFrame:
     """Add the findings on robots.txt, sitemap and links to ``pages`` (page_key, url, links, findings).
 
     Each host file and each link target is fetched once; the findings then go to every page they concern.
@@ -84,10 +84,10 @@ def site_findings(pages: DataFrame, responses: DataFrame, config: Config) -> Dat
     return joined.withColumn("findings", every).drop("origin", "rf", "sf", "lf")
 
 
-def audit(seeds: DataFrame, responses: DataFrame, config: Config | None = None) -> DataFrame:
+def audit(seeds: DataFrame, responses, config: Config | None = None) -> DataFrame:
     """(job_id, root, url, depth, findings, category_scores, score) of each page of each job.
 
-    ``seeds``: job_id, url. Depth 0 audits the root alone; a page is reported under its final URL then,
+    ``responses``: recorded responses or a ``Web``. ``seeds``: job_id, url. Depth 0 audits the root alone; a page is reported under its final URL then,
     under the requested URL in a crawl. Rules see the final URL, links are taken against the requested
     one. Pages that are not allowed or could not be fetched have no report, but for a redirect loop of a
     root at depth 0. The global timeout is checked between levels; finished levels stand.

@@ -82,20 +82,25 @@ class _Reader(DataSourceReader):
         return [_Bucket(t) for _, t in sorted(by.items())] or [_Bucket([])]
 
     def read(self, partition: _Bucket) -> Iterator[tuple]:
-        method = self.o.get("method", "GET").upper()
-        timeout, agent = float(self.o.get("timeout", "30")), self.o.get("user_agent", USER_AGENT)
-        limits: dict[str, TokenBucket] = {}
-        for u in partition.targets:
-            host = urls.host_of(u) or ""
-            bucket = limits.setdefault(host, TokenBucket(float(self.o.get("rate", "2")), float(self.o.get("delay", "0"))))
-            for attempt in range(MAX_RETRIES + 1):
-                bucket.acquire()
-                status, location, headers, body, error = request(u, method, timeout, agent)
-                yield (method, u, status, location, headers, body, error, attempt)
-                if method != "GET" or status not in (429, 503) or attempt == MAX_RETRIES:
-                    break
-                after = headers.get("retry-after", "")
-                time.sleep(int(after) if after.isdigit() else 2**attempt)
+        return fetch_all(partition.targets, self.o)
+
+
+def fetch_all(targets: list[str], o: dict) -> Iterator[tuple]:
+    """Rows of ``SCHEMA`` for each URL: one after the other, within each host's limits, with retries of GET."""
+    method = o.get("method", "GET").upper()
+    timeout, agent = float(o.get("timeout", "30")), o.get("user_agent", USER_AGENT)
+    limits: dict[str, TokenBucket] = {}
+    for u in targets:
+        host = urls.host_of(u) or ""
+        bucket = limits.setdefault(host, TokenBucket(float(o.get("rate", "2")), float(o.get("delay", "0"))))
+        for attempt in range(MAX_RETRIES + 1):
+            bucket.acquire()
+            status, location, headers, body, error = request(u, method, timeout, agent)
+            yield (method, u, status, location, headers, body, error, attempt)
+            if method != "GET" or status not in (429, 503) or attempt == MAX_RETRIES:
+                break
+            after = headers.get("retry-after", "")
+            time.sleep(int(after) if after.isdigit() else 2**attempt)
 
 
 class HttpSource(DataSource):

@@ -79,19 +79,23 @@ def final_attempts(responses: DataFrame) -> DataFrame:
     return best.select("method", "url", "r.*")
 
 
-def fetch(seeds: DataFrame, responses: DataFrame, max_hops: int = MAX_HOPS) -> DataFrame:
-    """Follow redirects from each ``requested`` URL of ``seeds`` (with any other columns).
+def fetch(seeds: DataFrame, source, max_hops: int = MAX_HOPS) -> DataFrame:
+    """Follow redirects in ``source`` (recorded responses or a ``Web``) from each ``requested`` URL of ``seeds`` (with any other columns).
 
     A redirect needs a 3xx status and a Location. ``redirect_chain`` holds the URLs visited before the final
     one. A URL met twice, or more than ``max_hops`` hops, gives error "RedirectLoop"; a URL without a
     record, or one whose record failed, gives its error. One join per hop; only rows that still move
     take part in the next, and hops end when none do.
     """
-    table = final_attempts(responses.where("method = 'GET'")).select(F.col("url").alias("r_url"), F.col("status").alias("r_status"), "location", F.col("headers").alias("r_headers"), "body", F.col("error").alias("r_error"))
+    from auditlake.sources.web import as_web
+
+    web = as_web(source)
+    answers = lambda urls: final_attempts(web(urls, "GET")).select(F.col("url").alias("r_url"), F.col("status").alias("r_status"), "location", F.col("headers").alias("r_headers"), "body", F.col("error").alias("r_error"))
     keep = seeds.columns
     moving = seeds.withColumn("url", F.col("requested")).withColumn("redirect_chain", F.array().cast("array<string>"))
     done = None
     for hop in range(max_hops + 1):
+        table = answers(moving.select("url"))
         met = moving.join(table, moving["url"] == table["r_url"], "left")
         redirect = F.col("r_status").between(300, 399) & F.col("location").isNotNull() & F.col("r_error").isNull()
         met = met.withColumn("next", F.when(redirect, join_url(F.col("url"), F.coalesce("location", F.lit("")))))
