@@ -97,13 +97,14 @@ class SnapshotIndex:
         new = f"{self.path}/{version}"
         rows.select("bucket", *self.keys, "state").repartition(self.buckets, "bucket").write.partitionBy("bucket").parquet(f"{new}/index")
         rows.select("bucket", *self.keys, *self.values).repartition(self.buckets, "bucket").write.partitionBy("bucket").parquet(f"{new}/values")
-        now = self.spark.read.parquet(f"{new}/index")
-        now_values = self.spark.read.parquet(f"{new}/values").drop("bucket")
+        index, values = rows.select("bucket", *self.keys, "state").schema, rows.select("bucket", *self.keys, *self.values).schema
+        read = lambda version, part, schema: self.spark.read.schema(schema).parquet(f"{self.path}/{version}/{part}")
+        now = read(version, "index", index)
+        now_values = read(version, "values", values).drop("bucket")
         current = self._current()
         on = ["bucket", *self.keys]
-        empty = self.spark.createDataFrame([], now.schema)
-        before = self.spark.read.parquet(f"{self.path}/{current}/index") if current else empty
-        old_values = self.spark.read.parquet(f"{self.path}/{current}/values").drop("bucket") if current else now_values.limit(0)
+        before = read(current, "index", index) if current else now.limit(0)
+        old_values = read(current, "values", values).drop("bucket") if current else now_values.limit(0)
         probe = before.withColumnRenamed("state", "b").join(now.withColumnRenamed("state", "a"), on, "full_outer").where(~F.col("b").eqNullSafe(F.col("a")))
         changes = probe.select(*self.keys, change_kind(F.col("b"), F.col("a")).alias("change_kind"))
         for side, kept in (("before", old_values), ("after", now_values)):
@@ -112,4 +113,4 @@ class SnapshotIndex:
         self.spark.createDataFrame([(version,)], "v string").coalesce(1).write.mode("overwrite").text(f"{self.path}/CURRENT")
         if current:
             _remove(self.spark, f"{self.path}/{current}")
-        return self.spark.read.parquet(f"{new}/changes")
+        return self.spark.read.schema(changes.schema).parquet(f"{new}/changes")

@@ -9,7 +9,7 @@ import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.sql.streaming.stateful_processor import StatefulProcessor, StatefulProcessorHandle
+from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 #: Requests that a window admits, and its length in seconds.
 MOST, SECONDS = 5, 60
@@ -46,37 +46,37 @@ def fixed_windows(requests: DataFrame, key: str, row_id: str, at: str, seconds:
     return placed.withColumnsRenamed({"k": key, "id": row_id})
 
 
-class FixedWindow(StatefulProcessor):
-    """The same on a stream: window start and count per key, dropped after the window by its time to live."""
-
-    def __init__(self, seconds: float = SECONDS, most: int = MOST):
-        self.seconds, self.most = seconds, most
+LIMITED = "k string, t double, n_in_window long, allowed boolean"
 
-    def init(self, handle: StatefulProcessorHandle) -> None:
-        self.window = handle.getValueState("window", "start double, n long")
 
-    def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:  # noqa: N802, N803, ANN001
-        start, n = self.window.get() if self.window.exists() else (None, 0)
-        times = np.sort(pd.concat([r["t"] for r in rows]).to_numpy(float))
+def _admit(seconds: float, most: int, forget: bool):
+    def run(key: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        if state.hasTimedOut:
+            state.remove()
+            return
+        start, n = state.get if state.exists else (None, 0)
         out = []
-        for t in times:
-            if start is None or t - start >= self.seconds:
+        for t in np.sort(np.concatenate([f["t"].to_numpy(float) for f in frames])):
+            if start is None or t - start >= seconds:
                 start, n = float(t), 0
             n += 1
-            out.append((str(key[0]), float(t), n, n <= self.most))
-        self.window.update((start, n))
+            out.append((str(key[0]), float(t), n, n <= most))
+        state.update((start, n))
+        if forget:
+            state.setTimeoutDuration(int(seconds * 2000))
         yield pd.DataFrame(out, columns=["k", "t", "n_in_window", "allowed"])
 
-    def close(self) -> None:
-        pass
-
+    return run
 
-LIMITED = "k string, t double, n_in_window long, allowed boolean"
 
+def limit_stream(stream: DataFrame, seconds: float = SECONDS, most: int = MOST, forget: bool = True) -> DataFrame:
+    """Admission of a stream of (k, t in seconds): window start and count per key are its state.
 
-def limit_stream(stream: DataFrame, seconds: float = SECONDS, most: int = MOST) -> DataFrame:
-    """Admission of a stream of (k, t in seconds) with state per key (needs the RocksDB state store)."""
-    return stream.groupBy("k").transformWithStateInPandas(statefulProcessor=FixedWindow(seconds, most), outputStructType=LIMITED, outputMode="Append", timeMode="ProcessingTime")
+    With ``forget`` the state of a key that stays away for two windows is dropped; a query with such timers
+    never ends by itself, so one that is to stop when all is read sets it to False.
+    """
+    timer = GroupStateTimeout.ProcessingTimeTimeout if forget else GroupStateTimeout.NoTimeout
+    return stream.where("k IS NOT NULL AND t IS NOT NULL").groupBy("k").applyInPandasWithState(_admit(seconds, most, forget), LIMITED, "start double, n long", "append", timer)
 
 
 def grant_times(requests: DataFrame, host: str, at: str, rate: float, interval: float = 0.0, order: str | None = None) -> DataFrame:
