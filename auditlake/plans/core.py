@@ -16,7 +16,7 @@ from auditlake.operators import diff, frontier, history, links, report, robots,
 from auditlake.plans import audit, problems
 from auditlake.session import materialize, shared_dir
 from auditlake.sources import recorded
-from auditlake.sources.tables import first_copies, table
+from auditlake.sources.tables import first_copies, spread, table
 from auditlake.streaming import limits, progress
 
 KEYS = ["page_id", "url", "redirect_chain"]
@@ -24,7 +24,7 @@ KEYS = ["page_id", "url", "redirect_chain"]
 
 def facts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """(page_id, url, redirect_chain, facts) of every capture."""
-    return extract(table(spark, sf_dir, "page").select(*KEYS, "html"), KEYS)
+    return extract(spread(table(spark, sf_dir, "page").select(*KEYS, "html")), KEYS)
 
 
 def _rule_rows(spark: SparkSession, sf_dir: str, *names: str) -> DataFrame:
@@ -87,7 +87,7 @@ def audited_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def audit_report_json(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Reports of the pages of each host as JSON."""
-    pages = table(spark, sf_dir, "page").select("host", *KEYS, "html")
+    pages = spread(table(spark, sf_dir, "page").select("host", *KEYS, "html"))
     scored = score.with_scores(rules.page_findings(extract(pages, ["host", *KEYS])))
     return report.to_json(report.assemble(scored.where("url IS NOT NULL AND host IS NOT NULL"), "host"))
 

@@ -10,7 +10,7 @@ from auditlake.operators.neighbours import with_neighbours
 from auditlake.operators.nested import decode_reports, flat_table, flatten_reports, report_items
 from auditlake.operators.snapshots import history_changes
 from auditlake.session import materialize
-from auditlake.sources.tables import first_copies, table
+from auditlake.sources.tables import first_copies, spread, table
 
 #: A key is heavy from this share of all distinct rows.
 HEAVY_SHARE = 0.03
@@ -21,7 +21,7 @@ def _runs(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _decoded(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return decode_reports(_runs(spark, sf_dir).select(F.col("id").alias("run_id"), "report"))
+    return decode_reports(spread(_runs(spark, sf_dir).select(F.col("id").alias("run_id"), "report")))
 
 
 def p4_found(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -99,7 +99,7 @@ def p5_score_gaps(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _changes(spark: SparkSession, sf_dir: str, fetch: bool) -> DataFrame:
-    runs = _runs(spark, sf_dir).select(F.col("id").alias("run_id"), "root_url", "crawled_at", "report")
+    runs = spread(_runs(spark, sf_dir).select(F.col("id").alias("run_id"), "root_url", "crawled_at", "report"))
     slim = decode_reports(runs).withColumn("pages", F.transform("pages", lambda p: F.struct(p["url"].alias("url"), p["score"].alias("score"))))
     readable = materialize(slim, "snapshots").where("pages IS NOT NULL")
     steps = with_neighbours(readable, "root_url", "run_id", ["crawled_at"]).withColumnRenamed("run_id", "snapshot_id")

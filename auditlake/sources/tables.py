@@ -33,3 +33,12 @@ def first_copies(df: DataFrame, key: str) -> DataFrame:
     joined = df.where(F.col(key).isNotNull()).join(surplus, key, "left")
     kept = joined.where(F.col("__keep").isNull() | ((F.col("__keep")[FILE] == F.col(FILE)) & (F.col("__keep")[ROW] == F.col(ROW))))
     return kept.drop("__keep", FILE, ROW)
+
+
+def spread(df: DataFrame) -> DataFrame:
+    """Move rows to idle cores before costly work per row: only where a scan has fewer tasks than cores.
+
+    Large inputs have more splits than that and are not shuffled.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
