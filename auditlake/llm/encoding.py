@@ -27,7 +27,9 @@ TRUE = ("cp1252", "cp1250", "iso8859-2", "cp1251", "koi8-r", "mac-roman", "cp437
 WRONG_MULTI = ("shift_jis", "euc_jp", "gb18030", "big5", "euc_kr")
 #: Trigrams kept in the model, most frequent first.
 MODEL_SIZE = 300_000
-#: Gain in nats that a segment's best chain must reach; see ``validate_margin``.
+#: Mean log likelihood of a character that a word reaches in any language the model knows.
+TYPICAL = -5.0
+#: Gain in nats that a record's best chain must pass; held-out clean words stay below, damaged ones above.
 MARGIN = 7.0
 #: The same while the model is still trained on some damaged words.
 FIRST_MARGIN = 4.0
@@ -177,7 +179,11 @@ class Model:
                     found.append((chains, t, 1e6))
                 elif self.known(t):
                     base = self.loglik(word) if base is None else base
-                    found.append((chains, t, self.loglik(t) - base))
+                    new = self.loglik(t)
+                    if new < TYPICAL * (len(t) + 1):  # no language: only valid UTF-8 is evidence enough
+                        chains = [c for c in chains if c.endswith(">utf-8;")]
+                    if chains:
+                        found.append((chains, t, new - base))
             if len(self.scores) > 200_000:
                 self.scores.clear()
             if len(word) < 40:
@@ -207,7 +213,16 @@ def repair(model: Model, segment: str, chain: str) -> str:
         for chains, t, gain in model.gains(m.group(0)) if not m.group(0).isascii() else ():
             if chain in chains and gain > 0:
                 return t
-        return m.group(0)
+        return lone(m.group(0))
+
+    def lone(word: str) -> str:
+        """A single letter follows the chain of its segment, which its own likelihood could not show."""
+        wrong, _, true = chain.rstrip(";").partition(">")
+        if len(word.strip("0123456789.,:;!?()%-+/'")) != 1 or word.isascii() or true == "utf-8" or ";" in true:
+            return word
+        raw = encode(word, wrong)
+        t = decode(raw, true) if raw is not None else None
+        return t if t and any(c.isalpha() for c in t) and model.known(t) else word
 
     return _WORD.sub(one, segment)
 

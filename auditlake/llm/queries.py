@@ -6,29 +6,29 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from auditlake.llm import encoding, leaks, mixing, quality, residue, terms
-from auditlake.sources.tables import table
+from auditlake.sources.tables import spread, table
 
 TERM_FIELDS = ["check_id", "severity", "category"]
 
 
 def p1_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     """(page_id): captures that show template leftovers, filler, an error message or a call for scripts."""
-    return residue.residue_pages(table(spark, sf_dir, "page").select("page_id", "html")).select("page_id")
+    return residue.residue_pages(spread(table(spark, sf_dir, "page").select("page_id", "html"))).select("page_id")
 
 
 def p1_kinds(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The same with the kinds of residue found."""
-    return residue.residue_pages(table(spark, sf_dir, "page").select("page_id", "html"))
+    return residue.residue_pages(spread(table(spark, sf_dir, "page").select("page_id", "html")))
 
 
 def p2_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     """(page_id): captures with text that was decoded with the wrong encoding."""
-    return encoding.damaged_pages(table(spark, sf_dir, "page").select("page_id", "html", "headers"))
+    return encoding.damaged_pages(spread(table(spark, sf_dir, "page").select("page_id", "html", "headers")))
 
 
 def p2_restored(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The same with the chain found and the restored html, null where the text is lost."""
-    return encoding.damaged_pages(table(spark, sf_dir, "page").select("page_id", "html", "headers"), with_text=True)
+    return encoding.damaged_pages(spread(table(spark, sf_dir, "page").select("page_id", "html", "headers")), with_text=True)
 
 
 def p3_terms(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -44,17 +44,17 @@ def p3_found(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def p7_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     """(doc_id, item_id): documents that hold part of a test item's passage word for word."""
-    return leaks.verbatim_leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "eval_item"))
+    return leaks.verbatim_leaks(spread(table(spark, sf_dir, "documents").select("doc_id", "text")), table(spark, sf_dir, "eval_item"))
 
 
 def p7_paraphrases(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Document passages that come near a test item, with word-order and answer checks."""
-    return leaks.paraphrases(table(spark, sf_dir, "documents"), table(spark, sf_dir, "eval_item"))
+    return leaks.paraphrases(spread(table(spark, sf_dir, "documents").select("doc_id", "text")), table(spark, sf_dir, "eval_item"))
 
 
 def p8_mixture(spark: SparkSession, sf_dir: str) -> DataFrame:
     """(shard, slot, source, block, epoch, doc_id, start, n_tokens): the mixed selection."""
-    return mixing.mix(table(spark, sf_dir, "documents"), table(spark, sf_dir, "mix_target"))
+    return mixing.mix(spread(table(spark, sf_dir, "documents").select("doc_id", "text", "source")), table(spark, sf_dir, "mix_target"))
 
 
 def p8_shares(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -64,12 +64,12 @@ def p8_shares(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def p9_statistics(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Counts, ratios and the nearest profile of every document."""
-    return quality.text_statistics(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return quality.text_statistics(spread(table(spark, sf_dir, "documents").select("doc_id", "text")))
 
 
 def p9_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     """(doc_id): texts that are mostly a list, a table or junk."""
-    return quality.text_statistics(table(spark, sf_dir, "documents").select("doc_id", "text"), found_only=True)
+    return quality.text_statistics(spread(table(spark, sf_dir, "documents").select("doc_id", "text")), found_only=True)
 
 
 QUERIES = {f.__name__: f for f in (p1_found, p1_kinds, p2_found, p2_restored, p3_found, p3_terms, p7_found, p7_paraphrases, p8_mixture, p8_shares, p9_found, p9_statistics)}
