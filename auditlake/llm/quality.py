@@ -15,9 +15,12 @@ from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from auditlake.session import materialize
+
 # Frequent function words by language.
 FUNCTION_WORDS = {
     "en": "the a an of to in and is was for it on that with as be at by this are from or have has had not but which they we you he she its our their there can will would should if when while been more than no before after since".split(),
@@ -207,16 +210,69 @@ def certain(shape: str, lines: list[str], lang: str, share: float, sizes: list[i
     return shape if shape in STRUCTURES else None
 
 
+RUN = pa.struct(
+    [
+        ("shape", pa.string()),
+        ("size", pa.int32()),
+        ("kind", pa.string()),
+        ("lang", pa.string()),
+        ("share", pa.float32()),
+        ("words", pa.int32()),
+        ("full", pa.int32()),
+        ("lines", pa.int32()),
+        ("line_words", pa.float32()),
+        ("ends", pa.bool_()),
+        ("any_ends", pa.bool_()),
+        ("cjk", pa.bool_()),
+        ("vector", pa.list_(pa.float32())),
+    ]
+)
+RUN_DDL = "array<struct<shape:string,size:int,kind:string,lang:string,share:float,words:int,full:int,lines:int,line_words:float,ends:boolean,any_ends:boolean,cjk:boolean,vector:array<float>>>"
+
+
+def describe_run(shape: str, lines: list[str], size: int) -> dict:
+    """All that judging a run needs; ``kind`` only where it is certain."""
+    vector, lang, share, sizes = describe(lines, shape)
+    plain = shape == "plain"
+    return {
+        "shape": shape,
+        "size": size,
+        "kind": certain(shape, lines, lang, share, sizes),
+        "lang": lang,
+        "share": share,
+        "words": sum(sizes),
+        "full": sum(s for s in sizes if s >= FULL),
+        "lines": len(lines),
+        "line_words": float(np.mean([len(x.split()) for x in lines])) if plain else 0.0,
+        "ends": bool(_END.search(lines[-1])) if plain else False,
+        "any_ends": any(_END.search(x) for x in lines) if plain else False,
+        "cjk": any(_CJK.search(x) for x in lines) if plain else False,
+        "vector": vector,
+    }
+
+
+def _described(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Counts and runs of each text: texts are read once, profiles are learned and applied on these."""
+    for b in batches:
+        texts = b.column(1).to_pylist()
+        found = [[describe_run(*r) for r in runs(t)] if t and t.strip() else [] for t in texts]
+        counts = [basics(t, f) for t, f in zip(texts, found, strict=True)]
+        cols = [pa.array(list(c), t) for c, t in zip(zip(*counts, strict=True), BASIC_TYPES, strict=True)] if counts else [pa.array([], t) for t in BASIC_TYPES]
+        yield pa.RecordBatch.from_arrays([b.column(0), *cols, pa.array(found, pa.list_(RUN))], names=["doc_id", *BASICS, "runs"])
+
+
 def _seeds(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     total: dict[str, np.ndarray] = defaultdict(lambda: np.zeros(14))
     count: dict[str, int] = defaultdict(int)
     for b in batches:
-        for text in b.column(0).to_pylist():
-            for shape, lines, _ in runs(text or ""):
-                vector, lang, share, sizes = describe(lines, shape)
-                if kind := certain(shape, lines, lang, share, sizes):
-                    total[kind] += vector
-                    count[kind] += 1
+        flat = pc.list_flatten(b.column(0))
+        kinds = pc.struct_field(flat, "kind")
+        vectors = pc.list_flatten(pc.struct_field(flat, "vector")).to_numpy(zero_copy_only=False).reshape(-1, 14)
+        coded = kinds.dictionary_encode()
+        at = coded.indices.fill_null(-1).to_numpy(zero_copy_only=False)
+        for i, k in enumerate(coded.dictionary.to_pylist()):
+            total[k] += vectors[at == i].sum(axis=0)
+            count[k] += int((at == i).sum())
     yield pa.RecordBatch.from_arrays([pa.array(list(total), pa.string()), pa.array([count[k] for k in total], pa.int64()), pa.array([v.tolist() for v in total.values()], pa.list_(pa.float64()))], names=["kind", "n", "v"])
 
 
@@ -234,9 +290,9 @@ FALLBACK = {
 }
 
 
-def train(docs: DataFrame, text: str = "text") -> dict[str, list[float]]:
+def train(described: DataFrame) -> dict[str, list[float]]:
     """Mean distributions of all certain runs, by kind; every task sends one row per kind."""
-    sums = docs.select(text).mapInArrow(_seeds, "kind string, n bigint, v array<double>")
+    sums = described.select("runs").mapInArrow(_seeds, "kind string, n bigint, v array<double>")
     flat = sums.select("kind", "n", F.posexplode("v").alias("i", "x")).groupBy("kind", "i").agg(F.sum("x").alias("x"), F.sum("n").alias("n")).where("n > 0").collect()
     found: dict[str, list[float]] = defaultdict(lambda: [0.0] * 14)
     for r in flat:
@@ -244,56 +300,49 @@ def train(docs: DataFrame, text: str = "text") -> dict[str, list[float]]:
     return {**FALLBACK, **found}
 
 
-def kind_of(profiles: Profiles, shape: str, lines: list[str]) -> tuple[str, float, str, float]:
-    """Nearest profile of a run, its divergence, its language and that language's prose divergence."""
-    vector, lang, share, sizes = describe(lines, shape)
-    d_all = divergences(vector, profiles.matrix)
-    at = profiles.prose.get(lang)
+def kind_of(profiles: Profiles, run: dict) -> tuple[str, float]:
+    """Nearest profile of a described run and the divergence from its language's prose."""
+    d_all = divergences(np.asarray(run["vector"], float), profiles.matrix)
+    at = profiles.prose.get(run["lang"])
     if at is None:
         at = min(profiles.prose.values(), key=lambda i: d_all[i])
     best_prose, to_prose = profiles.names[at], float(d_all[at])
     i = min(profiles.others, key=lambda i: d_all[i])
     near, d = profiles.names[i], float(d_all[i])
-    n = sum(sizes)
+    n, share, shape = run["words"], run["share"], run["shape"]
     if shape in ("mark", "pairs"):
         # Items are sentences if most of their words stand in full ones with function words.
-        whole = sum(s for s in sizes if s >= FULL) > 0.5 * n and share >= 0.15
-        return (best_prose if whole else "list", to_prose if whole else d, lang, to_prose)
+        return (best_prose if run["full"] > 0.5 * n and share >= 0.15 else "list"), to_prose
     if shape == "plain":
-        if near in ("list", "table", "log", "numbers") and n and (share >= 0.1 or len(lines) == 1 or _END.search(lines[-1])):
-            return best_prose, to_prose, lang, to_prose  # a short sentence is no list of one
-        if n >= 8 and share < 0.05 and not any(_CJK.search(x) for x in lines):
-            return "keywords", d, lang, to_prose
-        if len(lines) >= 3 and np.mean([len(x.split()) for x in lines]) <= 4 and not any(_END.search(x) for x in lines):
-            return "list", d, lang, to_prose
-        return (best_prose, to_prose, lang, to_prose) if to_prose <= d or share >= 0.15 else (near, d, lang, to_prose)
-    return (near if near in STRUCTURES else shape, d, lang, to_prose)
+        if near in ("list", "table", "log", "numbers") and n and (share >= 0.1 or run["lines"] == 1 or run["ends"]):
+            return best_prose, to_prose  # a short sentence is no list of one
+        if n >= 8 and share < 0.05 and not run["cjk"]:
+            return "keywords", to_prose
+        if run["lines"] >= 3 and run["line_words"] <= 4 and not run["any_ends"]:
+            return "list", to_prose
+        return (best_prose if to_prose <= d or share >= 0.15 else near), to_prose
+    return (near if near in STRUCTURES else shape), to_prose
 
 
 FIELDS = "n_words bigint, mean_word_length double, symbol_ratio double, punctuated_lines double, common_words double, language string, profile string, divergence double, outside_share double"
 
 
-def statistics(profiles: Profiles, text: str | None) -> tuple:
-    """Values of ``FIELDS``. Null and blank texts have no words, profile or share."""
-    if not text or not text.strip():
-        return (0, None, None, None, None, None, None, None, None)
-    weight: dict[str, int] = defaultdict(int)
+BASICS = ("n_words", "mean_word_length", "symbol_ratio", "punctuated_lines", "common_words", "language")
+BASIC_TYPES = (pa.int64(), pa.float64(), pa.float64(), pa.float64(), pa.float64(), pa.string())
+
+
+def basics(text: str | None, found: list[dict]) -> tuple:
+    """Values of ``BASICS``. Null and blank texts have no words and nulls for the rest."""
+    if not found:
+        return (0, None, None, None, None, None)
     lang_w: dict[str, int] = defaultdict(int)
-    dist = 0.0
-    total = 0
-    for shape, lines, size in runs(text):
-        kind, _, lang, to_prose = kind_of(profiles, shape, lines)
-        weight[kind] += size
-        lang_w[lang] += size
-        dist += to_prose * size
-        total += size
-    words = [w for w in re.findall(r"[^\W\d_]+", text)]
+    for r in found:
+        lang_w[r["lang"]] += r["size"]
+    lang = max(lang_w, key=lambda k: (lang_w[k], k))
+    words = re.findall(r"[^\W\d_]+", text)
     lines = [x for x in text.splitlines() if x.strip()]
     letters = sum(map(len, words))
     visible = len(text) - sum(map(str.isspace, text))
-    lang = max(lang_w, key=lambda k: (lang_w[k], k))
-    outside = sum(n for k, n in weight.items() if not k.startswith("prose-")) / total
-    profile = max(weight, key=lambda k: (weight[k], k))
     signs = visible - letters - sum(map(str.isdigit, text))
     return (
         len(words),
@@ -302,30 +351,53 @@ def statistics(profiles: Profiles, text: str | None) -> tuple:
         sum(bool(_END.search(x)) for x in lines) / len(lines),
         sum(w.lower() in _SETS[lang] for w in words) / len(words) if words else None,
         lang,
-        profile,
-        dist / total,
-        outside,
     )
 
 
+def structure(profiles: Profiles, found: list[dict]) -> tuple[str | None, float | None, float | None]:
+    """(profile, divergence from prose, share of characters outside sentences) of a text's runs."""
+    if not found:
+        return None, None, None
+    weight: dict[str, int] = defaultdict(int)
+    dist, total = 0.0, 0
+    for r in found:
+        kind, to_prose = kind_of(profiles, r)
+        weight[kind] += r["size"]
+        dist += to_prose * r["size"]
+        total += r["size"]
+    outside = sum(n for k, n in weight.items() if not k.startswith("prose-")) / total
+    return max(weight, key=lambda k: (weight[k], k)), dist / total, outside
+
+
+def statistics(profiles: Profiles, text: str | None) -> tuple:
+    """Values of ``FIELDS`` of one text. Null and blank texts have no words, profile or share."""
+    found = [describe_run(*r) for r in runs(text)] if text and text.strip() else []
+    return (*basics(text, found), *structure(profiles, found))
+
+
 def _scored(profiles, found_only: bool):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known = Profiles(profiles.value)
-        names = [f.split()[0] for f in FIELDS.split(", ")]
-        types = [{"bigint": pa.int64(), "double": pa.float64(), "string": pa.string()}[f.split()[1]] for f in FIELDS.split(", ")]
         for b in batches:
-            ids = b.column(0).to_pylist()
-            rows = [statistics(known, t) for t in b.column(1).to_pylist()]
+            judged = [structure(known, r) for r in b.column("runs").to_pylist()]
             if found_only:
-                yield pa.RecordBatch.from_arrays([pa.array([i for i, r in zip(ids, rows, strict=True) if (r[-1] or 0) > LIMIT], pa.int64())], names=["doc_id"])
+                keep = pa.array([(j[2] or 0.0) > LIMIT for j in judged], pa.bool_())
+                yield pa.RecordBatch.from_arrays([b.column("doc_id").filter(keep)], names=["doc_id"])
             else:
-                cols = list(zip(*rows, strict=True)) if rows else [[] for _ in names]
-                yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), *[pa.array(list(c), t) for c, t in zip(cols, types, strict=True)]], names=["doc_id", *names])
+                cols = list(zip(*judged, strict=True)) if judged else [[], [], []]
+                new = [pa.array(list(c), t) for c, t in zip(cols, (pa.string(), pa.float64(), pa.float64()), strict=True)]
+                yield pa.RecordBatch.from_arrays([b.column("doc_id"), *[b.column(c) for c in BASICS], *new], names=["doc_id", *BASICS, "profile", "divergence", "outside_share"])
 
     return run
 
 
 def text_statistics(docs: DataFrame, found_only: bool = False) -> DataFrame:
-    """Statistics of every row of ``docs`` (doc_id, text), or only the ids of texts that are no prose."""
-    profiles = docs.sparkSession.sparkContext.broadcast(train(docs))
-    return docs.select("doc_id", "text").mapInArrow(_scored(profiles, found_only), "doc_id bigint" + ("" if found_only else ", " + FIELDS))
+    """Statistics of every row of ``docs`` (doc_id, text), or only the ids of texts that are no prose.
+
+    Texts are read once; what describes their runs is written out, and the profiles are learned from it
+    and compared with it. Repeated rows are judged alike, each with a row of its own.
+    """
+    basic = ", ".join(f"{n} {t}" for n, t in zip(BASICS, ("bigint", "double", "double", "double", "double", "string"), strict=True))
+    described = materialize(docs.select("doc_id", "text").mapInArrow(_described, f"doc_id bigint, {basic}, runs {RUN_DDL}"), "runs")
+    profiles = docs.sparkSession.sparkContext.broadcast(train(described))
+    return described.mapInArrow(_scored(profiles, found_only), "doc_id bigint" + ("" if found_only else ", " + FIELDS))
