@@ -73,32 +73,34 @@ def _text(c: Column) -> Column:
     return F.when(c.isNull(), "n").otherwise(F.concat(F.lit("k"), c.cast("string")))
 
 
-def _lookup(plan: Plan, key: Column) -> Column:
-    """Array of the tasks of a heavy key's shards, else null. Bounded by tasks / FAIR_PART keys."""
+def _with_tasks(df: DataFrame, key: str, plan: Plan) -> DataFrame:
+    """Add ``__at``: the tasks of a heavy key's shards, else null.
+
+    The heavy keys are broadcast: there are fewer than tasks / FAIR_PART of them, whatever the data.
+    """
     if not plan.heavy:
-        return F.lit(None).cast("array<int>")
-    pairs = [x for k, (_, at) in plan.heavy.items() for x in (F.lit(k), F.array(*[F.lit(t) for t in at]))]
-    return F.try_element_at(F.create_map(*pairs), key)
+        return df.withColumn("__at", F.lit(None).cast("array<int>"))
+    heavy = df.sparkSession.createDataFrame([(k, at) for k, (_, at) in plan.heavy.items()], "__k string, __at array<int>")
+    return df.withColumn("__k", _text(F.col(key))).join(F.broadcast(heavy), "__k", "left").drop("__k")
+
+
+def _light(key: str, plan: Plan) -> Column:
+    """Task of a key that is not split."""
+    slots = F.array(*[F.lit(t) for t in plan.light_tasks])
+    return F.element_at(slots, (F.pmod(F.xxhash64(_text(F.col(key))), F.lit(len(plan.light_tasks))) + 1).cast("int"))
 
 
 def assign(rows: DataFrame, key: str, spread: Column, plan: Plan) -> DataFrame:
     """Add ``__shard`` and ``__task``; ``spread`` (any evenly hashed column) picks a heavy key's shard."""
-    k = _text(F.col(key))
-    at = _lookup(plan, k)
-    slots = F.array(*[F.lit(t) for t in plan.light_tasks])
-    df = rows.withColumn("__at", at)
+    df = _with_tasks(rows, key, plan)
     df = df.withColumn("__shard", F.when(F.col("__at").isNotNull(), F.pmod(F.xxhash64(spread), F.size("__at"))).otherwise(0).cast("int"))
-    light = F.element_at(slots, (F.pmod(F.xxhash64(k), F.lit(len(plan.light_tasks))) + 1).cast("int"))
-    return df.withColumn("__task", F.when(F.col("__at").isNotNull(), F.element_at("__at", F.col("__shard") + 1)).otherwise(light)).drop("__at")
+    return df.withColumn("__task", F.when(F.col("__at").isNotNull(), F.element_at("__at", F.col("__shard") + 1)).otherwise(_light(key, plan))).drop("__at")
 
 
 def replicate(side: DataFrame, key: str, plan: Plan) -> DataFrame:
     """The matching side: one copy for a light key, one for each shard of a heavy key."""
-    k = _text(F.col(key))
-    at = _lookup(plan, k)
-    slots = F.array(*[F.lit(t) for t in plan.light_tasks])
-    light = F.element_at(slots, (F.pmod(F.xxhash64(k), F.lit(len(plan.light_tasks))) + 1).cast("int"))
-    return side.select("*", F.posexplode(F.coalesce(at, F.array(light))).alias("__shard", "__task"))
+    df = _with_tasks(side, key, plan)
+    return df.select(*side.columns, F.posexplode(F.coalesce("__at", F.array(_light(key, plan)))).alias("__shard", "__task"))
 
 
 def balanced_join(facts: DataFrame, side: DataFrame, key: str, spread: Column, plan: Plan, how: str = "left") -> DataFrame:
