@@ -50,20 +50,33 @@ _END = re.compile(r"[.!?…。！？][\"'”’»)\]]*\s*$")
 _UNIT = re.compile(r"(?<=[.!?…。！？])[\"'”’»)\]]*\s+|(?<=[。！？])")
 _LETTER = re.compile(r"[^\W\d_]")
 _SENTENCE_MARKS = frozenset(".,!?;:'\"()-–—’‘“”„«»…¿¡。、！？「」・")
-_MARKS = re.compile("[" + re.escape("".join(sorted(_SENTENCE_MARKS))) + "]")
 _CJK = re.compile(r"[\u3040-\u30ff\u3400-\u9fff\uac00-\ud7af\u0e00-\u0e7f]")
 
 
+@lru_cache(maxsize=1)
+def _classes() -> np.ndarray:
+    """Class of each character of the basic plane: letter, digit, space, sentence mark, other sign."""
+    kinds = [0 if c.isalpha() else 1 if c.isdigit() else 2 if c.isspace() else 3 if c in _SENTENCE_MARKS else 4 for c in map(chr, range(1 << 16))]
+    return np.array(kinds, np.uint8)
+
+
+def char_counts(text: str) -> list[int]:
+    """Numbers of letters, digits, spaces, sentence marks and other signs; rare planes count as the last."""
+    if text.isascii():
+        codes = np.frombuffer(text.encode("ascii"), np.uint8)
+    else:
+        codes = np.minimum(np.frombuffer(text.encode("utf-32-le", "replace"), np.uint32), 0xFFFF)
+    return np.bincount(_classes()[codes], minlength=5).tolist()
+
+
 def line_shape(line: str) -> str:
     """Shape of one line: blank, mark, table, pairs, log, code, symbols, encoded, numbers, names or plain."""
     s = line.strip()
     if not s:
         return "blank"
     n = len(s)
-    letters = len(_LETTER.findall(s))
-    digits = sum(map(str.isdigit, s))
-    spaces = s.count(" ") + s.count("\t")
-    signs = n - letters - digits - spaces
+    _, digits, spaces, marks, others = char_counts(s)
+    signs = marks + others
     if _STAMP.search(s) and digits >= 6:
         return "log"
     if signs > 0.5 * n and signs > 3 and not _CJK.search(s):
@@ -142,13 +155,11 @@ def describe(lines: list[str], shape: str) -> tuple[np.ndarray, str, float, list
     upper = text.isupper()
     cls = [0] * 7
     for kind, weight, parts, _ in tokens:
-        if parts and any(p in known for p in parts):
+        if parts and not known.isdisjoint(parts):
             cls[0] += 1
         else:
             cls[1 if kind == 2 and upper else kind] += weight
-    letters, digits, spaces = sum(map(str.isalpha, text)), sum(map(str.isdigit, text)), sum(map(str.isspace, text))
-    marks = len(_MARKS.findall(text))
-    chars = [letters, digits, spaces, marks, max(0, len(text) - letters - digits - spaces - marks)]
+    chars = char_counts(text)
     full = sum(s for s in sizes if s >= FULL)
     parts = [np.array(v, float) for v in (cls, chars, [full, sum(sizes) - full])]
     return np.concatenate([v / v.sum() if v.sum() else np.full(len(v), 1 / len(v)) for v in parts]), lang, share, sizes
@@ -342,8 +353,9 @@ def basics(text: str | None, found: list[dict]) -> tuple:
     words = re.findall(r"[^\W\d_]+", text)
     lines = [x for x in text.splitlines() if x.strip()]
     letters = sum(map(len, words))
-    visible = len(text) - sum(map(str.isspace, text))
-    signs = visible - letters - sum(map(str.isdigit, text))
+    _, digits, spaces, _, _ = char_counts(text)
+    visible = len(text) - spaces
+    signs = visible - letters - digits
     return (
         len(words),
         letters / len(words) if words else None,
