@@ -34,7 +34,7 @@ REAL_WORDS, REAL_CHARS = 5, 10
 LONG_CHARS = 20
 #: A word belongs to filler if it is so much more frequent there, and so often; share of such words that
 #: makes a sentence filler; most words kept.
-FILLER_RATIO, FILLER_COUNT, FILLER_SHARE, FILLER_WORDS = 5.0, 3, 0.6, 2000
+FILLER_RATIO, FILLER_COUNT, FILLER_SHARE, FILLER_WORDS = 5.0, 3, 0.6, 300
 
 # Placeholder tokens of template languages and mail-merge systems.
 TOKENS = (
@@ -364,13 +364,13 @@ def spread_labels(texts: DataFrame, rounds: int = 12) -> DataFrame:
     Only pairs with a labelled side are formed, and exact copies are one unit, so no group of copies
     is paired with itself.
     """
-    tables = materialize(texts.where("label is null and print is not null").select("unit", "text", "print", F.explode(_tables()).alias("key")), "simhash")
+    tables = texts.where("label is null and print is not null").select("unit", "print", F.explode(_tables()).alias("key"))
     known = texts.where("label is not null").select("unit", "label", "text", "print")
     front = known = materialize(known, "trusted")
     for _ in range(rounds):
         probe = broadcast_if_small(front.select("label", F.col("text").alias("near"), F.col("print").alias("p"), F.explode(_tables()).alias("key")))
         close = F.bit_count(F.col("print").bitwiseXOR(F.col("p"))) <= HAMMING
-        pairs = tables.join(probe, (tables["key"] == probe["key"]) & close).select("unit", "text", "label", "near").dropDuplicates(["unit", "label", "near"])
+        pairs = tables.join(probe, (tables["key"] == probe["key"]) & close).select("unit", "label", "near").distinct().join(texts.select("unit", "text"), "unit")
         found = pairs.mapInArrow(_similar, "unit bigint, label string").groupBy("unit").agg(F.min("label").alias("label"))
         fresh = materialize(found.join(known.select("unit"), "unit", "left_anti").join(texts.select("unit", "text", "print"), "unit").select("unit", "label", "text", "print"), "spread")
         if fresh.isEmpty():
