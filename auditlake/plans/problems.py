@@ -129,7 +129,37 @@ def _per_key(key: str, rows: str, score: str, at: str) -> str:
 SELECT {key}, count(*) AS n, CAST(sum({score}) AS DOUBLE) / count({score}) AS mean_score, max(CASE WHEN rn = 1 THEN {score} END) AS latest_score FROM w GROUP BY {key}"""
 
 
+_WHITE = "chr(9) || chr(10) || chr(11) || chr(12) || chr(13) || ' ' || chr(65279)"
+
+
+def _unwrap(source: str, result: str) -> str:
+    """One level of string or envelope taken off; the same text if there is none, null if it is no JSON."""
+    wrapped = "json_type(r) = 'OBJECT' AND coalesce(json_type(r, '$.pages'), 'NONE') <> 'ARRAY' AND json_type(r, '$.report')"
+    return f"""{result} AS (SELECT id, CASE WHEN r IS NULL OR NOT json_valid(r) THEN NULL WHEN json_type(r) = 'VARCHAR' THEN trim(json_extract_string(r, '$'), {_WHITE})
+ WHEN {wrapped} = 'OBJECT' THEN CAST(json_extract(r, '$.report') AS VARCHAR) WHEN {wrapped} = 'VARCHAR' THEN trim(json_extract_string(r, '$.report'), {_WHITE}) ELSE r END AS r FROM {source})"""
+
+
+_READ = f"""a0 AS (SELECT DISTINCT id, trim(report, {_WHITE}) AS r FROM audit_runs), {_unwrap("a0", "a1")}, {_unwrap("a1", "a2")}, {_unwrap("a2", "a3")}, {_unwrap("a3", "a4")},
+g AS (SELECT id AS run_id, json_extract(r, '$.pages') AS pages FROM a4 WHERE r IS NOT NULL AND json_valid(r) AND json_type(r) = 'OBJECT' AND json_type(r, '$.pages') = 'ARRAY'),
+p AS (SELECT run_id, CAST(i AS INT) AS page_no, json_extract(pages, '$[' || i || ']') AS pg FROM (SELECT run_id, pages, unnest(range(CAST(json_array_length(pages) AS BIGINT))) AS i FROM g)),
+o AS (SELECT * FROM p WHERE json_type(pg) = 'OBJECT')"""
+_LIST = """f AS (SELECT run_id, page_no, CASE WHEN json_type(pg, '$.findings') = 'OBJECT' THEN json_array(json_extract(pg, '$.findings')) WHEN json_type(pg, '$.findings') = 'ARRAY' THEN json_extract(pg, '$.findings') END AS l FROM o),
+fi AS (SELECT run_id, page_no, CAST(i AS INT) AS finding_no, json_extract(l, '$[' || i || ']') AS f FROM (SELECT run_id, page_no, l, unnest(range(CAST(json_array_length(l) AS BIGINT))) AS i FROM f WHERE l IS NOT NULL)),
+s AS (SELECT run_id, page_no, CASE WHEN json_type(pg, '$.category_scores') = 'OBJECT' THEN json_keys(pg, '$.category_scores') WHEN json_type(pg, '$.category_scores') = 'ARRAY' THEN json_extract_string(pg, '$.category_scores[*].category') END AS k FROM o)"""
+_STEPS = """w AS (SELECT g.run_id AS before_run_id, lead(g.run_id) OVER (PARTITION BY t.root_url ORDER BY t.crawled_at, g.run_id) AS after_run_id FROM g JOIN (SELECT DISTINCT id, root_url, crawled_at FROM audit_runs) t ON t.id = g.run_id),
+e AS (SELECT run_id, json_extract_string(pg, '$.url') AS url, CAST(json_extract_string(pg, '$.score') AS DOUBLE) AS score, row_number() OVER (PARTITION BY run_id, json_extract_string(pg, '$.url') ORDER BY page_no DESC) AS n FROM o),
+b AS (SELECT w.*, e.url, e.score FROM w JOIN e ON e.run_id = w.before_run_id AND e.n = 1 WHERE w.after_run_id IS NOT NULL AND e.url IS NOT NULL),
+a AS (SELECT w.*, e.url, e.score FROM w JOIN e ON e.run_id = w.after_run_id AND e.n = 1 WHERE e.url IS NOT NULL),
+c AS (SELECT coalesce(a.before_run_id, b.before_run_id) AS before_run_id, coalesce(a.after_run_id, b.after_run_id) AS after_run_id, coalesce(a.url, b.url) AS url,
+ CASE WHEN b.url IS NULL THEN 'added' WHEN a.url IS NULL THEN 'removed' ELSE 'changed' END AS change_kind, b.score AS before_score, a.score AS after_score
+ FROM b FULL JOIN a ON a.after_run_id = b.after_run_id AND a.url = b.url WHERE a.url IS NULL OR b.url IS NULL OR a.score IS DISTINCT FROM b.score)"""
+
 SQL = {
+    "p4_found": f"WITH {_READ}, {_LIST} SELECT run_id, page_no, 'page' AS kind, '' AS item FROM o UNION ALL SELECT run_id, page_no, 'finding', CAST(finding_no AS VARCHAR) FROM fi WHERE json_type(f) = 'OBJECT' UNION ALL SELECT run_id, page_no, 'score', unnest(k) FROM s",
+    "p4_pages": f"WITH {_READ} SELECT run_id, page_no, json_extract_string(pg, '$.url') AS url, CAST(json_extract_string(pg, '$.score') AS INT) AS score FROM o",
+    "p4_findings": f"WITH {_READ}, {_LIST} SELECT run_id, page_no, finding_no, json_extract_string(f, '$.check_id') AS check_id, json_extract_string(f, '$.category') AS category, json_extract_string(f, '$.severity') AS severity, json_extract_string(f, '$.message') AS message, CAST(json_extract_string(f, '$.penalty') AS INT) AS penalty FROM fi WHERE json_type(f) = 'OBJECT'",
+    "p6_found": f"WITH {_READ}, {_STEPS} SELECT before_run_id, after_run_id, url, change_kind FROM c",
+    "p6_changes": f"WITH {_READ}, {_STEPS} SELECT * FROM c",
     "p5_found": f"""WITH h AS ({_RUNS}), u AS ({_REPORTS})
 SELECT 'host' AS key_kind, host AS key_value FROM h WHERE host IS NOT NULL GROUP BY host HAVING count(*) >= 0.03 * (SELECT count(*) FROM h)
 UNION ALL SELECT 'url', url FROM u WHERE url IS NOT NULL GROUP BY url HAVING count(*) >= 0.03 * (SELECT count(*) FROM u)""",
