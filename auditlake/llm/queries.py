@@ -81,7 +81,16 @@ c AS (SELECT field, term, count(DISTINCT finding_id) AS n_findings, count(DISTIN
 m AS (SELECT *, CASE WHEN n_reports < 3 THEN 'rare' WHEN n_reports > 0.3 * (SELECT count(DISTINCT report_id) FROM finding) THEN 'common' END AS mark FROM c)
 """
 
+_TAGS = r"'</?[a-zA-Z!][^<>]*>'"
+_WORDS = "regexp_extract_all(lower(regexp_replace(TEXT, " + _TAGS + r", ' ', 'g')), '[\p{L}\p{N}]+')"
+
+
+def _grams(table_name: str, key: str, text: str) -> str:
+    return f"SELECT DISTINCT {key}, array_to_string(w[i + 1 : i + {leaks.RUN}], ' ') AS g FROM (SELECT {key}, w, unnest(range(len(w) - {leaks.RUN - 1})) AS i FROM (SELECT {key}, {_WORDS.replace('TEXT', text)} AS w FROM {table_name} WHERE {text} IS NOT NULL) WHERE len(w) >= {leaks.RUN})"
+
+
 SQL = {
+    "p7_found": f"SELECT DISTINCT d.doc_id, e.item_id FROM ({_grams('documents', 'doc_id', 'text')}) d JOIN ({_grams('eval_item', 'item_id', 'passage')}) e ON e.g = d.g",
     "p3_terms": _TERMS + "SELECT * FROM m",
     "p3_found": _TERMS + "SELECT field, term, mark FROM m WHERE mark IS NOT NULL",
 }
