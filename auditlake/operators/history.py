@@ -66,6 +66,13 @@ def regressions(runs: DataFrame, least: int | None = None) -> DataFrame:
     return two.withColumn("delta_points", delta).withColumn("regressed", F.coalesce(delta < -t, F.lit(False)))
 
 
+def answer(runs: DataFrame, host: str, limit: str | int | None = None) -> dict:
+    """The newest runs of a host (at most 100) and whether its score fell, as plain values."""
+    last = newest(runs, host, limit).select("id", "root_url", "site_score", F.col("crawled_at").cast("string").alias("crawled_at")).collect()
+    fell = regressions(runs.where(F.col("host") == host)).collect()
+    return {"runs": [r.asDict() for r in last], "regression": {"regressed": bool(fell and fell[0]["regressed"]), "delta_points": fell[0]["delta_points"] if fell else None}}
+
+
 def chart(runs: DataFrame, n: int = DEFAULT_LIMIT, width: float = 600.0, height: float = 160.0) -> DataFrame:
     """Points of each host's chart, oldest first: (host, id, crawled_at, site_score, x, y); two runs at least."""
     last = newest_per_host(runs.where(F.col("site_score").isNotNull()), n)

@@ -45,6 +45,12 @@ def _paint(text: str, score: int, colour: bool) -> str:
     return f"\x1b[{32 if score >= 90 else 33 if score >= 70 else 31}m{text}\x1b[0m" if colour else text
 
 
+def progress_bar(done: int, total: int, width: int = 30) -> str:
+    """Pages done of those discovered so far."""
+    filled = width if total <= 0 else min(width, width * done // total)
+    return f"[{'=' * filled}{' ' * (width - filled)}] {done}/{total}"
+
+
 def short(url: str, n: int = 60) -> str:
     return url[:n] + "…" if len(url) > n else url
 

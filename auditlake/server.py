@@ -3,18 +3,23 @@
 from __future__ import annotations
 
 import json
+import os
 import threading
 import time
 import uuid
 from collections.abc import Callable
 from http.server import BaseHTTPRequestHandler, ThreadingHTTPServer
+from urllib.parse import parse_qs
 
 from auditlake.functions import urls
 from auditlake.plans.audit import Config
+from auditlake.streaming.limits import MOST, SECONDS
 from auditlake.streaming.progress import JOB_TTL, frame
 
 #: Seconds without an event after which a comment keeps the connection open.
 KEEP_ALIVE = 15
+#: Audits that may run at once under protection.
+MAX_ACTIVE = 3
 
 
 class Job:
@@ -33,11 +38,39 @@ class Job:
         return next((e for e in reversed(self.events) if e["type"] in ("Done", "Error")), None)
 
 
+class Admission:
+    """Fixed windows per client and a cap on running jobs; without protection all pass."""
+
+    def __init__(self, protect: bool | None = None, most: int = MOST, seconds: float = SECONDS, active: int = MAX_ACTIVE, clock: Callable[[], float] = time.monotonic):
+        self.protect = os.environ.get("LIVE_DEMO_RATE_LIMIT_PROTECTION", "").lower() in ("1", "true") if protect is None else protect
+        self.most, self.seconds, self.active, self.clock = most, seconds, active, clock
+        self.windows: dict[str, tuple[float, int]] = {}
+
+    def admit(self, client: str, running: int) -> bool:
+        if not self.protect:
+            return True
+        now = self.clock()
+        self.windows = {k: w for k, w in self.windows.items() if now - w[0] < self.seconds}
+        start, n = self.windows.get(client, (now, 0))
+        if n >= self.most or running >= self.active:
+            return False
+        self.windows[client] = (start, n + 1)
+        return True
+
+
 class Jobs:
-    """Running and finished jobs; those older than the time to live are dropped when others come."""
+    """Running and finished jobs; those older than the time to live are dropped when others come.
+
+    ``history``, if given, answers (host, limit) with the newest runs of the host and its regression.
+    """
 
-    def __init__(self, run: Callable[[str, Config], dict], ttl: float = JOB_TTL):
+    def __init__(self, run: Callable[[str, Config], dict], ttl: float = JOB_TTL, admission: Admission | None = None, history: Callable[[str, str | None], dict] | None = None):
         self.run, self.ttl, self.known = run, ttl, {}
+        self.admission, self.history = admission or Admission(), history
+
+    @property
+    def running(self) -> int:
+        return sum(j.terminal is None for j in self.known.values())
 
     def start(self, root: str, config: Config) -> Job:
         now = time.time()
@@ -81,12 +114,20 @@ def handler(jobs: Jobs) -> type[BaseHTTPRequestHandler]:
                 config = Config(depth=int(body.get("depth", 1)), max_pages=body.get("max_pages"))
             except (ValueError, KeyError, TypeError) as e:
                 return self._json(500, {"error": str(e)})
+            if not jobs.admission.admit(self.client_address[0], jobs.running):
+                return self._json(429, {"error": "too many audits"})
             return self._json(202, {"job_id": jobs.start(body["url"], config).id})
 
         def do_GET(self) -> None:  # noqa: N802
             if self.path == "/healthz":
                 return self._json(200, {"status": "ok"})
-            parts = self.path.strip("/").split("/")
+            path, _, query = self.path.partition("?")
+            if path == "/api/history" and jobs.history:
+                asked = parse_qs(query)
+                if not asked.get("host"):
+                    return self._json(400, {"error": "host is missing"})
+                return self._json(200, jobs.history(asked["host"][0], asked.get("limit", [None])[0]))
+            parts = path.strip("/").split("/")
             job = jobs.known.get(parts[2]) if len(parts) == 4 and parts[:2] == ["api", "audits"] and parts[3] == "events" else None
             if job is None:
                 return self._json(404, {"error": "no such job"})
@@ -119,6 +160,7 @@ def make_server(bind: str, jobs: Jobs) -> ThreadingHTTPServer:
 
 def serve(bind: str) -> None:
     from auditlake.cli import run_audit
+    from auditlake.operators import history
     from auditlake.session import get_spark
 
     spark = get_spark()
@@ -126,4 +168,9 @@ def serve(bind: str) -> None:
     def run(root: str, config: Config) -> dict:
         return run_audit(spark, root, config).collect()[0].asDict(recursive=True)
 
-    make_server(bind, Jobs(run)).serve_forever()
+    table = os.environ.get("AUDIT_HISTORY")
+
+    def past(host: str, limit: str | None) -> dict:
+        return history.answer(history.read(spark, table), host, limit)
+
+    make_server(bind, Jobs(run, history=past if table else None)).serve_forever()

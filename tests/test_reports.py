@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 from auditlake import cli
 from auditlake.operators import diff, history, report
 from auditlake.plans.audit import Config, audit
-from auditlake.server import Jobs, make_server
+from auditlake.server import Admission, Jobs, make_server
 from auditlake.sources.http import HttpSource, TokenBucket
 from auditlake.streaming import limits, progress
 
@@ -261,8 +261,23 @@ def test_command_line(spark, site, tmp_path, two_reports, capsys):
     assert (blocked.site_score, blocked.pages) == (100, [])
 
 
+def test_admission():
+    now = [0.0]
+    a = Admission(True, most=2, seconds=60, active=3, clock=lambda: now[0])
+    assert [a.admit("x", 0) for _ in range(3)] == [True, True, False] and a.admit("y", 0) and not a.admit("z", 3)
+    now[0] = 60.0
+    assert a.admit("x", 0) and all(Admission(False).admit("x", 99) for _ in range(9))
+
+
+def test_history_answer(spark):
+    got = history.answer(runs(spark, ("a", 90, 1), ("a", 80, 2), ("b", 1, 1)), "a", "1")
+    assert [r["site_score"] for r in got["runs"]] == [80] and got["regression"] == {"regressed": True, "delta_points": -10}
+    assert history.answer(runs(spark, ("a", 90, 1)), "zz")["regression"] == {"regressed": False, "delta_points": None}
+    assert report.progress_bar(1, 2, 4) == "[==  ] 1/2" and report.progress_bar(0, 0, 2) == "[==] 0/0"
+
+
 def test_server():
-    server = make_server("127.0.0.1:0", Jobs(lambda root, config: {"root": root, "pages": [{"url": root, "score": 90}], "site_score": 90}))
+    server = make_server("127.0.0.1:0", Jobs(lambda root, config: {"root": root, "pages": [{"url": root, "score": 90}], "site_score": 90}, history=lambda host, limit: {"host": host, "limit": limit}))
     threading.Thread(target=server.serve_forever, daemon=True).start()
 
     def ask(method, path, body=None):
@@ -280,4 +295,5 @@ def test_server():
     late, _ = progress.parse_frames(ask("GET", f"/api/audits/{json.loads(body)['job_id']}/events")[1])
     assert [e["type"] for e in late] == ["Started", "Done"]
     assert ask("POST", "/api/audits", {"url": "::"})[0] == 500 and ask("GET", "/api/audits/x/events")[0] == 404
+    assert json.loads(ask("GET", "/api/history?host=a.example&limit=3")[1]) == {"host": "a.example", "limit": "3"} and ask("GET", "/api/history")[0] == 400
     server.shutdown()
