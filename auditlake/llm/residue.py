@@ -1,10 +1,11 @@
 """Template residue, filler, error pages and calls for scripts in place of content.
 
 Captures are cut into units: sentences of their blocks, and placeholder tokens. Units that certainly
-are residue carry trusted labels. Near-duplicates are found with SimHash tables (each unit stands in one
-table per pair of fingerprint blocks), verified by Hamming distance and by shared character shingles,
-and labels spread through the connected components that hold a trusted unit. Last, a capture is judged
-by the labels of its units and by what real text stands beside them.
+are residue carry trusted labels. Near-duplicates are found by their rarest character shingles (prefix
+filter: units that share enough of all shingles share one of these), verified by shared shingles, and
+labels spread through the connected components that hold a trusted unit. Last, a capture is judged by
+the labels of its units and by what real text stands beside them. The SimHash tables (one per pair of
+fingerprint blocks) are a cheaper search that finds part of the near-duplicates only.
 """
 
 from __future__ import annotations
@@ -22,12 +23,14 @@ from pyspark.sql import functions as F
 
 from auditlake.session import broadcast_if_small, materialize
 
-#: Fingerprints of near-duplicates differ in at most so many of 64 bits.
+#: SimHash search: fingerprints differ in at most so many of 64 bits.
 HAMMING = 5
 #: Fingerprint blocks (bits each); with HAMMING = 5 at least two of seven agree, hence 21 tables.
 BLOCKS = (9, 9, 9, 9, 9, 9, 10)
 #: Least share of common character shingles, and their length.
 SIMILAR, SHINGLE = 0.8, 4
+#: Buckets in which shingles are counted, which puts them in order from rare to frequent.
+BUCKETS = 1 << 18
 #: A sentence of so many words that is no residue is real content (or so many characters without spaces).
 REAL_WORDS, REAL_CHARS = 5, 10
 #: A sentence of so many characters is real, too, however few spaces it has.
@@ -254,10 +257,8 @@ def units(page: str | None) -> list[tuple[str, str]]:
 # --- fingerprints ------------------------------------------------------------------------------
 
 
-def fingerprints(texts: list[str]) -> np.ndarray:
-    """SimHash over character shingles of each text, all at once."""
-    if not texts:
-        return np.zeros(0, np.int64)
+def _hashes(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+    """Hash of each character shingle of each text (repeated ones too), and the number of its text."""
     padded = [f" {t} ".ljust(SHINGLE) for t in texts]
     codes = np.frombuffer("".join(padded).encode("utf-32-le"), np.uint32).astype(np.uint64)
     lengths = np.array([len(p) for p in padded])
@@ -275,7 +276,14 @@ def fingerprints(texts: list[str]) -> np.ndarray:
         cut = ends[:-1] - j
         inside[cut[cut < len(h)]] = False
     text_of = np.repeat(np.arange(len(texts)), lengths)[: len(h)]
-    h, text_of = h[inside], text_of[inside]
+    return h[inside], text_of[inside]
+
+
+def fingerprints(texts: list[str]) -> np.ndarray:
+    """SimHash over character shingles of each text, all at once."""
+    if not texts:
+        return np.zeros(0, np.int64)
+    h, text_of = _hashes(texts)
     first = np.searchsorted(text_of, np.arange(len(texts)))
     bits = np.unpackbits(h.astype("<u8").view(np.uint8).reshape(-1, 8), axis=1, bitorder="little")
     ones = np.add.reduceat(bits, first, axis=0, dtype=np.int32)
@@ -283,6 +291,25 @@ def fingerprints(texts: list[str]) -> np.ndarray:
     return np.packbits(votes, axis=1, bitorder="little").view("<u8")[:, 0].astype(np.uint64).view(np.int64)
 
 
+def prefixes(texts: list[str], counts: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Rarest distinct shingles of each text from the rarest on, how many those are, and how many it has.
+
+    Two texts with n and m shingles whose similarity is ``SIMILAR`` share ``SIMILAR`` max(n, m) of them, so
+    in any common order one of the first n - ceil(``SIMILAR`` n) + 1 is one of the other's first ones.
+    """
+    if not texts:
+        return np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.int64)
+    h, text_of = _hashes(texts)
+    order = np.lexsort((h, counts[h % np.uint64(BUCKETS)], text_of))
+    h, text_of = h[order], text_of[order]
+    new = np.r_[True, (h[1:] != h[:-1]) | (text_of[1:] != text_of[:-1])]
+    h, text_of = h[new], text_of[new]
+    sizes = np.bincount(text_of, minlength=len(texts))
+    last = sizes - np.ceil(SIMILAR * sizes - 1e-9).astype(np.int64)
+    keep = np.arange(len(h)) - (np.cumsum(sizes) - sizes)[text_of] <= last[text_of]
+    return h[keep].view(np.int64), last + 1, sizes
+
+
 def shingles(text: str) -> set[str]:
     t = f" {text} "
     return {t[i : i + SHINGLE] for i in range(max(1, len(t) - SHINGLE + 1))}
@@ -297,7 +324,7 @@ def similarity(a: str, b: str) -> float:
 
 #: Distinct units that a task remembers, so that each text is sent once per task, or nearly so.
 REMEMBERED = 300_000
-UNIT_SCHEMA = "page_id bigint, role string, unit bigint, words int, text string, label string, print bigint"
+UNIT_SCHEMA = "page_id bigint, role string, unit bigint, words int, text string, label string"
 
 
 def _cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -318,12 +345,8 @@ def _cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 sent.add(key)
         if len(sent) > REMEMBERED:
             sent.clear()
-        new = [i for i, t in enumerate(texts) if t is not None]
-        prints: list[int | None] = [None] * len(texts)
-        for i, p in zip(new, fingerprints([texts[i] for i in new]).tolist(), strict=True):
-            prints[i] = p
-        cols = [pa.array(ids, pa.int64()), pa.array(roles, pa.string()), pa.array(keys, pa.int64()), pa.array(words, pa.int32()), pa.array(texts, pa.string()), pa.array(labels, pa.string()), pa.array(prints, pa.int64())]
-        yield pa.RecordBatch.from_arrays(cols, names=["page_id", "role", "unit", "words", "text", "label", "print"])
+        cols = [pa.array(ids, pa.int64()), pa.array(roles, pa.string()), pa.array(keys, pa.int64()), pa.array(words, pa.int32()), pa.array(texts, pa.string()), pa.array(labels, pa.string())]
+        yield pa.RecordBatch.from_arrays(cols, names=["page_id", "role", "unit", "words", "text", "label"])
 
 
 def _tables(c: str = "print"):
@@ -336,6 +359,56 @@ def _tables(c: str = "print"):
     return F.array(*keys)
 
 
+def _counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    counts = np.zeros(BUCKETS, np.int64)
+    for b in batches:
+        if b.num_rows:
+            counts += np.bincount((_hashes(b.column(0).to_pylist())[0] % np.uint64(BUCKETS)).astype(np.int64), minlength=BUCKETS)
+    used = np.nonzero(counts)[0]
+    yield pa.RecordBatch.from_arrays([pa.array(used), pa.array(counts[used])], names=["bucket", "n"])
+
+
+def _prefixed(shared):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            keys, few, sizes = prefixes(b.column("text").to_pylist(), shared.value)
+            lists = pa.ListArray.from_arrays(pa.array(np.r_[0, np.cumsum(few)].astype(np.int32)), pa.array(keys))
+            yield pa.RecordBatch.from_arrays([*b.columns, lists, pa.array(sizes.astype(np.int32))], names=[*b.schema.names, "keys", "size"])
+
+    return run
+
+
+def with_prefixes(texts: DataFrame) -> DataFrame:
+    """``texts`` (unit, text, label) with keys and size for the shingle search.
+
+    The driver gets one count for each of ``BUCKETS``. Buckets only order the shingles, so that few texts
+    share a key; the search is complete in any order.
+    """
+    found = texts.select("text").mapInArrow(_counted, "bucket bigint, n bigint").groupBy("bucket").agg(F.sum("n").alias("n")).toArrow()
+    counts = np.zeros(BUCKETS, np.int64)
+    counts[found.column("bucket").to_numpy()] = found.column("n").to_numpy()
+    shared = texts.sparkSession.sparkContext.broadcast(counts)
+    return texts.select("unit", "text", "label").mapInArrow(_prefixed(shared), "unit bigint, text string, label string, keys array<bigint>, size int")
+
+
+def _by_print(df: DataFrame) -> DataFrame:
+    return df.where("print is not null").withColumn("key", F.explode(_tables()))
+
+
+def _by_shingle(df: DataFrame) -> DataFrame:
+    return df.select("*", F.posexplode("keys").alias("place", "key")).drop("keys")
+
+
+def _print_close():
+    return F.bit_count(F.col("print").bitwiseXOR(F.col("near_print"))) <= HAMMING
+
+
+def _shingle_close():
+    """Enough shingles are left from the shared one on; this holds at the first one that similar texts share."""
+    left = F.least(F.col("size") - F.col("place"), F.col("near_size") - F.col("near_place"))
+    return left * (1 + SIMILAR) >= SIMILAR * (F.col("size") + F.col("near_size")) - 1e-6
+
+
 def _similar(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for b in batches:
         keep = [similarity(x, y) >= SIMILAR for x, y in zip(b.column("text").to_pylist(), b.column("near").to_pylist(), strict=True)]
@@ -358,21 +431,23 @@ def filler_words(texts: DataFrame) -> set[str]:
 def spread_labels(texts: DataFrame, rounds: int = 12) -> DataFrame:
     """(unit, label) of every unit in a connected component of near-duplicates with a trusted unit.
 
-    ``texts``: unit, text, print, label (null if not trusted), one row per unit. Each round searches the
-    units labelled last in the SimHash tables of all units; it ends when nothing new is found, or fails
-    loudly after ``rounds``. A unit reached with several labels takes the first in alphabetical order.
-    Only pairs with a labelled side are formed, and exact copies are one unit, so no group of copies
-    is paired with itself.
+    ``texts``: unit, text, label (null if not trusted), one row per unit, and what the search needs: keys and
+    size (``with_prefixes``), which finds every pair, or print for the SimHash tables. Each round searches
+    the units labelled last among all units; it ends when nothing new is found, or fails loudly after
+    ``rounds``. A unit reached with several labels takes the first in alphabetical order. Only pairs with a
+    labelled side are formed, and exact copies are one unit, so no group of copies is paired with itself.
     """
-    tables = texts.where("label is null and print is not null").select("unit", "print", F.explode(_tables()).alias("key"))
-    known = texts.where("label is not null").select("unit", "label", "text", "print")
+    exact = "keys" in texts.columns
+    keyed, close, needs = (_by_shingle, _shingle_close(), ["keys", "size"]) if exact else (_by_print, _print_close(), ["print"])
+    tables = keyed(texts.where("label is null").select("unit", *needs))
+    known = texts.where("label is not null").select("unit", "label", "text", *needs)
     front = known = materialize(known, "trusted")
     for _ in range(rounds):
-        probe = broadcast_if_small(front.select("label", F.col("text").alias("near"), F.col("print").alias("p"), F.explode(_tables()).alias("key")))
-        close = F.bit_count(F.col("print").bitwiseXOR(F.col("p"))) <= HAMMING
+        probe = keyed(front.select("label", "text", *needs))
+        probe = broadcast_if_small(probe.select("label", "key", *[F.col(c).alias("near" if c == "text" else f"near_{c}") for c in probe.columns if c not in ("label", "key")]))
         pairs = tables.join(probe, (tables["key"] == probe["key"]) & close).select("unit", "label", "near").distinct().join(texts.select("unit", "text"), "unit")
         found = pairs.mapInArrow(_similar, "unit bigint, label string").groupBy("unit").agg(F.min("label").alias("label"))
-        fresh = materialize(found.join(known.select("unit"), "unit", "left_anti").join(texts.select("unit", "text", "print"), "unit").select("unit", "label", "text", "print"), "spread")
+        fresh = materialize(found.join(known.select("unit"), "unit", "left_anti").join(texts.select("unit", "text", *needs), "unit").select("unit", "label", "text", *needs), "spread")
         if fresh.isEmpty():
             return known.select("unit", "label")
         known, front = known.unionByName(fresh), fresh
@@ -382,15 +457,15 @@ def spread_labels(texts: DataFrame, rounds: int = 12) -> DataFrame:
 def labelled(pages: DataFrame) -> tuple[DataFrame, DataFrame]:
     """Units of all captures (page_id, role, unit, words) and the labels of residue units."""
     cut = materialize(pages.select("page_id", "html").mapInArrow(_cut, UNIT_SCHEMA), "units")
-    texts = cut.where("text is not null").groupBy("unit").agg(F.min("text").alias("text"), F.min("print").alias("print"), F.min("label").alias("label"))
+    texts = cut.where("text is not null").groupBy("unit").agg(F.min("text").alias("text"), F.min("label").alias("label"))
     texts = materialize(texts, "texts")
     lexicon = sorted(filler_words(texts))
     if lexicon:
         words = F.filter(F.transform(F.split("text", " "), lambda w: F.regexp_replace(w, r"[^\p{L}]", "")), lambda w: w != "")
         known = F.array(*[F.lit(w) for w in lexicon])
         share = F.size(F.filter(words, lambda w: F.array_contains(known, w))) / F.size(words)
-        texts = materialize(texts.withColumn("label", F.coalesce("label", F.when((F.size(words) >= 6) & (share >= FILLER_SHARE), "filler"))), "texts")
-    return cut.select("page_id", "role", "unit", "words"), spread_labels(texts)
+        texts = texts.withColumn("label", F.coalesce("label", F.when((F.size(words) >= 6) & (share >= FILLER_SHARE), "filler")))
+    return cut.select("page_id", "role", "unit", "words"), spread_labels(materialize(with_prefixes(texts), "texts"))
 
 
 def residue_pages(pages: DataFrame) -> DataFrame:

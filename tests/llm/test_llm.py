@@ -81,6 +81,37 @@ def test_labels_spread_to_near_duplicates(spark):
     assert got == chain and 3 not in got
 
 
+def test_shingle_search_finds_every_similar_pair(spark):
+    rng = random.Random(4)
+    words = "the of service page offline closed moment shortly visit again please later reader garden river quiet old new x 日本語 café".split()
+    texts = {"", "a", "ab"}
+    for _ in range(60):
+        base = rng.choices(words, k=rng.randint(1, 14))
+        texts.add(" ".join(base))
+        for _ in range(3):  # edits of a word or two
+            base[rng.randrange(len(base))] = rng.choice(words)
+            texts.add(" ".join(base))
+    texts = sorted(texts)
+    df = spark.createDataFrame([(i, t, "error" if i % 5 == 0 else None) for i, t in enumerate(texts)], "unit long, text string, label string")
+    got = {r.unit for r in residue.spread_labels(residue.with_prefixes(df), rounds=len(texts)).collect()}
+    chain, last = set(), set(range(0, len(texts), 5))
+    while last:
+        chain |= last
+        last = {j for i in last for j in range(len(texts)) if residue.similarity(texts[i], texts[j]) >= residue.SIMILAR} - chain
+    assert got == chain and len(texts) / 5 + 10 < len(chain) < len(texts)
+
+
+def test_message_that_differs_by_a_word_is_residue(spark):
+    trusted = "The file you asked for was deleted from our archive last week."
+    other = trusted.replace("was", "got")
+    pair = [residue.normal(trusted), residue.normal(other)]
+    assert [residue.trusted_label(t) for t in pair] == ["error", None]
+    a, b = residue.fingerprints(pair).tolist()
+    assert residue.similarity(*pair) >= residue.SIMILAR and bin((a ^ b) & (2**64 - 1)).count("1") > residue.HAMMING
+    df = spark.createDataFrame([(1, page(f"<p>{trusted}</p>")), (2, page(f"<p>{other}</p>")), (3, page(REAL))], "page_id long, html string")
+    assert {r.page_id for r in residue.residue_pages(df).collect()} == {1, 2}
+
+
 def test_tables_find_every_close_pair(spark):
     rng = random.Random(1)
     base = [rng.getrandbits(64) for _ in range(40)]
