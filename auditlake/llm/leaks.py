@@ -171,14 +171,14 @@ def common_run(a: list[str], b: list[str], at_least: int = RUN) -> bool:
 
 def subsequence(a: list[str], b: list[str]) -> int:
     """Length of the longest common subsequence of words."""
-    row = [0] * (len(b) + 1)
+    places: dict[str, int] = {}
+    for j, y in enumerate(b):
+        places[y] = places.get(y, 0) | 1 << j
+    every = free = (1 << len(b)) - 1  # a bit per word of b, cleared where the length grows
     for x in a:
-        left = 0
-        for j, y in enumerate(b):
-            up = row[j + 1]
-            row[j + 1] = left + 1 if x == y else max(up, row[j])
-            left = up
-    return row[-1]
+        met = free & places.get(x, 0)
+        free = (free + met | free - met) & every
+    return len(b) - free.bit_count()
 
 
 def _search(shared):
@@ -223,7 +223,8 @@ def _rephrased(shared):
             codes, starts = _block(texts, s["vocabulary"])
             codes = np.r_[codes, np.full(PARA_WORDS, -1, np.int32)]
             text, first = windows(starts, PARA_WORDS, PARA_STEP, partial=True)
-            best: dict[tuple[int, int], tuple[float, int]] = {}
+            split: dict[int, list[str]] = {}
+            best: dict[tuple[int, int], tuple[float, float]] = {}
             for k in range(0, len(first), 2048):
                 at = first[k : k + 2048, None] + np.arange(PARA_WORDS)
                 rows = np.where(at < starts[text[k : k + 2048] + 1][:, None], codes[at], -1)
@@ -232,19 +233,18 @@ def _rephrased(shared):
                 if not len(ok):
                     continue
                 cos = project(rows[ok], idf, space) @ index
+                near: dict[tuple[int, int], float] = {}
                 for w, i in zip(*np.nonzero(cos >= PARA_NEAR), strict=True):
-                    key, found = (int(text[k + ok[w]]), int(owner[i])), (float(cos[w, i]), int(first[k + ok[w]]))
-                    if found > best.get(key, (0.0, 0)):
-                        best[key] = found
-            out = []
-            for (t, o), (cos, at) in sorted(best.items()):
-                mine = words(texts[t])
-                begin = at - starts[t]
-                theirs = s["passages"][o]
-                part = mine[begin : begin + PARA_WORDS]
-                share = subsequence(part, theirs) / max(1, min(len(part), len(theirs)))
-                if share >= PARA_LCS:
-                    out.append((ids[t], o, cos, share, common_run(mine, theirs), _answered(mine, s["answers"][o])))
+                    key = int(ok[w]), int(owner[i])
+                    near[key] = max(near.get(key, 0.0), float(cos[w, i]))
+                for (w, o), c in near.items():  # the words' order decides at every window, not at the nearest alone
+                    t = int(text[k + w])
+                    mine = split.get(t) or split.setdefault(t, words(texts[t]))
+                    begin = int(first[k + w] - starts[t])
+                    share = subsequence(mine[begin : begin + PARA_WORDS], s["passages"][o]) / max(1, min(int(size[w]), len(s["passages"][o])))
+                    if share >= PARA_LCS and (share, c) > best.get((t, o), (0.0, 0.0)):
+                        best[t, o] = share, c
+            out = [(ids[t], o, c, share, common_run(split[t], s["passages"][o]), _answered(split[t], s["answers"][o])) for (t, o), (share, c) in sorted(best.items())]
             cols = list(zip(*out, strict=True)) or [[]] * 6
             yield pa.RecordBatch.from_arrays([pa.array(list(c), t) for c, t in zip(cols, (pa.int64(), pa.int64(), pa.float64(), pa.float64(), pa.bool_(), pa.bool_()), strict=True)], names=["doc_id", "item_id", "cosine", "lcs_share", "verbatim", "answer_found"])
 

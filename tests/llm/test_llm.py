@@ -2,6 +2,7 @@
 
 import random
 from collections import Counter, defaultdict
+from itertools import combinations
 
 import numpy as np
 import pytest
@@ -252,6 +253,22 @@ def test_paraphrases(spark):
     assert got == {(1, 7): (False, True), (2, 8): (True, False)}
 
 
+def test_window_in_order_counts_beside_a_nearer_shuffled_one(spark):
+    rng = random.Random(2)
+    passage = [f"word{i}" for i in range(32)]
+    shuffled = passage[::-1]
+    kept = [w if i % 6 else f"other{i}" for i, w in enumerate(passage)]
+    text = " ".join(shuffled + [f"gap{i}" for i in range(32)] + kept)
+    more = [(2, " ".join(f"other{i}" for i in range(40))), (3, " ".join(f"gap{i}" for i in range(40)))]
+    df = spark.createDataFrame([(1, text)], "doc_id long, text string")
+    it = spark.createDataFrame([(7, " ".join(passage), None), *[(i, t, None) for i, t in more]], "item_id long, passage string, answer string")
+    assert 7 in {r.item_id for r in leaks.paraphrases(df, it).collect()}
+    for _ in range(50):
+        a, b = rng.choices("abcd", k=rng.randint(0, 9)), rng.choices("abcde", k=rng.randint(0, 9))
+        want = max(len(c) for n in range(len(a) + 1) for c in combinations(a, n) if all(x in i for i in [iter(b)] for x in c))
+        assert leaks.subsequence(a, b) == want
+
+
 def test_small_helpers():
     assert leaks.subsequence("a b c d".split(), "a x c d".split()) == 3
     text, first = leaks.windows(np.array([0, 3, 3, 12]), 4, 2)
