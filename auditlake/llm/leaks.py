@@ -32,8 +32,11 @@ POWER_ROUNDS = 2
 NEAR = 0.98
 #: Item windows searched in one pass over the documents; more items make more passes.
 MAX_WINDOWS = 400_000
-#: Paraphrases: words per passage, step, share of known words, least cosine, least common subsequence.
-PARA_WORDS, PARA_STEP, PARA_KNOWN, PARA_NEAR, PARA_LCS = 32, 8, 0.7, 0.75, 0.6
+#: Paraphrases: words per window, each with a step of a quarter; least cosine of a candidate, least common
+#: subsequence. The shorter window is for reworded parts of ``PARA_SIZES[-1]`` words or more.
+PARA_SIZES, PARA_NEAR, PARA_LCS = (32, 16), 0.4, 0.6
+#: Largest table of items by words.
+MAX_CELLS = 20_000_000
 
 _WORD = re.compile(r"[^\W_]+")
 _TAG = re.compile(r"</?[a-zA-Z!][^<>]*>")
@@ -62,12 +65,15 @@ def _block(texts: list[str | None], vocabulary: dict[str, int]) -> tuple[np.ndar
 
 
 def windows(starts: np.ndarray, size: int, step: int, partial: bool = False) -> tuple[np.ndarray, np.ndarray]:
-    """Text and first word of each window inside each text; ``partial`` adds one for shorter texts."""
+    """Text and first word of each window inside each text.
+
+    ``partial`` adds one for shorter texts and one that ends with the text, so that every word is in one.
+    """
     lengths = np.diff(starts)
-    n = np.where(lengths >= size, (lengths - size) // step + 1, ((lengths > 0) & partial).astype(int))
+    n = np.where(lengths >= size, (lengths - size + (step - 1) * partial) // step + 1, ((lengths > 0) & partial).astype(int))
     text = np.repeat(np.arange(len(lengths)), n)
     at = np.arange(len(text)) - np.repeat(np.cumsum(n) - n, n)
-    return text, starts[text] + at * step
+    return text, starts[text] + np.minimum(at * step, np.maximum(lengths[text] - size, 0))
 
 
 def _frequencies(vocabulary):
@@ -186,7 +192,8 @@ def _search(shared):
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         s = shared.value
-        space, idf, index, owner = s["space"].astype(np.float32), s["idf"], s["index"].T.copy(), s["owner"]
+        space, idf, (index, owner) = s["space"].astype(np.float32), s["idf"], s["indexes"][WINDOW]
+        index, owner = index.T.copy(), np.array(s["items"])[owner]
         for b in batches:
             ids, texts = b.column(0).to_pylist(), b.column(1).to_pylist()
             codes, starts = _block(texts, s["vocabulary"])
@@ -212,36 +219,81 @@ def _answered(text: list[str], answer: str | None) -> bool | None:
     return any(text[i : i + len(a)] == a for i in range(len(text) - len(a) + 1)) if a else None
 
 
+def _rows(codes: np.ndarray, starts: np.ndarray, text: np.ndarray, first: np.ndarray, size: int) -> np.ndarray:
+    """Word codes of windows, -1 beyond the end of their text; ``codes`` has ``size`` more at its end."""
+    at = first[:, None] + np.arange(size)
+    return np.where(at < starts[text + 1][:, None], codes[at], -1)
+
+
+def _near(s: dict, codes: np.ndarray, starts: np.ndarray, size: int) -> Iterator[tuple[int, int, int, float]]:
+    """(text, first word, item number, cosine) of windows near an item with enough of its words to pass.
+
+    The cosine is that of every ``size // 4``-th window; those between follow the nearest one.
+    """
+    space, idf, (index, owner) = s["space"].astype(np.float32), s["idf"], s["indexes"][size]
+    index, lengths, v = index.T.copy(), s["lengths"], len(s["vocabulary"])
+    codes = np.r_[codes, np.full(size, -1, np.int32)]
+    group = np.nonzero(np.r_[True, owner[1:] != owner[:-1]])[0]
+    text, first = windows(starts, size, size // 4, partial=True)
+    shifts = np.arange(size // 4) - size // 8
+    length = np.minimum(size, starts[text + 1] - first)
+    step = max(64, min(2048, 20_000_000 // max(1, index.shape[1])))
+    for k in range(0, len(first), step):
+        rows = _rows(codes, starts, text[k : k + step], first[k : k + step], size)
+        ok = np.nonzero((rows >= 0).sum(1) >= PARA_LCS * np.minimum(length[k : k + step], lengths.min()) - size // 8 - 1e-9)[0]
+        if not len(ok):
+            continue
+        cos = np.maximum.reduceat(project(rows[ok], idf, space) @ index, group, axis=1)
+        w, o = np.nonzero(cos >= PARA_NEAR)
+        at, c, o = ok[w], cos[w, o], owner[group][o]
+        # The subsequence is no longer than the number of words that the item has, too; shifts add few.
+        held = s["members"].get(o, rows[at]) >= PARA_LCS * np.minimum(length[k + at], lengths[o]) - size // 8 - 1e-9
+        at, o, c = at[held], o[held], c[held]
+        begin = (first[k + at][:, None] + shifts).ravel()
+        at, o, c = (np.repeat(x, len(shifts)) for x in (at, o, c))
+        t, n = text[k + at], length[k + at]
+        inside = (begin >= starts[t]) & (begin + n <= starts[t + 1])
+        t, begin, n, o, c = t[inside], begin[inside], n[inside], o[inside], c[inside]
+        held = s["members"].get(o, _rows(codes, starts, t, begin, size)) >= PARA_LCS * np.minimum(n, lengths[o]) - 1e-9
+        yield from zip(t[held].tolist(), begin[held].tolist(), o[held].tolist(), c[held].tolist(), strict=True)
+
+
+class Members:
+    """Which words each item's passage has: one table if it is small, else sorted keys."""
+
+    def __init__(self, passages: list[np.ndarray], size: int):
+        self.size = size
+        self.keys = np.unique(np.concatenate([np.asarray(p, np.int64) + k * size for k, p in enumerate(passages)]))
+        self.table = None
+        if len(passages) * (size + 1) <= MAX_CELLS:
+            self.table = np.zeros((len(passages), size + 1), bool)  # the last column, -1, stands for unknown words
+            self.table[self.keys // size, self.keys % size] = True
+
+    def get(self, items: np.ndarray, rows: np.ndarray) -> np.ndarray:
+        """Number of words of each window that its item has."""
+        if self.table is not None:
+            return self.table[items[:, None], rows].sum(1)
+        keys = np.where(rows >= 0, items[:, None] * self.size + rows, -1)
+        at = np.minimum(np.searchsorted(self.keys, keys), len(self.keys) - 1)
+        return (self.keys[at] == keys).sum(1)
+
+
 def _rephrased(shared):
     """Paraphrases: passages near an item whose words largely keep the item's order."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         s = shared.value
-        space, idf, index, owner = s["space"].astype(np.float32), s["idf"], s["index"].T.copy(), s["owner"]
         for b in batches:
             ids, texts = b.column(0).to_pylist(), b.column(1).to_pylist()
             codes, starts = _block(texts, s["vocabulary"])
-            codes = np.r_[codes, np.full(PARA_WORDS, -1, np.int32)]
-            text, first = windows(starts, PARA_WORDS, PARA_STEP, partial=True)
             split: dict[int, list[str]] = {}
             best: dict[tuple[int, int], tuple[float, float]] = {}
-            for k in range(0, len(first), 2048):
-                at = first[k : k + 2048, None] + np.arange(PARA_WORDS)
-                rows = np.where(at < starts[text[k : k + 2048] + 1][:, None], codes[at], -1)
-                size = np.minimum(PARA_WORDS, starts[text[k : k + 2048] + 1] - first[k : k + 2048])
-                ok = np.nonzero((rows >= 0).sum(1) >= PARA_KNOWN * size)[0]
-                if not len(ok):
-                    continue
-                cos = project(rows[ok], idf, space) @ index
-                near: dict[tuple[int, int], float] = {}
-                for w, i in zip(*np.nonzero(cos >= PARA_NEAR), strict=True):
-                    key = int(ok[w]), int(owner[i])
-                    near[key] = max(near.get(key, 0.0), float(cos[w, i]))
-                for (w, o), c in near.items():  # the words' order decides at every window, not at the nearest alone
-                    t = int(text[k + w])
+            for size in PARA_SIZES:
+                for t, at, k, c in _near(s, codes, starts, size):  # the words' order decides at every window
+                    o = s["items"][k]
                     mine = split.get(t) or split.setdefault(t, words(texts[t]))
-                    begin = int(first[k + w] - starts[t])
-                    share = subsequence(mine[begin : begin + PARA_WORDS], s["passages"][o]) / max(1, min(int(size[w]), len(s["passages"][o])))
+                    part = mine[at - starts[t] :][:size]
+                    share = subsequence(part, s["passages"][o]) / min(len(part), len(s["passages"][o]))
                     if share >= PARA_LCS and (share, c) > best.get((t, o), (0.0, 0.0)):
                         best[t, o] = share, c
             out = [(ids[t], o, c, share, common_run(split[t], s["passages"][o]), _answered(split[t], s["answers"][o])) for (t, o), (share, c) in sorted(best.items())]
@@ -265,32 +317,35 @@ def _batches(items: DataFrame) -> Iterator[list]:
         yield block
 
 
-def _index(docs: DataFrame, block: list, size: int, step: int, partial: bool) -> dict | None:
+def _index(docs: DataFrame, block: list, sizes: dict[int, int], partial: bool) -> dict | None:
+    """What a search needs of a block of items; the space is fitted on the first of ``sizes`` (size: step)."""
     spark = docs.sparkSession
     vocabulary = {w: i for i, w in enumerate(sorted({w for _, ws, _ in block for w in ws}))}
     if not vocabulary:
         return None
-    idf = inverse_frequencies(docs, vocabulary)
-    codes = [vocabulary[w] for _, ws, _ in block for w in ws]
+    codes = np.array([vocabulary[w] for _, ws, _ in block for w in ws], np.int32)
     starts = np.cumsum([0] + [len(ws) for _, ws, _ in block])
-    text, first = windows(starts, size, step, partial)
-    if not len(first):
+    cut = {size: windows(starts, size, step, partial) for size, step in sizes.items()}
+    if not len(next(iter(cut.values()))[0]):
         return None
-    padded = np.r_[np.array(codes, np.int32), np.full(size, -1, np.int32)]
-    at = first[:, None] + np.arange(size)
-    rows = np.where(at < starts[text + 1][:, None], padded[at], -1)
-    owner = np.array([i for i, _, _ in block])[text]
-    passages = spark.createDataFrame(pa.table({"codes": pa.array(rows.tolist(), pa.list_(pa.int32()))}))
+    idf = inverse_frequencies(docs, vocabulary)
+    rows = {size: _rows(np.r_[codes, np.full(size, -1, np.int32)], starts, text, first, size) for size, (text, first) in cut.items()}
+    passages = spark.createDataFrame(pa.table({"codes": pa.array(next(iter(rows.values())).tolist(), pa.list_(pa.int32()))}))
     space = latent_space(passages, len(vocabulary), idf)
-    index = project(rows, idf, space.astype(np.float32))
-    return {"vocabulary": vocabulary, "idf": idf, "space": space, "index": index, "owner": owner, "passages": {i: ws for i, ws, _ in block}, "answers": {i: a for i, _, a in block}}
+    indexes = {size: (project(r, idf, space.astype(np.float32)), cut[size][0]) for size, r in rows.items()}
+    held = [k for k, (_, ws, _) in enumerate(block) if ws]
+    where = np.full(len(block), -1)
+    where[held] = np.arange(len(held))
+    indexes = {size: (index, where[owner]) for size, (index, owner) in indexes.items()}
+    members = Members([codes[starts[k] : starts[k + 1]] for k in held], len(vocabulary))
+    return {"vocabulary": vocabulary, "idf": idf, "space": space, "indexes": indexes, "items": [block[k][0] for k in held], "lengths": np.diff(starts)[held], "members": members, "passages": {i: ws for i, ws, _ in block}, "answers": {i: a for i, _, a in block}}
 
 
-def _over_items(docs: DataFrame, items: DataFrame, size: int, step: int, partial: bool, search, schema: str) -> DataFrame:
+def _over_items(docs: DataFrame, items: DataFrame, sizes: dict[int, int], partial: bool, search, schema: str) -> DataFrame:
     out = None
     docs = docs.select("doc_id", "text")
     for block in _batches(items):
-        found = _index(docs, block, size, step, partial)
+        found = _index(docs, block, sizes, partial)
         if found:
             part = docs.mapInArrow(search(docs.sparkSession.sparkContext.broadcast(found)), schema)
             out = part if out is None else out.unionByName(part)
@@ -302,7 +357,7 @@ def verbatim_leaks(docs: DataFrame, items: DataFrame) -> DataFrame:
 
     Null and empty texts and passages give no rows; repeated documents give a row each.
     """
-    return _over_items(docs, items, WINDOW, 1, False, _search, "doc_id bigint, item_id bigint")
+    return _over_items(docs, items, {WINDOW: 1}, False, _search, "doc_id bigint, item_id bigint")
 
 
 def paraphrases(docs: DataFrame, items: DataFrame) -> DataFrame:
@@ -311,4 +366,4 @@ def paraphrases(docs: DataFrame, items: DataFrame) -> DataFrame:
     ``lcs_share`` is the longest common subsequence by the shorter side; ``answer_found`` is null where
     the item has no answer.
     """
-    return _over_items(docs, items, PARA_WORDS, PARA_STEP, True, _rephrased, "doc_id bigint, item_id bigint, cosine double, lcs_share double, verbatim boolean, answer_found boolean")
+    return _over_items(docs, items, {size: size // 4 for size in PARA_SIZES}, True, _rephrased, "doc_id bigint, item_id bigint, cosine double, lcs_share double, verbatim boolean, answer_found boolean")

@@ -253,6 +253,39 @@ def test_paraphrases(spark):
     assert got == {(1, 7): (False, True), (2, 8): (True, False)}
 
 
+def test_reworded_parts_of_long_texts_against_brute_force(spark):
+    rng = random.Random(6)
+    vocabulary, filling = [f"word{i}" for i in range(900)], [f"fill{i}" for i in range(900)]
+    items = [(i, " ".join(rng.choices(vocabulary, k=n)), None) for i, n in enumerate([17, 20, 39, 60, 61, 90])]
+    docs, planted = [], set()
+    for d in range(60):
+        i, passage, _ = rng.choice(items)
+        ws = passage.split()
+        n = min(len(ws), rng.randint(17, 24))
+        at = rng.choice([0, len(ws) - n, rng.randrange(len(ws) - n + 1)])
+        part = [w if rng.random() < 0.8 else rng.choice(filling) for w in ws[at : at + n]]
+        before = rng.choices(filling, k=rng.randint(0, 90))
+        docs.append((d, " ".join(before + part + rng.choices(filling, k=rng.choice([0, 0, 50])))))
+        planted.add((d, i))
+    want = set()
+    for d, t in docs:
+        for i, p, _ in items:
+            a, b = t.split(), p.split()
+            for size in leaks.PARA_SIZES:
+                parts = [a[k : k + size] for k in range(max(1, len(a) - size + 1))]
+                if any(leaks.subsequence(x, b) >= leaks.PARA_LCS * min(len(x), len(b)) for x in parts):
+                    want.add((d, i))
+    df, it = spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, passage string, answer string")
+    got = {(r.doc_id, r.item_id) for r in leaks.paraphrases(df, it).collect()}
+    assert len(want & planted) > 50 and got == want
+
+
+def test_every_word_is_in_a_window():
+    starts = np.array([0, 5, 40, 73, 73])
+    text, first = leaks.windows(starts, 16, 4, partial=True)
+    assert {w for f, t in zip(first, text, strict=True) for w in range(f, min(f + 16, starts[t + 1]))} == set(range(73))
+
+
 def test_window_in_order_counts_beside_a_nearer_shuffled_one(spark):
     rng = random.Random(2)
     passage = [f"word{i}" for i in range(32)]
