@@ -107,15 +107,37 @@ def candidates(word: str) -> dict[str, list[str]]:
     return found
 
 
+def spans(page: str) -> Iterator[tuple[int, int, str]]:
+    """Where texts and attribute values outside code, scripts, styles and comments stand, entities decoded."""
+    begin = 0
+    for m in [*_QUOTED.finditer(page), None]:
+        end = m.start() if m else len(page)
+        at = begin
+        for cut in [*_SPLIT.finditer(page, begin, end), None]:
+            stop = cut.start() if cut else end
+            s = page[at:stop]
+            if "&" in s:
+                s = html.unescape(s)
+            if not s.isascii():
+                yield at, stop, s
+            at = cut.end() if cut else stop
+        begin = m.end() if m else end
+
+
 def segments(page: str) -> list[str]:
     """Texts and attribute values outside code, scripts, styles and comments, entities decoded."""
-    out = []
-    for s in _SPLIT.split(_QUOTED.sub("<", page)):
-        if "&" in s:
-            s = html.unescape(s)
-        if not s.isascii():
-            out.append(s)
-    return out
+    return [s for _, _, s in spans(page)]
+
+
+def escaped(raw: str, text: str, fixed: str) -> str:
+    """``fixed`` as it stands in html in place of ``raw``, which reads ``text``; words that stay keep their entities."""
+    if raw == text:
+        return fixed
+    old, new = _WORD.findall(raw), _WORD.findall(fixed)
+    if [html.unescape(w) for w in old] != _WORD.findall(text) or len(old) != len(new):
+        return html.escape(fixed)
+    words = iter([o if html.unescape(o) == n else html.escape(n) for o, n in zip(old, new, strict=True)])
+    return _WORD.sub(lambda _: next(words), raw)
 
 
 def looks_damaged(word: str) -> bool:
@@ -281,7 +303,8 @@ def judge(model: Model, page: str | None, margin: float = MARGIN, declared: str
     if not page or (page.isascii() and "&" not in page):
         return False, False, "", 0.0, None
     lost, fixes, total = False, {}, defaultdict(float)
-    for s in dict.fromkeys(segments(page)):
+    found = list(spans(page))
+    for s in dict.fromkeys(s for _, _, s in found):
         lost |= "�" in s
         chain, gain = segment_chain(model, s)
         if gain > 0.5 * margin:
@@ -294,10 +317,12 @@ def judge(model: Model, page: str | None, margin: float = MARGIN, declared: str
         fixes = {}
     if not lost and not fixes:
         return False, False, "", best[1], None
-    restored = page
-    for s in sorted(fixes, key=len, reverse=True):
-        restored = restored.replace(s, fixes[s])
-    return True, not lost, best[0] if fixes else "", best[1], None if lost else restored
+    parts, at = [], 0
+    for begin, end, s in found if not lost else ():
+        if s in fixes:
+            parts += page[at:begin], escaped(page[begin:end], s, fixes[s])
+            at = end
+    return True, not lost, best[0] if fixes else "", best[1], None if lost else "".join(parts) + page[at:]
 
 
 #: Python names of labels that headers use.

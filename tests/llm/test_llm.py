@@ -178,6 +178,25 @@ def test_clean_text_stays(text):
     assert encoding.judge(MODEL, text and f"<p>{text}</p>")[0] is False
 
 
+@pytest.mark.parametrize("lang", ["de", "ru"])
+def test_damaged_segment_with_entities_is_undone(lang):
+    text = CLEAN[lang]
+    bad = misread(text.encode(), "cp1252")
+    head, tail = bad.split(" ", 1)
+    for whole in (f"{bad} Tom &amp; Co &lt;x", f"Tom&nbsp;A &amp; {bad}", f"{head} &amp; {tail}"):
+        page = f'<p title="{whole}">{whole}</p><p>&amp;</p><code>{bad}</code>'
+        fixed = page.split("<code>")[0].replace(bad, text).replace(head, text.split(" ", 1)[0]).replace(tail, text.split(" ", 1)[1])
+        assert encoding.judge(MODEL, page)[4] == f"{fixed}<code>{bad}</code>"
+    written = "".join(f"&#{ord(c)};" if not c.isascii() else c for c in bad)
+    assert encoding.judge(MODEL, f"<p>{written}</p>")[4] == f"<p>{text}</p>"
+
+
+def test_spans_lie_where_their_segments_stand():
+    page = '<p title="é &amp; ü">ä</p><code>ö</code>ß &eacute;<!-- ñ --> x'
+    assert [page[a:b] for a, b, _ in encoding.spans(page)] == ["é &amp; ü", "ä", "ß &eacute;"]
+    assert encoding.segments(page) == ["é & ü", "ä", "ß é"]
+
+
 def test_margin_separates_held_out_words():
     held = ["Die Wärme über Mühle und Straße", "Le guide des débutants à la rivière", "Мастерская у реки работает"]
     for t in held:
