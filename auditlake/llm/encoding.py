@@ -36,7 +36,7 @@ FIRST_MARGIN = 4.0
 #: Rounds of decoding that may lie on top of each other.
 DEPTH = 3
 
-_QUOTED = re.compile(r"<(script|style|code|pre|samp|kbd|tt)\b.*?</\1\s*>|<!--.*?-->", re.S | re.I)
+_QUOTED = re.compile(r"<code\b.*?</code\s*>", re.S | re.I)
 _SPLIT = re.compile(r'[<>"]+')
 _WORD = re.compile(r"[^\x00-\x20]+")
 
@@ -108,7 +108,7 @@ def candidates(word: str) -> dict[str, list[str]]:
 
 
 def spans(page: str) -> Iterator[tuple[int, int, str]]:
-    """Where texts and attribute values outside code, scripts, styles and comments stand, entities decoded."""
+    """Where texts and attribute values outside code elements, comments and scripts too, stand, entities decoded."""
     begin = 0
     for m in [*_QUOTED.finditer(page), None]:
         end = m.start() if m else len(page)
@@ -125,7 +125,7 @@ def spans(page: str) -> Iterator[tuple[int, int, str]]:
 
 
 def segments(page: str) -> list[str]:
-    """Texts and attribute values outside code, scripts, styles and comments, entities decoded."""
+    """Texts and attribute values outside code elements, comments and scripts too, entities decoded."""
     return [s for _, _, s in spans(page)]
 
 

@@ -191,10 +191,17 @@ def test_damaged_segment_with_entities_is_undone(lang):
     assert encoding.judge(MODEL, f"<p>{written}</p>")[4] == f"<p>{text}</p>"
 
 
+@pytest.mark.parametrize("around", ["<pre>{}</pre>", "<script type='application/ld+json'>{{'name': '{}'}}</script>", "<!-- {} -->", "<samp>{}</samp>"])
+def test_damage_counts_anywhere_but_in_code(around):
+    bad = misread(CLEAN["de"].encode(), "cp1252")
+    assert encoding.judge(MODEL, around.format(bad))[4] == around.format(CLEAN["de"])
+    assert not encoding.judge(MODEL, around.format(f"<code>{bad}</code>"))[0]
+
+
 def test_spans_lie_where_their_segments_stand():
     page = '<p title="é &amp; ü">ä</p><code>ö</code>ß &eacute;<!-- ñ --> x'
-    assert [page[a:b] for a, b, _ in encoding.spans(page)] == ["é &amp; ü", "ä", "ß &eacute;"]
-    assert encoding.segments(page) == ["é & ü", "ä", "ß é"]
+    assert [page[a:b] for a, b, _ in encoding.spans(page)] == ["é &amp; ü", "ä", "ß &eacute;", "!-- ñ --"]
+    assert encoding.segments(page) == ["é & ü", "ä", "ß é", "!-- ñ --"]
 
 
 def test_margin_separates_held_out_words():
