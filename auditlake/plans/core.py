@@ -298,11 +298,8 @@ def crawl_delay_by_host(spark: SparkSession, sf_dir: str) -> DataFrame:
 def sitemap_locs(spark: SparkSession, sf_dir: str) -> DataFrame:
     """URLs that a sitemap of each host's captures names, at most fifty."""
     pages = table(spark, sf_dir, "page").where("host IS NOT NULL AND url IS NOT NULL").select("host", "url").distinct()
-    from pyspark.sql import Window
-
-    first = pages.withColumn("n", F.row_number().over(Window.partitionBy("host").orderBy("url"))).where(F.col("n") <= sitemap.MAX_URLS + 10)
     loc = F.concat(F.lit("<url><loc> "), F.replace(F.col("url"), F.lit("&"), F.lit("&amp;")), F.lit(" </loc></url>"))
-    body = first.groupBy("host").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("n", loc.alias("l")))), lambda x: x["l"]), "").alias("b"))
+    body = pages.groupBy("host").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("url", loc.alias("l")))), lambda x: x["l"]), "").alias("b"))
     full = F.concat(F.lit('<urlset xmlns="http://www.sitemaps.org/schemas/sitemap/0.9">'), "b", F.lit("</urlset>"))
     return body.select("host", F.posexplode(sitemap.read_sitemap(full)["locs"]).alias("pos", "loc"))
 

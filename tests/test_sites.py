@@ -127,3 +127,12 @@ def test_link_columns(spark):
     rows = urls.with_links(df).collect()
     assert (rows[0].internal, rows[0].external, rows[0].discovered) == (["https://a.example/x"], ["https://b.example/"], ["https://a.example/x", "https://a.example/p"])
     assert rows[1].internal == [] and rows[2].discovered == []
+
+
+def test_sitemap_bodies_hold_all_urls_of_a_host(spark, tmp_path, monkeypatch):
+    from auditlake.plans import core
+
+    spark.createDataFrame([("h", f"https://h/{i:03}") for i in range(100)], "host string, url string").write.parquet(f"{tmp_path}/page.parquet")
+    assert core.sitemap_locs(spark, str(tmp_path)).count() == 50
+    monkeypatch.setattr(core.sitemap, "read_sitemap", lambda body: F.struct(F.regexp_extract_all(body, F.lit("<loc> (.*?) </loc>")).alias("locs")))
+    assert [r.loc for r in core.sitemap_locs(spark, str(tmp_path)).orderBy("pos").collect()] == [f"https://h/{i:03}" for i in range(100)]
