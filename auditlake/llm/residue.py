@@ -1,11 +1,11 @@
 """Template residue, filler, error pages and calls for scripts in place of content.
 
-Captures are cut into units: sentences of their blocks, and placeholder tokens. Units that certainly
-are residue carry trusted labels. Near-duplicates are found by their rarest character shingles (prefix
-filter: units that share enough of all shingles share one of these), verified by shared shingles, and
-labels spread through the connected components that hold a trusted unit. Last, a capture is judged by
-the labels of its units and by what real text stands beside them. The SimHash tables (one per pair of
-fingerprint blocks) are a cheaper search that finds part of the near-duplicates only.
+Captures are cut into units: sentences of their blocks, and placeholder tokens. Few units, the seeds, are
+residue for certain and carry trusted labels. Labels spread through connected components: from unit to
+near-duplicate unit (partitioned SimHash tables, one per pair of fingerprint blocks, then Hamming
+distance and shared shingles; a search by rarest shingles adds the pairs that differ in more bits), and
+from captures that say nothing but a message to what else they say. Last, a capture is judged by the
+labels of its units and by what real text stands beside them.
 """
 
 from __future__ import annotations
@@ -21,12 +21,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from auditlake.session import broadcast_if_small, materialize
+from auditlake.session import BROADCAST_ROWS, broadcast_if_small, materialize
 
 #: SimHash search: fingerprints differ in at most so many of 64 bits.
 HAMMING = 5
 #: Fingerprint blocks (bits each); with HAMMING = 5 at least two of seven agree, hence 21 tables.
 BLOCKS = (9, 9, 9, 9, 9, 9, 10)
+TABLES = len(BLOCKS) * (len(BLOCKS) - 1) // 2
 #: Least share of common character shingles, and their length.
 SIMILAR, SHINGLE = 0.8, 4
 #: Buckets in which shingles are counted, which puts them in order from rare to frequent.
@@ -36,29 +37,29 @@ REAL_WORDS, REAL_CHARS = 5, 10
 #: A sentence of so many characters is real, too, however few spaces it has.
 LONG_CHARS = 20
 #: A word belongs to filler if it is so much more frequent there, and so often; share of such words that
-#: makes a sentence filler; most words kept.
-FILLER_RATIO, FILLER_COUNT, FILLER_SHARE, FILLER_WORDS = 5.0, 3, 0.6, 300
+#: makes a sentence filler.
+FILLER_RATIO, FILLER_COUNT, FILLER_SHARE = 5.0, 3, 0.6
 
-# Placeholder tokens of template languages and mail-merge systems.
+# Chosen patterns: placeholder tokens of template languages and mail-merge systems.
 TOKENS = (
-    r"\{\{[^{}\n]{1,80}\}\}",
-    r"\{%[^{}\n]{1,80}%\}",
-    r"<%[=-]?[^<>\n]{1,80}%>",
-    r"<\?(?:=|php)[^<>\n]{1,80}\?>",
-    r"[$#]\{[^{}\n]{1,60}\}",
-    r"%%[A-Za-z][\w .-]{0,40}%%",
+    r"\{\{[^{}\n]+\}\}",
+    r"\{%[^{}\n]+%\}",
+    r"<%[=-]?[^<>\n]+%>",
+    r"<\?(?:=|php)[^<>\n]+\?>",
+    r"[$#]\{[^{}\n]+\}",
+    r"%%[A-Za-z][\w .-]*%%",
     r"(?<![\w%])%[A-Za-z]+(?:_[A-Za-z]+)+%(?![\w%])",
-    r"\[\[[+*$~]?[A-Za-z][\w .-]{0,40}\]\]",
-    r"\[%[^\[\]\n]{1,60}%\]",
-    r"\$\$[A-Za-z]\w{0,40}\$\$",
-    r"@@[A-Za-z]\w{0,40}@@",
-    r"(?<!\w)__[A-Za-z]\w{0,40}?__(?!\w)",
-    r"<<\s*[A-Za-z][\w .]{0,40}>>",
-    r"\*\|[A-Za-z][\w:]{0,40}\|\*",
-    r"(?<!\w)~[A-Z][A-Z_]{2,40}~(?!\w)",
-    r"(?<![\w{$#])\{[A-Z][A-Z_]{2,40}\}(?!\})",
-    r"(?i:\[(?:insert|enter|add|your|type|replace)\b[^\[\]\n]{1,60}\])",
-    r"(?i:<(?:insert|enter|add|your|type)\s[^<>\n]{1,60}>)",
+    r"\[\[[+*$~]?[A-Za-z][\w .-]*\]\]",
+    r"\[%[^\[\]\n]+%\]",
+    r"\$\$[A-Za-z]\w*\$\$",
+    r"@@[A-Za-z]\w*@@",
+    r"(?<!\w)__[A-Za-z]\w*?__(?!\w)",
+    r"<<\s*[A-Za-z][\w .]*>>",
+    r"\*\|[A-Za-z][\w:]*\|\*",
+    r"(?<!\w)~[A-Z][A-Z_]{2,}~(?!\w)",
+    r"(?<![\w{$#])\{[A-Z][A-Z_]{2,}\}(?!\})",
+    r"(?i:\[(?:insert|enter|add|your|type|replace)\b[^\[\]\n]+\])",
+    r"(?i:<(?:insert|enter|add|your|type)\s[^<>\n]+>)",
     r"\[[A-Z][\w’']*(?: [\w’']+){1,4}\]",
     r"\[(?:Town|City|Name|Date|Price|Phone|Address|Company|Title|Street|Country|Email|Author|Brand|Category|Headline|Label|Product|Site|Slogan|State|Subtitle|Summary|Tagline)\]",
     r"(?i:<[a-z]+ [a-z_]+ here>)",
@@ -68,7 +69,7 @@ _TOKEN = re.compile("|".join(TOKENS))
 _SLOTS_ONLY = re.compile(r"^\W*(?:\{\d\}\W*)+$")
 _LIKELY = re.compile(r"[{}\[\]%$@~_|<#]")
 
-# Notes to the author that should have been replaced (whole sentences, in lower case).
+# Chosen patterns: notes to the author that should have been replaced (whole sentences, in lower case).
 NOTES = (
     r"\[?(?:put |write |type |enter )?your (?:\w+ ){1,3}(?:goes |comes )?here\]?",
     r"(?:click|tap) here to (?:edit|add|change)\b.*",
@@ -85,65 +86,33 @@ NOTES = (
     r"(?:введите|вставьте) (?:свой |ваш )?(?:текст|заголовок)(?: здесь)?",
     r"ここに(?:テキスト|文章|タイトル|見出し)を?.{0,8}",
 )
-# Calls for scripts.
+# Seeds: few general messages; what else such captures say is learned from them (``learn``, ``Near``).
 SCRIPTS = (
-    r"(?=.*\b(?:java ?script|scripts?|scripting)\b)(?=.*\b(?:enable[ds]?|activat\w+|turn(?:ed)?|switch|requires?|needs?|disabled|run|allowed|allow|blocked)\b).*",
-    r"(?=.*javascript)(?=.*(?:activer|activez|aktivier|active|activar|habilit|ative|ativar|attiva|abilita|schakel|włącz|включ|有効|启用|활성화)).*",
-    r"we can ?not show this (?:page|site) without it",
-    r"turn it on in (?:the settings of )?your browser.*",
+    r"(?=.*\b(?:java ?script|scripts?|scripting)\b)(?=.*(?:enable|activ|aktivier|habilit|attiva|schakel|włącz|включ|turn|switch|requires?|needs?|disabled|allowed|blocked|\brun\b)).*",
+    r"(?=.*javascript)(?=.*(?:有効|启用|활성화)).*",
     r"(?:checking|verifying) (?:if )?your browser.*",
-    r"just a moment|one moment|loading",
 )
-# Messages of error pages.
 ERRORS = (
-    r".*\b(?:page|file|address|url|resource|site|item)\b.{0,24}\b(?:not found|not be found|does not exist|doesn.t exist|no longer exists?|is gone|was deleted|has moved).*",
-    r"(?:error )?0[ :-]*(?:not found|forbidden|bad gateway|internal server error|service unavailable|gateway timeout|unauthorized|gone|too many requests)?",
-    r"(?:error|http error) 0.*|0+ (?:not found|forbidden|bad gateway|internal server error|service (?:temporarily )?unavailable|gateway time-?out|unauthorized|gone)",
-    r"(?:not found|forbidden|access denied|bad gateway|gone|oops|internal server error|service unavailable|too many requests|session expired|account suspended|site offline|warning|unhandled exception|something went wrong|page not found)",
-    r".*\bhas been removed for good|(?:this )?(?:item|content|page) has been (?:removed|deleted).*",
-    r".*\bno permission to (?:see|view|access|open).*|you (?:are not allowed|don.t have permission|do not have permission).*|reference id.*",
-    r".*\btoo many requests\b.*|try again (?:in|later)\b.*",
-    r".*\bdown for maintenance\b.*|(?:please )?come back (?:soon|later)|.*\b(?:site|service|page) is (?:currently |temporarily )?(?:offline|unavailable|down)\b.*",
-    r".*\bupstream server\b.*|the server (?:met|encountered|returned)\b.*|(?:please )?(?:tell|contact|inform) (?:the|your) (?:site owner|provider|administrator|webmaster|host).*",
-    r"an (?:unexpected )?error (?:has )?occurred\b.*|something went wrong.*|(?:error )?code e?-?0+",
-    r".*\bsession has (?:expired|timed out).*|(?:please )?(?:sign|log) in again",
-    r".*\baccount (?:has been|is|was) suspended.*",
-    r"error establishing a database connection|.*\bdatabase (?:error|connection) (?:failed|error)\b.*|can(?:not|.t) connect to (?:the )?database.*",
-    r"(?:uncaught )?(?:type|reference|syntax|range|value|key)error\b.*|unhandled (?:exception|error)\b.*|.*\b(?:could not|failed to) open stream\b.*|(?:fatal |parse )?error: .*|traceback\b.*|stack trace\b.*|no such file in .*",
-    r"page introuvable|.*\b(?:page|adresse) demandée n.(?:existe|est).*|.*a changé d.adresse",
-    r"seite nicht gefunden|.*\bseite (?:gibt es|existiert|wurde)\b.{0,20}\b(?:nicht|gelöscht|verschoben)\b.*",
-    r"página no encontrada|.*\b(?:dirección|página) (?:solicitada|que busca) no existe\b.*",
-    r"página não encontrada|.*\b(?:página|endereço) (?:que procura|solicitad[ao]) não existe\b.*",
-    r"страница не найдена|.*(?:запрошенн\S+ (?:адрес|страница)|страница) не (?:существует|найден\S*)",
-    r"(?:nie znaleziono strony|strona nie (?:została znaleziona|istnieje)).*",
-    r"ページが見つかりません|.*(?:ページ|アドレス).{0,12}(?:移動|削除|存在しません|見つかりません).*",
-    r"we looked everywhere.*|.*\bthis page is gone\b.*",
+    # Reason phrases of HTTP (fixed values), alone or after their number.
+    r"(?:error |http error )?(?:0 )?(?:bad request|unauthorized|payment required|forbidden|not found|method not allowed|not acceptable|request timeout|conflict|gone|too many requests|internal server error|not implemented|bad gateway|service (?:temporarily )?unavailable|gateway time-?out)",
+    r"(?:page not found|page introuvable|seite nicht gefunden|página no encontrada|página não encontrada|страница не найдена|nie znaleziono strony|pagina non trovata|ページが見つかりません)",
+    r"(?:this |the |we |sorry)[^“”\"«»]*\b(?:page|file|address|url|resource)\b[^“”\"«»]*\b(?:not found|not exist|no longer|was deleted)\b[^“”\"«»]*|.*\b(?:no|not have|don.t have) permission to (?:see|view|access|open)\b.*",
+    r"error|warning|oops|ouch",
+    r"(?:an? (?:unexpected |internal )?error (?:has )?occurred|something went wrong|access denied|unhandled exception|error establishing a database connection)\b.*",
+    r"(?:session|account|site|service) (?:expired|suspended|offline|unavailable)",
 )
-# Filler.
 FILLERS = (
     r"lorem ipsum\b.*",
-    r"(?:dummy|sample|placeholder|example|demo) (?:content|text|paragraph|headline)\b.*",
-    r"this is (?:a )?(?:sample|dummy|placeholder|example|filler) (?:text|content|paragraph|page)\b.*",
-    r".*\b(?:some )?text to fill the space\b.*",
-    r"(?:(\w+) )(?:\1,? ?){2,}\W*",
-    r"blah(?:,? blah)+",
-    r"(?:asdf|qwerty|jkl|xxx+|foo|bar|test)(?:[ ,]+(?:asdf|qwerty|jkl|xxx+|foo|bar|test))+",
-    r"dies ist (?:ein|nur ein) blindtext\b.*|blindtext\b.*",
-    r"texte (?:fictif|de remplissage|d.exemple)\b.*|faux texte\b.*",
-    r"texto de (?:relleno|ejemplo|prueba|preenchimento|exemplo)\b.*",
-    r"tekst (?:przykładowy|zastępczy)\b.*|текст[- ](?:рыба|заполнитель)\b.*|(?:これは)?ダミー(?:テキスト|文章).*",
+    r"(\w+) (?:\1,? ?){2,}",
 )
-# Links and signatures that stand beside such messages.
-BESIDE = (r"(?:go )?back to (?:the )?(?:home|start)(?: ?page)?", r"return to the (?:previous|home|start) ?page", r"try the search", r"go back(?: to the start page)?", r"home", r"nginx(?:/[\d.]+)?|apache(?:/[\d.]+)?.*|cloudflare")
-
-_LABELS = [(name, re.compile("(?:" + "|".join(f"(?:{p})" for p in pats) + r")\W*$", re.S)) for name, pats in (("note", NOTES), ("link", BESIDE), ("filler", FILLERS), ("script", SCRIPTS), ("error", ERRORS))]
-_FILLER = dict(_LABELS)["filler"]
-#: Keyboard noise, alone or before other filler.
-_NONSENSE = re.compile(r"^(?:(?:asdf|qwerty|jkl|xxx+|foo|bar)(?:[ ,]+|$)){2,}")
-#: Messages are short: longer sentences talk about such things.
+
+_LABELS = [(name, tuple(re.compile(rf"(?:{p})\W*$", re.S) for p in pats)) for name, pats in (("note", NOTES), ("filler", FILLERS), ("script", SCRIPTS), ("error", ERRORS))]
+#: Keyboard noise makes a sentence of its own, which is filler.
+_NOISE = re.compile(r"((?:(?<!\w)(?:asdf|qwerty|jkl|xxx+)(?!\w)[ ,]*){2,})")
+#: Seeds are short: longer sentences talk about such things. Learned messages may have any length.
 LONGEST = 16
 
-_DROP = re.compile(r"<!--.*?-->|<(script|style|pre|code|samp|kbd|template|textarea|svg)\b.*?</\1\s*>", re.S | re.I)
+_DROP = re.compile(r"<!--.*?-->|<(script|style|pre|code|template)\b.*?</\1\s*>", re.S | re.I)
 _NOSCRIPT = re.compile(r"<noscript\b[^>]*>(.*?)</noscript\s*>", re.S | re.I)
 _TITLE = re.compile(r"<title\b[^>]*>(.*?)</title\s*>", re.S | re.I)
 _META = re.compile(r"<meta\b[^>]*>", re.I)
@@ -210,15 +179,14 @@ def normal(sentence: str) -> str:
 
 
 def trusted_label(text: str) -> str | None:
-    """Label of a normalised sentence that certainly is residue; long sentences never are, but for filler."""
+    """Label of a normalised sentence that certainly is residue: a seed of the search."""
     core = text.strip(" .!?…。:;,\"'“”«»()")
-    rest = _NONSENSE.sub("", core)
-    if rest != core:
-        return "filler" if not rest or _FILLER.match(rest) else None
+    if _NOISE.fullmatch(core):
+        return "filler"
     if text.count(" ") >= LONGEST:
         return "filler" if text.startswith("lorem ipsum") else None
-    for name, pattern in _LABELS:
-        if pattern.match(core):
+    for name, patterns in _LABELS:
+        if any(p.match(core) for p in patterns):
             return name
     return None
 
@@ -250,7 +218,7 @@ def units(page: str | None) -> list[tuple[str, str]]:
                 out.append(("token", text))
         for s in _SENTENCE.split(text):
             if s and (n := normal(s)):
-                out.append((role, n))
+                out += [(role, t) for p in _NOISE.split(n) if (t := p.strip())] if _NOISE.search(n) else [(role, n)]
     return out
 
 
@@ -324,29 +292,43 @@ def similarity(a: str, b: str) -> float:
 
 #: Distinct units that a task remembers, so that each text is sent once per task, or nearly so.
 REMEMBERED = 300_000
-UNIT_SCHEMA = "page_id bigint, role string, unit bigint, words int, text string, label string"
+#: Where a unit stands in a capture, as bits.
+ROLES = {"title": 1, "meta": 2, "noscript": 4, "head": 8, "body": 16, "side": 32, "token": 64}
+MAIN, SAYS = ROLES["noscript"] | ROLES["head"] | ROLES["body"], ROLES["noscript"] | ROLES["body"]
+UNIT_SCHEMA = "page_id bigint, site string, roles int, unit bigint, words int, size int, page_units int, page_size int, page_real int, text string, label string"
+
+
+def _size(text: str) -> int:
+    """Words of a sentence; two characters stand for one in scripts without spaces."""
+    n = len(text.split())
+    return max(n, len(text) // 2) if any("\u3040" <= c <= "\u9fff" for c in text) else n
 
 
 def _cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """One row per capture and unit, with what the capture has of units and words in its main part."""
     sent: set[int] = set()
     for b in batches:
-        ids, roles, keys, words, texts, labels = [], [], [], [], [], []
-        for page_id, page in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
-            for role, text in set(units(page)):
+        rows = []
+        for page_id, site, page in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), b.column(2).to_pylist(), strict=True):
+            held: dict[int, list] = {}
+            for role, text in units(page):
                 if role == "token":
                     text = f"token: {text}"  # a unit of its own beside a sentence of that text
                 key, label, n = (_id(text), "token", 0) if role == "token" else unit(text)
-                ids.append(page_id)
-                roles.append(role)
-                keys.append(key)
-                words.append(n)
-                labels.append(label)
-                texts.append(None if key in sent else text)
-                sent.add(key)
+                if key in held:
+                    held[key][0] |= ROLES[role]
+                else:
+                    held[key] = [ROLES[role], n, 0 if role == "token" else _size(text), None if key in sent else text, label]
+                    sent.add(key)
+            main = [h for h in held.values() if h[0] & MAIN]
+            whole = len(main), sum(h[2] for h in main), sum(h[1] for h in main if h[0] & ROLES["body"])
+            rows += [(page_id, site, roles, key, n, size, *whole, text, label) for key, (roles, n, size, text, label) in held.items()]
         if len(sent) > REMEMBERED:
             sent.clear()
-        cols = [pa.array(ids, pa.int64()), pa.array(roles, pa.string()), pa.array(keys, pa.int64()), pa.array(words, pa.int32()), pa.array(texts, pa.string()), pa.array(labels, pa.string())]
-        yield pa.RecordBatch.from_arrays(cols, names=["page_id", "role", "unit", "words", "text", "label"])
+        types = (pa.int64(), pa.string(), pa.int32(), pa.int64(), *[pa.int32()] * 5, pa.string(), pa.string())
+        cols = list(zip(*rows, strict=True)) or [[]] * len(types)
+        names = [c.split()[0] for c in UNIT_SCHEMA.split(", ")]
+        yield pa.RecordBatch.from_arrays([pa.array(list(c), t) for c, t in zip(cols, types, strict=True)], names=names)
 
 
 def _tables(c: str = "print"):
@@ -373,13 +355,14 @@ def _prefixed(shared):
         for b in batches:
             keys, few, sizes = prefixes(b.column("text").to_pylist(), shared.value)
             lists = pa.ListArray.from_arrays(pa.array(np.r_[0, np.cumsum(few)].astype(np.int32)), pa.array(keys))
-            yield pa.RecordBatch.from_arrays([*b.columns, lists, pa.array(sizes.astype(np.int32))], names=[*b.schema.names, "keys", "size"])
+            prints = pa.array(fingerprints(b.column("text").to_pylist()))
+            yield pa.RecordBatch.from_arrays([*b.columns, lists, pa.array(sizes.astype(np.int32)), prints], names=[*b.schema.names, "keys", "size", "print"])
 
     return run
 
 
 def with_prefixes(texts: DataFrame) -> DataFrame:
-    """``texts`` (unit, text, label) with keys and size for the shingle search.
+    """``texts`` (unit, text, label) with print for the SimHash tables, keys and size for the shingle search.
 
     The driver gets one count for each of ``BUCKETS``. Buckets only order the shingles, so that few texts
     share a key; the search is complete in any order.
@@ -388,7 +371,7 @@ def with_prefixes(texts: DataFrame) -> DataFrame:
     counts = np.zeros(BUCKETS, np.int64)
     counts[found.column("bucket").to_numpy()] = found.column("n").to_numpy()
     shared = texts.sparkSession.sparkContext.broadcast(counts)
-    return texts.select("unit", "text", "label").mapInArrow(_prefixed(shared), "unit bigint, text string, label string, keys array<bigint>, size int")
+    return texts.select("unit", "text", "label").mapInArrow(_prefixed(shared), "unit bigint, text string, label string, keys array<bigint>, size int, print bigint")
 
 
 def _by_print(df: DataFrame) -> DataFrame:
@@ -415,74 +398,157 @@ def _similar(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield b.filter(pa.array(keep, pa.bool_())).select(["unit", "label"])
 
 
-def filler_words(texts: DataFrame) -> set[str]:
-    """Words that stand far more often in sentences which begin as filler than elsewhere (few, bounded)."""
+def filler_words(texts: DataFrame) -> list[str]:
+    """Words that stand far more often in sentences which begin as filler than elsewhere.
+
+    All of them, as a filler vocabulary is one of words, which does not grow with the captures.
+    """
     words = texts.where("label is null or label = 'filler'").select(F.explode(F.split("text", " ")).alias("w"), F.startswith("text", F.lit("lorem ipsum")).cast("int").alias("f"))
     words = words.select(F.regexp_replace("w", r"[^\p{L}]", "").alias("w"), "f").where("w <> ''")
-    total = words.agg(F.sum("f"), F.count("*")).collect()[0]
+    n = words.groupBy("w").agg(F.sum("f").alias("a"), F.count("*").alias("n"))
+    total = n.agg(F.sum("a"), F.sum("n")).collect()[0]
     seeds, rest = total[0] or 0, (total[1] or 0) - (total[0] or 0)
     if not seeds:
-        return set()
-    n = words.groupBy("w").agg(F.sum("f").alias("a"), F.count("*").alias("n")).where(F.col("a") >= FILLER_COUNT)
-    much = n.where(F.col("a") / F.lit(seeds) >= F.lit(FILLER_RATIO) * (F.col("n") - F.col("a") + 1) / F.lit(rest + 1))
-    return {r["w"] for r in much.orderBy(F.desc("a"), "w").limit(FILLER_WORDS).collect()}
+        return []
+    much = n.where((F.col("a") >= FILLER_COUNT) & (F.col("a") / F.lit(seeds) >= F.lit(FILLER_RATIO) * (F.col("n") - F.col("a") + 1) / F.lit(rest + 1)))
+    return sorted(r["w"] for r in much.select("w").toLocalIterator())
+
+
+def _filled(lexicon):
+    """Label sentences that are made of filler words."""
+    letters = re.compile(r"[\W\d_]+")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known = frozenset(lexicon.value)
+        for b in batches:
+            labels = b.column("label").to_pylist()
+            for i, (text, label) in enumerate(zip(b.column("text").to_pylist(), labels, strict=True)):
+                if label is None and len(ws := [w for x in text.split(" ") if (w := letters.sub("", x))]) >= 6 and sum(w in known for w in ws) >= FILLER_SHARE * len(ws):
+                    labels[i] = "filler"
+            yield pa.RecordBatch.from_arrays([b.column("unit"), b.column("text"), pa.array(labels, pa.string())], names=["unit", "text", "label"])
+
+    return run
+
+
+def _kept(df: DataFrame, name: str) -> tuple[DataFrame, int]:
+    """``df`` as a written table, and its rows: what decides whether it may be broadcast."""
+    kept = materialize(df, name)
+    return kept, kept.count()
+
+
+def _hint(df: DataFrame, rows: int) -> DataFrame:
+    return F.broadcast(df) if rows <= BROADCAST_ROWS else df
+
+
+def _pairs(texts: DataFrame, front: DataFrame, n: int, by_print: bool) -> DataFrame:
+    """(unit, label) of the units similar to one of the ``n`` in ``front``; ids and fingerprints are sent, texts only fetched for close ones."""
+    keyed, close, needs = (_by_print, _print_close(), ["print"]) if by_print else (_by_shingle, _shingle_close(), ["keys", "size"])
+    probe = keyed(front.select(F.col("unit").alias("other"), "label", *needs))
+    probe = probe.select("other", "label", "key", *[F.col(c).alias(f"near_{c}") for c in probe.columns if c not in ("other", "label", "key")])
+    probe = _hint(probe, n * TABLES) if by_print else broadcast_if_small(probe)
+    tables = keyed(texts.select("unit", *needs))
+    met, m = _kept(tables.join(probe, (tables["key"] == probe["key"]) & close & (F.col("unit") != F.col("other"))).select("unit", "other", "label").distinct(), "pairs")
+    with_text = _hint(met, m).join(texts.select("unit", "text"), "unit").join(_hint(front.select(F.col("unit").alias("other"), F.col("text").alias("near")), n), "other")
+    return with_text.select("unit", "label", "text", "near").mapInArrow(_similar, "unit bigint, label string").groupBy("unit").agg(F.min("label").alias("label"))
+
+
+def _spread(texts: DataFrame, known: DataFrame, front: DataFrame, rounds: int) -> DataFrame:
+    """``known`` (unit, label) and all that hangs together with ``front`` by near-duplicates."""
+    for by_print in [p for p, c in ((True, "print"), (False, "keys")) if c in texts.columns]:
+        needs = [c for c in ("print", "keys", "size") if c in texts.columns]
+        reached, edge, n = front, front, front.count()
+        for k in range(rounds + 1):
+            source = _hint(edge.select("unit", "label"), n).join(texts.select("unit", "text", *needs), "unit")
+            fresh, n = _kept(_pairs(texts, source, n, by_print).join(broadcast_if_small(known.select("unit")), "unit", "left_anti"), "spread")
+            if not n:
+                break
+            if k == rounds:
+                raise RuntimeError(f"labels still spread after {rounds} rounds")
+            known, reached, edge = known.unionByName(fresh), reached.unionByName(fresh), fresh
+        front = reached
+    return known
 
 
 def spread_labels(texts: DataFrame, rounds: int = 12) -> DataFrame:
     """(unit, label) of every unit in a connected component of near-duplicates with a trusted unit.
 
-    ``texts``: unit, text, label (null if not trusted), one row per unit, and what the search needs: keys and
-    size (``with_prefixes``), which finds every pair, or print for the SimHash tables. Each round searches
-    the units labelled last among all units; it ends when nothing new is found, or fails loudly after
-    ``rounds``. A unit reached with several labels takes the first in alphabetical order. Only pairs with a
-    labelled side are formed, and exact copies are one unit, so no group of copies is paired with itself.
+    ``texts``: unit, text, label (null if not trusted), one row per unit, and what the search needs: print
+    for the SimHash tables, or keys and size (``with_prefixes``) for the shingle search, or both: then the
+    tables go first and the shingle search, which finds every pair, adds what they miss. Each round
+    searches the units labelled last among all units; it ends when nothing new is found, or fails loudly
+    after ``rounds``. A unit reached with several labels takes the first in alphabetical order. Only pairs
+    with a labelled side are formed, and exact copies are one unit, so no group of copies is paired with itself.
     """
-    exact = "keys" in texts.columns
-    keyed, close, needs = (_by_shingle, _shingle_close(), ["keys", "size"]) if exact else (_by_print, _print_close(), ["print"])
-    tables = keyed(texts.where("label is null").select("unit", *needs))
-    known = texts.where("label is not null").select("unit", "label", "text", *needs)
-    front = known = materialize(known, "trusted")
-    for _ in range(rounds):
-        probe = keyed(front.select("label", "text", *needs))
-        probe = broadcast_if_small(probe.select("label", "key", *[F.col(c).alias("near" if c == "text" else f"near_{c}") for c in probe.columns if c not in ("label", "key")]))
-        pairs = tables.join(probe, (tables["key"] == probe["key"]) & close).select("unit", "label", "near").distinct().join(texts.select("unit", "text"), "unit")
-        found = pairs.mapInArrow(_similar, "unit bigint, label string").groupBy("unit").agg(F.min("label").alias("label"))
-        fresh = materialize(found.join(known.select("unit"), "unit", "left_anti").join(texts.select("unit", "text", *needs), "unit").select("unit", "label", "text", *needs), "spread")
-        if fresh.isEmpty():
-            return known.select("unit", "label")
-        known, front = known.unionByName(fresh), fresh
-    raise RuntimeError(f"labels still spread after {rounds} rounds")
+    known = materialize(texts.where("label is not null").select("unit", "label"), "trusted")
+    return _spread(texts, known, known, rounds)
+
+
+#: A capture says no more than its message if so few words of its main part are not of it, or so large a share
+#: of its units is; a unit belongs to messages if it stands in them at least so often.
+FEW_WORDS, SHARE_OF_PAGE, SHARE_OF_UNIT = 25, 0.3, 0.5
 
 
-def labelled(pages: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """Units of all captures (page_id, role, unit, words) and the labels of residue units."""
-    cut = materialize(pages.select("page_id", "html").mapInArrow(_cut, UNIT_SCHEMA), "units")
+def learn(stands: DataFrame, totals: DataFrame, known: DataFrame) -> DataFrame:
+    """(unit, label) of further units which captures that are messages say, too.
+
+    ``stands``: rows of ``UNIT_SCHEMA`` without texts; ``totals``: how many captures have a unit in their
+    body. A unit has to stand in such captures of two sites at least and, where it stands in a body, mostly
+    in theirs. Units are joined to captures through labelled units only, so unlabelled ones stay out.
+    """
+    shown = stands.where(F.col("roles").bitwiseAND(MAIN) != 0)
+    hit = shown.join(broadcast_if_small(known), "unit").where("label in ('error', 'script', 'filler')")
+    hit = hit.groupBy("page_id").agg(F.count("*").alias("n"), F.sum("size").alias("s"), F.min("label").alias("label"), F.max("page_units").alias("pu"), F.max("page_size").alias("ps"))
+    says, n = _kept(hit.where((F.col("ps") - F.col("s") <= FEW_WORDS) | (F.col("n") >= F.lit(SHARE_OF_PAGE) * F.col("pu"))).select("page_id", "label"), "messages")
+    met = shown.where(F.col("roles").bitwiseAND(SAYS) != 0).join(_hint(says, n), "page_id")
+    met = met.groupBy("unit").agg(F.count("*").alias("n"), F.min("label").alias("label"), (F.min("site") != F.max("site")).alias("sites"))
+    met = met.where("sites").join(known.select("unit"), "unit", "left_anti")
+    return met.join(totals, "unit").where(F.col("n") >= F.lit(SHARE_OF_UNIT) * F.col("total")).select("unit", "label")
+
+
+def labelled(pages: DataFrame, rounds: int = 12) -> tuple[DataFrame, DataFrame]:
+    """Units of all captures (``UNIT_SCHEMA``) and the labels (unit, label) of residue units.
+
+    Trusted labels spread over near-duplicates, then through captures to what else they say, and again
+    until nothing new is found.
+    """
+    site = F.col("host") if "host" in pages.columns else F.col("page_id").cast("string")
+    cut = materialize(pages.select("page_id", site.alias("site"), "html").mapInArrow(_cut, UNIT_SCHEMA), "units")
     texts = cut.where("text is not null").groupBy("unit").agg(F.min("text").alias("text"), F.min("label").alias("label"))
     texts = materialize(texts, "texts")
-    lexicon = sorted(filler_words(texts))
+    lexicon = filler_words(texts)
     if lexicon:
-        words = F.filter(F.transform(F.split("text", " "), lambda w: F.regexp_replace(w, r"[^\p{L}]", "")), lambda w: w != "")
-        known = F.array(*[F.lit(w) for w in lexicon])
-        share = F.size(F.filter(words, lambda w: F.array_contains(known, w))) / F.size(words)
-        texts = texts.withColumn("label", F.coalesce("label", F.when((F.size(words) >= 6) & (share >= FILLER_SHARE), "filler")))
-    return cut.select("page_id", "role", "unit", "words"), spread_labels(materialize(with_prefixes(texts), "texts"))
+        texts = texts.mapInArrow(_filled(pages.sparkSession.sparkContext.broadcast(lexicon)), "unit bigint, text string, label string")
+    texts = materialize(with_prefixes(texts), "texts")
+    stands = cut.drop("text", "label")
+    body = F.when(F.col("roles").bitwiseAND(ROLES["body"]) != 0, 1).otherwise(0)
+    totals = materialize(stands.where(F.col("roles").bitwiseAND(SAYS) != 0).groupBy("unit").agg(F.sum(body).alias("total")), "totals")
+    known = front = materialize(texts.where("label is not null").select("unit", "label"), "trusted")
+    for _ in range(rounds):
+        known = _spread(texts, known, front, rounds)
+        front = None
+        for _ in range(rounds):
+            fresh, n = _kept(learn(stands, totals, known), "learned")
+            if not n:
+                break
+            known, front = known.unionByName(fresh), fresh if front is None else front.unionByName(fresh)
+        if front is None:
+            return stands, known
+    raise RuntimeError(f"labels still spread after {rounds} rounds")
 
 
 def residue_pages(pages: DataFrame) -> DataFrame:
-    """(page_id, kinds): captures (page_id, html) with residue, and its sorted kinds.
+    """(page_id, kinds): captures (page_id, html and, if there is one, host) with residue, and its sorted kinds.
 
     A placeholder token or a note to the author counts in the title, the description or visible text, even
     beside real content. Filler, an error message or a call for scripts counts where no real sentence
     stands in the body. Null and empty html is no case; repeated captures are judged alike.
     """
     found, labels = labelled(pages)
-    per_unit = found.join(broadcast_if_small(labels), "unit", "left")
-    body = F.col("role") == "body"
-    shown = F.col("role") != "noscript"
-    per_page = per_unit.groupBy("page_id").agg(
-        F.max(F.col("label").isin("token", "note") & shown).alias("template"),
-        F.max(F.col("label").isin("error", "script", "filler") & F.col("role").isin("body", "head", "noscript")).alias("message"),
-        F.coalesce(F.sum(F.when(body & F.col("label").isNull(), F.col("words"))), F.lit(0)).alias("real"),
+    in_role = lambda mask: F.col("roles").bitwiseAND(mask) != 0
+    per_page = found.join(broadcast_if_small(materialize(labels, "labels")), "unit").groupBy("page_id").agg(
+        F.max(F.col("label").isin("token", "note") & in_role(127 - ROLES["noscript"])).alias("template"),
+        F.max(F.col("label").isin("error", "script", "filler") & in_role(MAIN)).alias("message"),
+        (F.max("page_real") - F.coalesce(F.sum(F.when(in_role(ROLES["body"]), F.col("words"))), F.lit(0))).alias("real"),
         F.array_sort(F.collect_set("label")).alias("kinds"),
     )
     return per_page.where(F.col("template") | (F.col("message") & (F.col("real") == 0))).select("page_id", "kinds")

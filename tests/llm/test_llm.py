@@ -68,6 +68,23 @@ def test_residue_cases(spark):
     assert {r.page_id for r in residue.residue_pages(df).collect()} == want
 
 
+def test_what_messages_say_is_learned_from_them(spark, monkeypatch):
+    says = ["The lift stopped between two floors.", "A person will look after it."]
+    rows = [(k, f"site{k % 3}", page("<h1>503 Service Unavailable</h1>" + "".join(f"<p>{x}</p>" for x in says))) for k in range(6)]
+    rows += [(10, "site9", page(f"<h1>Hm</h1><p>{says[0]}</p>")), (11, "site9", page(f"<h1>Hm</h1><p>{says[0].replace('two floors', 'the two upper floors')}</p>")), (12, "site8", page(REAL + f"<p>{says[1]}</p>")), (13, "site7", page(REAL))]
+    df = spark.createDataFrame(rows, "page_id long, host string, html string")
+    found = lambda: {r.page_id for r in residue.residue_pages(df).collect()}
+    assert found() == {*range(6), 10}
+    monkeypatch.setattr(residue, "learn", lambda stands, totals, known: known.limit(0))
+    assert found() == set()  # without the spread the unknown sentences are real
+
+
+def test_long_placeholders_and_form_fields(spark):
+    rows = [page(REAL + "<p>{{ " + "x" * 200 + " }}</p>"), page(REAL + "<textarea>{{ note }}</textarea>"), page(REAL + "<samp>%%NAME%%</samp>"), page(REAL + "<template>{{ row }}</template>")]
+    df = spark.createDataFrame(list(enumerate(rows)), "page_id long, html string")
+    assert {r.page_id for r in residue.residue_pages(df).collect()} == {0, 1, 2}
+
+
 def test_labels_spread_to_near_duplicates(spark):
     trusted = "the requested service is offline at the moment, please come back in a short while to try once more"
     near, nearer = trusted.replace("short", "shorter"), trusted.replace("short", "shorter").replace("offline", "off-line")
