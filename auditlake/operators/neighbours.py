@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark import TaskContext
@@ -15,7 +16,7 @@ from auditlake.session import materialize, parallelism
 
 def _link(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Link rows of one sorted partition; ``head`` and ``tail`` mark its first and last row."""
-    part, last, held = TaskContext.get().partitionId(), None, None
+    part, last, held, seen = TaskContext.get().partitionId(), None, None, 0
 
     def out(b: pa.RecordBatch, final: bool) -> pa.RecordBatch:
         n = b.num_rows
@@ -33,14 +34,18 @@ def _link(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         prev = pc.if_else(same, prior_k, pa.scalar(None, key.type))
         if held is not None:
             yield out(held, False)
-        held = pa.RecordBatch.from_arrays([group, key, prev, pa.array([part] * n, pa.int32()), pa.array([last is None] + [False] * (n - 1))], names=["group_key", "row_key", "prev_key", "part", "head"])
+        place = pa.array(np.arange(seen, seen + n) + (part << 40))
+        held = pa.RecordBatch.from_arrays([group, key, prev, pa.array([part] * n, pa.int32()), place, pa.array([last is None] + [False] * (n - 1))], names=["group_key", "row_key", "prev_key", "part", "place", "head"])
+        seen += n
         last = (group[-1].as_py(), key[-1].as_py())
     if held is not None:
         yield out(held, True)
 
 
 def with_neighbours(rows: DataFrame, group: str, key: str, order: list[str]) -> DataFrame:
-    """(group, key, prev_key, next_key) with a unique bigint ``key``, ordered by ``order``, then ``key``.
+    """(group, key, prev_key, next_key, place) with a unique bigint ``key``, ordered by ``order``, then ``key``.
+
+    ``place`` is a number that sorts all rows by group and order.
 
     Rows are range-partitioned on group and order, so a group that holds a third of all rows spreads
     over as many tasks as its share. Only the first and last row of each partition, at most two
@@ -51,7 +56,7 @@ def with_neighbours(rows: DataFrame, group: str, key: str, order: list[str]) ->
     cols = [F.col(group).alias("group_key"), F.col(key).cast("bigint").alias("row_key"), *[F.col(c).alias(f"o{i}") for i, c in enumerate(order)]]
     by = ["group_key", *[f"o{i}" for i in range(len(order))], "row_key"]
     ranged = rows.where(F.col(group).isNotNull()).select(*cols).repartitionByRange(parallelism(spark), *by).sortWithinPartitions(*by)
-    linked = materialize(ranged.select("group_key", "row_key").mapInArrow(_link, "group_key string, row_key bigint, prev_key bigint, part int, head boolean, tail boolean"), "neighbours")
+    linked = materialize(ranged.select("group_key", "row_key").mapInArrow(_link, "group_key string, row_key bigint, prev_key bigint, part int, place bigint, head boolean, tail boolean"), "neighbours")
     ends = sorted(linked.where("head or tail").collect(), key=lambda r: (r["part"], not r["head"]))
     fix, before = [], None
     for e in ends:
@@ -60,6 +65,6 @@ def with_neighbours(rows: DataFrame, group: str, key: str, order: list[str]) ->
         if e["tail"]:
             before = e
     patch = spark.createDataFrame(fix, "row_key bigint, across bigint")
-    prev = linked.join(F.broadcast(patch), "row_key", "left").select("group_key", "row_key", F.coalesce("prev_key", "across").alias("prev_key"))
+    prev = linked.join(F.broadcast(patch), "row_key", "left").select("group_key", "row_key", F.coalesce("prev_key", "across").alias("prev_key"), "place")
     follow = prev.where("prev_key is not null").select(F.col("prev_key").alias("row_key"), F.col("row_key").alias("next_key"))
-    return prev.join(follow, "row_key", "left").select(F.col("group_key").alias(group), F.col("row_key").alias(key), "prev_key", "next_key")
+    return prev.join(follow, "row_key", "left").select(F.col("group_key").alias(group), F.col("row_key").alias(key), "prev_key", "next_key", "place")

@@ -16,8 +16,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 FINDING = "struct<check_id:string,category:string,severity:string,message:string,penalty:string>"
-#: How often a report may be wrapped in a JSON string or in an envelope.
-MAX_WRAPS = 4
+#: Layers of JSON strings and envelopes taken off by plain columns; a loop takes off any beyond them.
+PLAIN_WRAPS = 3
 
 
 def _parse(text: str) -> str:
@@ -29,16 +29,28 @@ def _value(parsed: str) -> str:
     return f"CASE WHEN size({parsed}) = 1 THEN get({parsed}, 0) END"
 
 
-def decode_reports(runs: DataFrame, text: str = "report", wraps: int = MAX_WRAPS) -> DataFrame:
+def _unwrapped(text: str, blank: str) -> str:
+    """Pages of a report that is still wrapped: takes off a layer a step, as many as the text can hold."""
+    value = f"get({_parse('s.t')}, 0)"
+    has_pages = "try_variant_get(s.v, '$.pages', 'array<variant>') IS NOT NULL OR try_variant_get(s.v, '$.report.pages', 'array<variant>') IS NOT NULL"
+    inner = f"trim(BOTH {blank} FROM CASE WHEN startswith(s.t, '\"') THEN try_variant_get(s.v, '$', 'string') ELSE try_variant_get(s.v, '$.report', 'string') END)"
+    read = f"transform(array(s), s -> named_struct('t', s.t, 'v', CASE WHEN size({_parse('s.t')}) = 1 THEN {value} END))[0]"
+    step = f"transform(array({read}), s -> CASE WHEN s.v IS NULL THEN named_struct('t', CAST(NULL AS STRING), 'v', s.v) WHEN {has_pages} THEN s ELSE named_struct('t', {inner}, 'v', CAST(NULL AS VARIANT)) END)[0]"
+    loop = f"aggregate(sequence(1, length({text}) div 2 + 1), named_struct('t', {text}, 'v', CAST(NULL AS VARIANT)), (s, i) -> CASE WHEN s.t IS NULL OR s.v IS NOT NULL THEN s ELSE {step} END, s -> coalesce(try_variant_get(s.v, '$.pages', 'array<variant>'), try_variant_get(s.v, '$.report.pages', 'array<variant>')))"
+    return f"CASE WHEN {text} IS NOT NULL THEN {loop} END"
+
+
+def decode_reports(runs: DataFrame, text: str = "report", wraps: int = PLAIN_WRAPS) -> DataFrame:
     """Replace the JSON column ``text`` by ``pages``; unreadable reports get null.
 
     A report is readable if it is complete JSON, perhaps after a byte-order mark, as a JSON string or
-    in an envelope ``{"report": ...}`` (``wraps`` levels at most), and has a list of pages.
+    in an envelope ``{"report": ...}``, however many of them lie around it, and has a list of pages.
     A filter on ``pages`` would be pushed into the unwrapping steps and copy them, so callers filter
     after a Python stage or a written table. In ``pages`` a null or non-object entry stays as null in its place. ``findings`` may be a lone object;
     ``category_scores`` a map or a list of ``{category, score}``; scores without a value are left out.
-    Null, empty or broken text and JSON with a repeated key in one object are unreadable.
+    Null, empty or broken text is unreadable. Of a repeated key in one object the last one counts.
     """
+    runs.sparkSession.conf.set("spark.sql.variant.allowDuplicateKeys", "true")
     blank = r"' \t\r\n\u000b\u000c﻿'"
     df = runs.withColumn("__t", F.expr(f"trim(BOTH {blank} FROM {text})")).drop(text)
     df = df.withColumn("__pages", F.expr("CAST(NULL AS array<variant>)"))
@@ -51,6 +63,7 @@ def decode_reports(runs: DataFrame, text: str = "report", wraps: int = MAX_WRAPS
         )
         df = df.withColumn("__n", inner).drop("__v", "__t")
         df = df.withColumn("__t", F.expr(f"trim(BOTH {blank} FROM __n)")).drop("__n").withColumnRenamed("__p", "__pages")
+    df = df.withColumn("__pages", F.coalesce("__pages", F.expr(_unwrapped("__t", blank))))
     entry = F.expr("transform(__pages, x -> try_variant_get(x, '$', 'struct<url:string,score:string,findings:variant,category_scores:variant>'))")
     df = df.withColumn("__e", entry).drop("__pages", "__t")
     return df.withColumn("pages", F.transform("__e", _page)).drop("__e")

@@ -28,13 +28,24 @@ def test_readable_reports(spark):
 
 
 def test_unreadable_reports(spark):
-    bad = ['{"pages": [{"url": "a"', '{"pages": []} x', "", None, "null", '{"pages": null}', '{"pages": {"a": 1}}', "[]", "{'pages': []}", '"abc', '{"report": {"root": "x"}}', '{"pages": [], "pages": [1]}', "7"]
+    bad = ['{"pages": [{"url": "a"', '{"pages": []} x', "", None, "null", '{"pages": null}', '{"pages": {"a": 1}}', "[]", "{'pages': []}", '"abc', '{"report": {"root": "x"}}', "7"]
     assert [r.pages for r in decoded(spark, *bad).collect()] == [None] * len(bad)
     assert decoded(spark, '{"pages": []}').collect()[0].pages == []
     long = json.dumps({"pages": [{"url": "x" * 300_000, "findings": [{"check_id": str(i)} for i in range(5000)]}]})
     assert report_items(decoded(spark, long)).count() == 5001
 
 
+def test_reports_in_many_wraps_and_with_repeated_keys(spark):
+    inner = json.dumps({"pages": [{"url": "a"}]})
+    strings, envelopes = [inner], [json.loads(inner)]
+    for _ in range(7):
+        strings.append(json.dumps(strings[-1]))
+        envelopes.append({"report": envelopes[-1]})
+    broken = json.dumps(json.dumps(json.dumps(json.dumps(json.dumps({"report": '{"pages": [1'})))))
+    texts = [*strings, *map(json.dumps, envelopes), '{"pages": [], "pages": [{"url": "x", "url": "a"}]}', broken]
+    assert [r.pages and [p.url for p in r.pages] for r in decoded(spark, *texts).orderBy("run_id").collect()] == [["a"]] * 17 + [None]
+
+
 def test_flat_tables_keep_links(spark):
     df = spark.createDataFrame([(7, "h", "r", 1, json.dumps({"pages": [PAGE]})), (8, None, "r", None, None)], "id long, host string, root_url string, site_score int, report string").withColumn("crawled_at", F.current_timestamp())
     t = flatten_reports(df)
@@ -92,6 +103,32 @@ def test_snapshot_index(spark, tmp_path):
     assert kinds(index.apply(frame([]))) == {("a", "removed", 2, None), ("c", "removed", 3, None)}
 
 
+def test_snapshot_index_sends_new_rows_only_and_survives_a_broken_run(spark, tmp_path):
+    path = tmp_path / "i"
+    index = SnapshotIndex(spark, str(path), ["k"], ["v"], buckets=4)
+    frame = lambda rows: spark.createDataFrame(rows, "k string, v int")
+    index.apply(frame([(f"k{i}", i) for i in range(50)]))
+    (path / "v000000000002-broken" / "index").mkdir(parents=True)  # a run that ended before DONE
+    assert {(r.k, r.change_kind) for r in index.apply(frame([(f"k{i}", i + (i == 7)) for i in range(49)])).collect()} == {("k7", "changed"), ("k49", "removed")}
+    last = index._versions()[-1]
+    schema = spark.createDataFrame([], "k string, state struct<h1:bigint,h2:bigint>").schema
+    was = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    try:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+        df = index._changes(index._table(last, "index", schema), index._table(last, "index", schema))
+        df.collect()
+        assert "Exchange" not in df._jdf.queryExecution().executedPlan().toString()
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", was)
+
+
+def test_history_sends_each_row_once(spark):
+    df = spark.createDataFrame([(1, "a", 1.0, 0), (2, "a", 2.0, 0)], "snapshot_id long, url string, score double, pos int")
+    steps = spark.createDataFrame([("r", 1, None, 2, 0), ("r", 2, 1, None, 1)], "root string, snapshot_id long, prev_key long, next_key long, place long")
+    plan = history_changes(df, steps, ["url"], ["score"])._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange hashpartitioning") == 1
+
+
 def test_packing_spreads_heavy_keys():
     plan = pack([("big", 500), ("mid", 120)], 1000, 8)
     assert len(plan.heavy["big"][1]) == 4 and len(set(plan.heavy["big"][1])) == 4
