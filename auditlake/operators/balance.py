@@ -1,8 +1,8 @@
 """Per-key work where a few keys hold most rows: fragment and replicate by estimated load.
 
-Loads are counted with map-side combination. Keys beyond a task's fair share are split into shards
-in proportion to their load, shards and the rest are bin-packed onto tasks, and a matching side is
-replicated to exactly the shards of its key.
+Loads are estimated by a frequent-items sketch, one per task, merged. Keys beyond a task's fair share are
+split into shards in proportion to their load, shards and the rest are bin-packed onto tasks, rows move once,
+to the task that the plan names, and a matching side is replicated to exactly the shards of its key.
 """
 
 from __future__ import annotations
@@ -11,7 +11,7 @@ import heapq
 import math
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from auditlake.session import parallelism
@@ -54,18 +54,43 @@ def pack(heavy: list[tuple[str, int]], total: int, tasks: int) -> Plan:
     return Plan(tasks, total, placed, slots or list(range(tasks)))
 
 
+#: Keys that the sketch tracks for each key that may be heavy; its error is about rows / tracked.
+TRACKED = 16
+
+
 def plan_load(rows: DataFrame, key: str, tasks: int | None = None) -> Plan:
-    """Count every key and plan its tasks.
+    """Estimate the heavy keys' loads and plan their tasks; an estimate that is off moves work, not results.
 
     Only keys above ``FAIR_PART`` of a task's share come to the driver: fewer than tasks / FAIR_PART
     of them can exist, whatever the data. Null is a key of its own here (as the string null marker).
     """
     tasks = tasks or parallelism(rows.sparkSession)
-    counts = rows.groupBy(_text(F.col(key)).alias("k")).agg(F.count("*").alias("n"))
-    total = rows.count()
-    floor = max(1, math.ceil(total / tasks * FAIR_PART))
-    heavy = [(r["k"], r["n"]) for r in counts.where(F.col("n") >= floor).collect()]
-    return pack(heavy, total, tasks)
+    most = math.ceil(tasks / FAIR_PART) + 1
+    sketch = F.expr(f"approx_top_k(k, {most}, {min(1_000_000, most * TRACKED)})")
+    seen = rows.select(_text(F.col(key)).alias("k")).agg(sketch.alias("top"), F.count("*").alias("n")).collect()[0]
+    floor = max(1, math.ceil(seen["n"] / tasks * FAIR_PART))
+    return pack([(r["item"], r["count"]) for r in seen["top"] if r["count"] >= floor], seen["n"], tasks)
+
+
+_places: dict[int, list[int]] = {}
+
+
+def places(spark: SparkSession, tasks: int) -> list[int]:
+    """For each task the least number that hash partitioning into ``tasks`` sends to it.
+
+    A column of these makes the plan's placement one that joins and aggregations recognise and keep.
+    """
+    if tasks not in _places:
+        at = F.pmod(F.hash(F.col("id").cast("int")), F.lit(tasks)).alias("t")
+        found = {r["t"]: r["p"] for r in spark.range(40 * tasks + 400).select("id", at).groupBy("t").agg(F.min("id").alias("p")).collect()}
+        _places[tasks] = [found[t] for t in range(tasks)]
+    return _places[tasks]
+
+
+def moved(df: DataFrame, plan: Plan) -> DataFrame:
+    """Rows at the tasks that ``__task`` names; ``__place`` stands for it from here on."""
+    at = F.array(*[F.lit(p) for p in places(df.sparkSession, plan.tasks)])
+    return df.withColumn("__place", F.element_at(at, F.col("__task") + 1)).drop("__task").repartition(plan.tasks, "__place")
 
 
 def _text(c: Column) -> Column:
@@ -106,23 +131,23 @@ def replicate(side: DataFrame, key: str, plan: Plan) -> DataFrame:
 def balanced_join(facts: DataFrame, side: DataFrame, key: str, spread: Column, plan: Plan, how: str = "left") -> DataFrame:
     """Equi join on ``key`` in which each task gets its planned load. ``how``: inner or left.
 
-    Null keys match nothing. Other columns that both sides share keep the facts' values.
+    Either side moves once, to the planned tasks, and is joined there. Null keys match nothing. Other
+    columns that both sides share keep the facts' values.
     """
-    f = assign(facts, key, spread, plan).repartitionById(plan.tasks, "__task")
+    f = moved(assign(facts, key, spread, plan), plan)
     clash = [c for c in side.columns if c in facts.columns and c != key]
-    s = replicate(side.drop(*clash), key, plan)
-    return f.join(s.drop("__task"), [key, "__shard"], how)
+    s = moved(replicate(side.drop(*clash), key, plan), plan)
+    return f.join(s, ["__place", key, "__shard"], how).drop("__place", "__shard").select(*facts.columns, *[c for c in side.columns if c not in facts.columns])
 
 
 def per_key(rows: DataFrame, key: str, row_id: str, score: str, at: str, plan: Plan) -> DataFrame:
     """(key, n, mean_score, latest_score) of every key.
 
     Rows: one per ``row_id``. The mean leaves null scores out (null if there are none); the latest score
-    is that of the row with the greatest (at, row_id), which may be null. A null key is left out. Shards are
-    pre-aggregated before the shuffle, so raw rows stay where they are; then the few shard results
-    of a key are merged.
+    is that of the row with the greatest (at, row_id), which may be null. A null key is left out. Rows move
+    once, to the planned tasks, where each shard is aggregated; then the few shard results of a key are merged.
     """
-    placed = assign(rows.where(F.col(key).isNotNull()), key, F.col(row_id), plan)
-    part = placed.groupBy("__task", key, "__shard").agg(F.count("*").alias("n"), F.sum(F.col(score).cast("bigint")).alias("s"), F.count(score).alias("c"), F.max(F.struct(at, row_id, score)).alias("last"))
+    placed = moved(assign(rows.where(F.col(key).isNotNull()), key, F.col(row_id), plan), plan)
+    part = placed.groupBy("__place", key, "__shard").agg(F.count("*").alias("n"), F.sum(F.col(score).cast("bigint")).alias("s"), F.count(score).alias("c"), F.max(F.struct(at, row_id, score)).alias("last"))
     whole = part.groupBy(key).agg(F.sum("n").alias("n"), F.sum("s").alias("s"), F.sum("c").alias("c"), F.max("last").alias("last"))
     return whole.select(key, "n", F.when(F.col("c") > 0, F.col("s") / F.col("c")).alias("mean_score"), F.col(f"last.{score}").alias("latest_score"))

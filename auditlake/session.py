@@ -49,8 +49,9 @@ def ship(spark: SparkSession) -> None:
 
 
 def tune(spark: SparkSession) -> SparkSession:
-    """Ship the code; small Arrow batches, as one row may hold a whole page or report."""
+    """Ship the code; small Arrow batches, as one row may hold a whole page or report; keep planned placements in joins."""
     ship(spark)
+    spark.conf.set("spark.sql.requireAllClusterKeysForCoPartition", "false")
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "2000")
     spark.conf.set("spark.sql.execution.arrow.pyspark.enabled", "true")
     return spark

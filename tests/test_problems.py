@@ -140,6 +140,27 @@ def test_packing_spreads_heavy_keys():
     assert all(load[t] + 380 * light[t] / sum(light.values()) < 1.3 * 1000 / 8 for t in range(8))
 
 
+def test_planned_placement_is_kept(spark):
+    rows = [(i, ["hot", "hot", "x", f"k{i % 90}"][i % 4]) for i in range(4000)]
+    df = spark.createDataFrame(rows, "id long, k string").withColumn("score", F.lit(1)).withColumn("at", F.col("id"))
+    plan = plan_load(df, "k", 8)
+    assert len(plan.heavy["khot"][1]) == 4
+    side = df.select("k").distinct().withColumn("name", F.upper("k"))
+    was = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    try:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+        joined = balanced_join(df, side, "k", F.col("id"), plan)
+        text = joined._jdf.queryExecution().executedPlan().toString()
+        assert text.count("hashpartitioning(__place") == 2 and text.count("Exchange hashpartitioning(") == 3  # the third is that of distinct()
+        assert joined.where("name = upper(k)").count() == 4000
+        counts = joined.groupBy(F.spark_partition_id()).count().collect()
+        assert len(counts) == 8 and max(r["count"] for r in counts) < 1.5 * 4000 / 8
+        text = per_key(df, "k", "id", "score", "at", plan)._jdf.queryExecution().executedPlan().toString()
+        assert text.count("Exchange hashpartitioning(") == 2  # to the plan's tasks, and the shards' results by key
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", was)
+
+
 def test_balanced_results(spark):
     random.seed(5)
     rows = [(i, random.choices(["hot", "warm", "x", "y", "z", None], [50, 20, 9, 8, 8, 5])[0], random.choice([None, 1, 2, 9]), i // 2) for i in range(2000)]
