@@ -5,6 +5,7 @@ from collections import Counter, defaultdict
 from itertools import combinations
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
 import __spark_entry__ as entry
@@ -237,6 +238,18 @@ def test_training_in_tasks(spark):
 # --- terms -----------------------------------------------------------------------------------
 
 
+def test_heavy_terms_are_not_sent(spark):
+    df = spark.range(20_000).selectExpr("id AS item", "id DIV 5 AS record", "'heavy and rather long' AS f", "concat('light', id DIV 2) AS g")
+    got, total = terms.term_frequencies(df, "record", "item", ["f", "g"])
+    assert total == 4000 and {(r.n_items, r.n_records) for r in got.where("field = 'f'").collect()} == {(20_000, 4000)} and got.where("field = 'g' and n_items = 2").count() == 10_000
+    block = pa.table({"record": pa.array([5, 5, 9]), "item": pa.array([2**62, -(2**62), 3]), "f0": pa.array([1, 0, 2], pa.uint8())})
+    assert terms.unpacked(terms.packed(block)).equals(block)
+    scan = terms._scan(["f0"], type("B", (), {"value": {"f0": ["heavy and rather long"]}})())
+    batch = pa.record_batch({"record": [1] * 50, "item": list(range(50)), "f0": ["heavy and rather long"] * 50, "bucket": pa.array([0] * 50, pa.int32()), "f0_bucket": pa.array([0] * 50, pa.int32())})
+    sent = [r for b in scan(iter([batch])) for r in b.to_pylist()]
+    assert [r["n"] for r in sent if r["block"] is None] == [50] and all(b"heavy" not in (r["block"] or b"") for r in sent)
+
+
 @pytest.mark.parametrize("hot", [False, True])
 def test_term_counts(spark, hot):
     rng = random.Random(7)
