@@ -428,10 +428,40 @@ def test_profiles(text, outside):
     assert (quality.statistics(PROFILES, text)[-1] > quality.LIMIT) is outside
 
 
+@pytest.mark.parametrize(
+    "text",
+    [
+        "Rapporten försenades igen, medan kunderna väntade utanför. Ingen visste säkert, vem framöver ansvarade.",
+        "Yeni sayfaların raporu yine geç geldi, ekip uzun süre bekledi. Kimse sonra kimin ilgileneceğini bilmiyor.",
+        "Η έκθεση για τις νέες σελίδες άργησε ξανά, και η ομάδα περίμενε πολύ. Κανείς δεν ξέρει ποιος θα τη φροντίσει.",
+        "> The history chart was the main cause of the trouble and nobody had\n> asked for it. After a closer look, the template needs a second look.",
+        "INFO for readers: the shop opens at 10 on 12 May and closes at 18.30, so nobody has to wait until the evening to be served.",
+    ],
+)
+def test_prose_in_other_languages_and_shapes(text):
+    assert quality.statistics(PROFILES, text)[-1] < quality.LIMIT
+
+
+def test_nearest_profile_decides(monkeypatch):
+    junk = "\n".join(f"- item {i}" for i in range(20))
+    assert quality.statistics(PROFILES, junk)[-1] == 1.0 and quality.statistics(PROFILES, PROSE)[-1] == 0.0
+    monkeypatch.setattr(quality, "divergences", lambda p, many: np.zeros((len(p), len(many))))
+    assert quality.statistics(PROFILES, junk)[-1] == quality.statistics(PROFILES, PROSE)[-1]
+
+
+def test_company_does_not_change_a_text():
+    texts = [PROSE, None, "", "- a\n- b\n- c", "小さなパン屋は学校向けに。", "x y\n" * 1000, "7", "\x85 \n\t", "!!!!"]
+    many = quality.Described(texts)
+    for i, t in enumerate(texts):
+        alone = quality.Described([t])
+        assert np.allclose(alone.vectors, many.vectors[many.text == i]) and alone.size.tolist() == many.size[many.text == i].tolist()
+
+
 def test_statistics(spark):
     assert quality.statistics(PROFILES, None) == quality.statistics(PROFILES, "  \n") == (0,) + (None,) * 8
     df = spark.createDataFrame([(1, PROSE), (2, None), (3, "x y\n" * 100_000)], "doc_id long, text string")
     rows = {r.doc_id: r for r in quality.text_statistics(df).collect()}
     assert rows[1].n_words == len(PROSE.split()) and rows[1].punctuated_lines == 1.0 and rows[1].language == "en" and rows[2].n_words == 0
     same = np.array(quality.FALLBACK["list"])
-    assert quality.divergences(same, same[None])[0] == pytest.approx(0)
+    assert quality.divergences(same, same[None])[0, 0] == pytest.approx(0)
+    assert quality.divergences([1.0, 0.0] + [0.0] * (quality.WIDTH - 2), [[0.0, 1.0] + [0.0] * (quality.WIDTH - 2)])[0, 0] == pytest.approx(1)
