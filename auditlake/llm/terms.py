@@ -62,16 +62,14 @@ def heavy_values(rows: DataFrame, share: dict[str, float]) -> tuple[dict[str, li
     The result is bounded by 1 / share plus what lossy counting can't rule out; whatever it names or
     misses, counts stay exact, as it only decides which way a value goes.
     """
-    seen = rows.select(*share).mapInArrow(_lossy, "field string, term string, n bigint").groupBy("field", "term").agg(F.sum("n").alias("n"))
-    whole = seen.where("field = ''").select(F.sum("n").alias("total"))
-    parts = F.create_map(*[x for f, s in share.items() for x in (F.lit(f), F.lit(s))])
-    near = seen.where("field <> ''").join(F.broadcast(whole), F.col("n") >= F.greatest(F.lit(2.0), F.try_element_at(parts, F.col("field")) * F.col("total")))
+    seen = materialize(rows.select(*share).mapInArrow(_lossy, "field string, term string, n bigint").groupBy("field", "term").agg(F.sum("n").alias("n")), "candidates")
+    total = int(seen.where("field = ''").agg(F.sum("n")).collect()[0][0] or 0)
     out: dict[str, list[str]] = {f: [] for f in share}
-    total = 0
-    for r in near.select("field", "term", "n", "total").unionByName(whole.select(F.lit("").alias("field"), F.lit("").alias("term"), F.lit(0).cast("bigint").alias("n"), "total")).toLocalIterator():
-        if r["field"]:
-            out[r["field"]].append(r["term"])
-        total = max(total, r["total"] or 0)
+    limit = F.lit(False)
+    for f, s in share.items():
+        limit = limit | ((F.col("field") == f) & (F.col("n") >= max(2.0, s * total)))
+    for r in seen.where(limit).select("field", "term").toLocalIterator():
+        out[r["field"]].append(r["term"])
     return out, total
 
 
