@@ -150,7 +150,7 @@ SHAPES = ("plain", "mark", "pairs", "table", "log", "code", "symbols", "encoded"
 _SHAPE_OF = {s: i for i, s in enumerate(SHAPES)}
 #: Distributions of a run: name, size, weight in the sum of divergences. Where lines of a run stand and what
 #: shape they have says less than what they are made of.
-PARTS = (("word classes", 7, 1.0), ("characters", 5, 1.0), ("sentence words", 4, 1.0), ("line ends", 2, 1.0), ("line words", 3, 1.0), ("line shape", len(SHAPES), 0.5), ("number of lines", 3, 0.5), ("function words", 2, 1.0))
+PARTS = (("word classes", 7, 1.0), ("characters", 5, 1.0), ("sentence words", 4, 1.0), ("sentence ends", 2, 1.0), ("line ends", 2, 0.5), ("line words", 4, 1.0), ("line shape", len(SHAPES), 0.5), ("number of lines", 3, 0.5), ("function words", 2, 1.0))
 WIDTH = sum(n for _, n, _ in PARTS)
 _WEIGHTS = np.repeat([w for _, _, w in PARTS], [n for _, n, _ in PARTS])
 
@@ -192,12 +192,14 @@ def runs(text: str, counts: list[list[int]] | None = None) -> list[tuple[str, li
     return out
 
 
-def certain(shape: str, lines: int, ends: bool, language: str, share: float, words: int, units: int) -> str | None:
+def certain(shape: str, lines: int, ended: int, ends: bool, language: str, share: float, words: int, units: int) -> str | None:
     """Kind of a run that is beyond doubt, else None."""
     mean = words / units if units else 0
     if shape == "plain":
-        if words >= 12 and share >= 0.25 and ends and mean >= FULL:
-            return "prose-" + language
+        if words >= 12 and share >= 0.25 and mean >= FULL and (ends or words >= FULL * lines):
+            return "prose-" + (language if ends else "unended")
+        if lines >= 4 and words <= 4 * lines and not ended:
+            return "list-unmarked"
         return "keywords" if words >= 12 and share < 0.02 and not ends else None
     if shape in ("mark", "pairs"):
         return "list" if lines >= 3 and mean <= 4 else None
@@ -220,7 +222,7 @@ class Described:
             at += len(lines)
         n = len(found)
         codes: list[int] = []
-        unit_ends, unit_run, signs, tops = [], [], [], []
+        unit_ends, unit_run, unit_stops, signs, tops = [], [], [], [], []
         ends, rows_of_lines, words_of_lines, size_of = np.zeros((n, 2)), [], [], vocabulary.__getitem__
         for r, (_, shape, lines, _, _) in enumerate(found):
             if shape == "mark":
@@ -237,6 +239,7 @@ class Described:
                     codes += map(size_of, tokens)
                     unit_ends.append(len(codes))
                     unit_run.append(r)
+                    unit_stops.append(0 if _END.search(u) else 1)
                     signs.append(len(_CJK.findall(u)) if cjk else 0)
         self.text = np.array([f[0] for f in found], np.int64)
         self.size = np.array([f[3] for f in found], np.int64)
@@ -259,12 +262,13 @@ class Described:
         self.words, units = sentences.sum(axis=1), np.bincount(unit_run, minlength=n)
         sentences[self.words == 0, 0] = 1
         length = np.array(words_of_lines, np.int64)
-        line_words = _cells(np.array(rows_of_lines, np.int64), np.digitize(length, (4, 8)), (n, 3), length)
+        stops = _cells(unit_run, np.array(unit_stops, np.int64), (n, 2), np.diff(np.r_[0, np.array(unit_ends, np.int64)]))
+        line_words = _cells(np.array(rows_of_lines, np.int64), np.digitize(length, (3, 5, 8)), (n, 4), length)
         lines = ends.sum(axis=1)
         one = lambda at, k: np.eye(k)[at]
-        self.vectors = np.concatenate([_divided(classes), _divided(np.array([f[4] for f in found], float).reshape(n, 5)), _divided(sentences), _divided(ends), _divided(line_words), one(shape, len(SHAPES)), one(np.digitize(lines, (2, 4)), 3), np.stack([self.share, 1 - self.share], axis=1)], axis=1) if n else np.zeros((0, WIDTH))
+        self.vectors = np.concatenate([_divided(classes), _divided(np.array([f[4] for f in found], float).reshape(n, 5)), _divided(sentences), _divided(stops), _divided(ends), _divided(line_words), one(shape, len(SHAPES)), one(np.digitize(lines, (2, 4)), 3), np.stack([self.share, 1 - self.share], axis=1)], axis=1) if n else np.zeros((0, WIDTH))
         last = [bool(_END.search(f[2][-1])) for f in found]
-        self.kind = [certain(f[1], int(k), e, _NAMES[g], s, int(w), int(u)) for f, k, e, g, s, w, u in zip(found, lines, last, self.language, self.share, self.words, units, strict=True)]
+        self.kind = [certain(f[1], int(k), int(m), e, _NAMES[g], s, int(w), int(u)) for f, k, m, e, g, s, w, u in zip(found, lines, ends[:, 0], last, self.language, self.share, self.words, units, strict=True)]
 
 
 def divergences(p: np.ndarray, many: np.ndarray) -> np.ndarray:
@@ -304,8 +308,10 @@ SAMPLES = {
     "prose-pl": "Raport o nowych stronach przyszedł znowu za późno i zespół musiał na niego czekać. Nie jest jasne, kto się tym teraz zajmie przez resztę roku.",
     "prose-ru": "Отчёт о новых страницах снова пришёл поздно, и команде пришлось на это ждать. Не ясно, кто теперь будет за это отвечать до конца года.",
     "prose-other": "Rapporten kom återigen sent, medan gruppen väntade länge utanför kontoret. Ingen visste säkert, vem framöver ansvarade.\nYeni sayfaların raporu yine geç geldi, ekip uzun süre bekledi. Kimse bundan sonra kimin ilgileneceğini bilmiyor.",
+    "prose-unended": "a report on the new pages was late again so that the team had to wait\nfor it and it is not clear who will look after it from now on",
     "prose-unspaced": "新しいページの報告はまた遅れて届き、担当者は長い間待つことになりました。今後だれが世話をするのかは、まだはっきりしていません。",
     "list": "- new pages\n- old pages\n- Red lamps\n- broken links\n- Home\n- Shop\n- price 20",
+    "list-unmarked": "the home page\nred lamps\nbroken links\nthe old shop\nour prices\nnew\na blue door",
     "table": "page | score | state\n/home | 96 | ok\n/shop | 71 | slow\n/news | 18 | gone\nhttps://a.example/x\t200\t1.5",
     "log": "2024-10-28T05:28:12 INFO [fetch] GET /home 200 18642\n2024-10-28T05:28:14 WARN [fetch] GET /shop 503 112\n2024-10-28T05:28:19 INFO done in 7 s",
     "code": "var a = function(x) { return y[1] || !0; };\nif (a(b) === null) { c.push({id: 1}); }\n<div class=\"x\"><b>{{ y }}</b></div>",
