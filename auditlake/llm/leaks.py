@@ -1,36 +1,45 @@
 """Evaluation texts inside training text: latent semantic retrieval, then checks on the words.
 
-The test items are the stated query set; every document is searched in one pass. Passages of the items
-are cut into short windows, weighted by TF-IDF (document frequencies over all documents) and projected
-by a distributed randomised SVD. A window of a document finds the item windows near it by cosine; the
-pair then has to pass a check of the words themselves.
-
-Why no verbatim leak is missed: a common run of ``RUN`` words contains a whole document window (windows
-are ``WINDOW`` long and start every ``STRIDE`` = RUN - WINDOW + 1 words), and that window equals an item
-window, since those start at every word. Equal windows have cosine 1 under any projection.
+The test items are the stated query set; every document is searched in one pass. Words become numbers in
+the items' vocabulary when the texts are read, once. Passages are windows of words, weighted by TF-IDF
+(document frequencies over all documents) and projected by a distributed randomised SVD of passages of
+items and documents. A document's passage finds item passages by cosine in the cells of the latent space
+nearest to it; the pair then has to pass a check of the words themselves.
+
+A common run of ``RUN`` words lies whole in a passage of either side: passages are ``WINDOW`` long, start
+every ``STRIDE`` = WINDOW - RUN + 1 words and end with the text. The two passages share at least those
+words of ``WINDOW``; that their cosine passes ``NEAR`` and their cells are probed is measured, not proven.
 """
 
 from __future__ import annotations
 
 import html
+import math
 import re
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from auditlake.session import materialize
+
 #: Words in a row that make a leak.
 RUN = 12
-WINDOW = 8
-STRIDE = RUN - WINDOW + 1
+#: Words of a passage and from one to the next.
+WINDOW = 16
+STRIDE = WINDOW - RUN + 1
 #: Dimensions of the latent space, and columns beyond them in the random range finder.
 DIMS, EXTRA = 48, 16
 POWER_ROUNDS = 2
-#: Least cosine of a candidate for a verbatim leak (equal windows have 1 up to rounding).
-NEAR = 0.98
-#: Item windows searched in one pass over the documents; more items make more passes.
+#: Documents whose passages the space is fitted on beside all items: the least by a hash of their id. The
+#: search covers all documents.
+FIT_DOCS = 2000
+#: Least cosine of a candidate for a verbatim leak; cells of the latent space (of root n) that are searched.
+NEAR, PROBES = 0.6, 8
+#: Item passages searched in one pass over the numbered documents; more items make more passes.
 MAX_WINDOWS = 400_000
 #: Paraphrases: words per window, each with a step of a quarter; least cosine of a candidate, least common
 #: subsequence. The shorter window is for reworded parts of ``PARA_SIZES[-1]`` words or more.
@@ -53,17 +62,6 @@ def words(text: str | None) -> list[str]:
     return _WORD.findall(text.casefold())
 
 
-def _block(texts: list[str | None], vocabulary: dict[str, int]) -> tuple[np.ndarray, np.ndarray]:
-    """Word codes of all texts in a row (-1: unknown) and where each text starts, with the end."""
-    codes: list[int] = []
-    starts = [0]
-    get = vocabulary.get
-    for t in texts:
-        codes += [get(w, -1) for w in words(t)]
-        starts.append(len(codes))
-    return np.array(codes, np.int32), np.array(starts)
-
-
 def windows(starts: np.ndarray, size: int, step: int, partial: bool = False) -> tuple[np.ndarray, np.ndarray]:
     """Text and first word of each window inside each text.
 
@@ -76,31 +74,59 @@ def windows(starts: np.ndarray, size: int, step: int, partial: bool = False) ->
     return text, starts[text] + np.minimum(at * step, np.maximum(lengths[text] - size, 0))
 
 
-def _frequencies(vocabulary):
+def _numbered(vocabulary, counted: int, stretches: bool):
+    """Number each text's words (-1: unknown), and count documents by word for the first ``counted`` numbers.
+
+    With ``stretches`` only runs of at least ``RUN`` known words are kept, a -1 between them.
+    """
+
+    def kept(codes: np.ndarray) -> np.ndarray:
+        known = np.r_[False, codes >= 0, False]
+        begin, end = np.nonzero(known[1:] & ~known[:-1])[0], np.nonzero(known[:-1] & ~known[1:])[0]
+        parts = [codes[i : j + 1] for i, j in zip(begin, end, strict=True) if j - i >= RUN]
+        return np.concatenate(parts)[:-1] if parts else codes[:0]
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known = vocabulary.value
-        df, docs = np.zeros(len(known), np.int64), 0
+        get = vocabulary.value.get
+        df, docs = np.zeros(counted, np.int64), 0
         for b in batches:
-            codes, starts = _block(b.column(0).to_pylist(), known)
-            text = np.repeat(np.arange(len(starts) - 1), np.diff(starts))
-            keep = codes >= 0
-            pairs = np.unique(text[keep].astype(np.int64) * len(known) + codes[keep])
-            df += np.bincount(pairs % len(known), minlength=len(known))
-            docs += int((np.diff(starts) > 0).sum())
-        yield pa.RecordBatch.from_arrays([pa.array([docs], pa.int64()), pa.array([df.tolist()], pa.list_(pa.int64()))], names=["docs", "df"])
+            rows = []
+            for t in b.column(1).to_pylist():
+                codes = np.array([get(w, -1) for w in words(t)], np.int32)
+                docs += bool(len(codes))
+                seen = np.unique(codes)
+                df[seen[(seen >= 0) & (seen < counted)]] += 1
+                rows.append(kept(np.r_[codes, np.int32(-1)]) if stretches else codes)
+            ends = np.cumsum([0] + [len(r) for r in rows])
+            flat = np.concatenate(rows) if rows else np.zeros(0, np.int32)
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(flat, pa.int32())), pa.nulls(len(rows), pa.binary()), pa.nulls(len(rows), pa.int64())], names=["doc_id", "codes", "df", "docs"])
+        yield pa.RecordBatch.from_arrays([pa.nulls(1, pa.int64()), pa.nulls(1, pa.list_(pa.int32())), pa.array([df.tobytes()], pa.binary()), pa.array([docs], pa.int64())], names=["doc_id", "codes", "df", "docs"])
 
     return run
 
 
-def inverse_frequencies(docs: DataFrame, vocabulary: dict[str, int]) -> np.ndarray:
-    """Smoothed IDF of each word over all non-empty documents; each task sends one array."""
+def _added(size: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        df, docs = np.zeros(size, np.int64), 0
+        for b in batches:
+            for d, n in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
+                df, docs = df + np.frombuffer(d, np.int64), docs + n
+        yield pa.RecordBatch.from_arrays([pa.array([df.tobytes()], pa.binary()), pa.array([docs], pa.int64())], names=["df", "docs"])
+
+    return run
+
+
+def numbered(docs: DataFrame, vocabulary: dict[str, int], counted: int, stretches: bool) -> tuple[DataFrame, np.ndarray]:
+    """(doc_id, codes) of every document, and the smoothed IDF of each counted word over all non-empty ones.
+
+    Texts are read once; each task adds one array of counts, and at most 16 sums reach the driver.
+    """
     shared = docs.sparkSession.sparkContext.broadcast(vocabulary)
-    parts = docs.select("text").mapInArrow(_frequencies(shared), "docs bigint, df array<bigint>")
-    total = parts.agg(F.sum("docs")).collect()[0][0] or 0
-    df = np.zeros(len(vocabulary))
-    for r in parts.select(F.posexplode("df").alias("i", "n")).groupBy("i").agg(F.sum("n").alias("n")).collect():
-        df[r["i"]] = r["n"]
-    return np.log((total + 1) / (df + 1)) + 1
+    read = materialize(docs.select("doc_id", "text").mapInArrow(_numbered(shared, counted, stretches), "doc_id bigint, codes array<int>, df binary, docs bigint"), "numbered")
+    df, total = np.zeros(counted), 0
+    for r in read.where("df is not null").select("df", "docs").coalesce(16).mapInArrow(_added(counted), "df binary, docs bigint").collect():
+        df, total = df + np.frombuffer(r["df"], np.int64), total + r["docs"]
+    return read.where("df is null and size(codes) > 0").select("doc_id", "codes"), np.log((total + 1) / (df + 1)) + 1
 
 
 def _tfidf(rows: np.ndarray, idf: np.ndarray) -> np.ndarray:
@@ -126,7 +152,7 @@ def _gram(basis, idf):
         for batch in batches:
             if not batch.num_rows:
                 continue
-            rows = np.array(batch.column(0).to_pylist(), np.int32)
+            rows = pc.list_flatten(batch.column(0)).to_numpy(zero_copy_only=False).reshape(batch.num_rows, -1)
             w = _tfidf(rows, weights)
             y = np.einsum("ij,ijk->ik", w, b[rows])
             small += y.T @ y
@@ -147,7 +173,7 @@ def latent_space(passages: DataFrame, size: int, idf: np.ndarray, dims: int = DI
     dims = max(1, min(dims, size))
     cols = min(size, dims + EXTRA)
     basis = np.linalg.qr(np.random.default_rng(seed).standard_normal((size, cols)))[0]
-    few = passages.coalesce(16)
+    few = materialize(passages, "passages").coalesce(16)
     for _ in range(POWER_ROUNDS + 1):
         shared = sc.broadcast(basis), sc.broadcast(idf)
         left, small = np.zeros(basis.shape), np.zeros((cols, cols))
@@ -169,15 +195,15 @@ def project(rows: np.ndarray, idf: np.ndarray, space: np.ndarray) -> np.ndarray:
     return out / np.maximum(np.linalg.norm(out, axis=1, keepdims=True), 1e-9)
 
 
-def common_run(a: list[str], b: list[str], at_least: int = RUN) -> bool:
+def common_run(a: list, b: list, at_least: int = RUN) -> bool:
     """Whether both have ``at_least`` words in a row in common."""
     grams = {tuple(b[i : i + at_least]) for i in range(len(b) - at_least + 1)}
     return any(tuple(a[i : i + at_least]) in grams for i in range(len(a) - at_least + 1))
 
 
-def subsequence(a: list[str], b: list[str]) -> int:
+def subsequence(a: list, b: list) -> int:
     """Length of the longest common subsequence of words."""
-    places: dict[str, int] = {}
+    places: dict = {}
     for j, y in enumerate(b):
         places[y] = places.get(y, 0) | 1 << j
     every = free = (1 << len(b)) - 1  # a bit per word of b, cleared where the length grows
@@ -187,36 +213,82 @@ def subsequence(a: list[str], b: list[str]) -> int:
     return len(b) - free.bit_count()
 
 
+def _texts(b: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray]:
+    """Word numbers of all texts of a batch in a row, and where each starts, with the end."""
+    codes = b.column("codes")
+    return pc.list_flatten(codes).to_numpy(zero_copy_only=False), np.r_[0, np.cumsum(pc.list_value_length(codes).to_numpy(zero_copy_only=False))]
+
+
+class Cells:
+    """Item passages in the cells of their latent space, by spherical k-means; root n cells."""
+
+    def __init__(self, vectors: np.ndarray, rounds: int = 8, seed: int = 5):
+        rng = np.random.default_rng(seed)
+        k = max(1, math.isqrt(len(vectors)))
+        self.centres = vectors[rng.choice(len(vectors), k, replace=False)]
+        for _ in range(rounds):
+            at = self.cell_of(vectors)
+            sums = np.zeros_like(self.centres)
+            np.add.at(sums, at, vectors)
+            sums[np.bincount(at, minlength=k) == 0] = vectors[rng.integers(len(vectors))]
+            self.centres = sums / np.maximum(np.linalg.norm(sums, axis=1, keepdims=True), 1e-9)
+        at = self.cell_of(vectors)
+        self.members = [np.nonzero(at == c)[0] for c in range(k)]
+        self.vectors = [vectors[m].T.copy() for m in self.members]
+
+    def cell_of(self, vectors: np.ndarray) -> np.ndarray:
+        out = np.zeros(len(vectors), np.int64)
+        for k in range(0, len(vectors), 8192):
+            out[k : k + 8192] = (vectors[k : k + 8192] @ self.centres.T).argmax(axis=1)
+        return out
+
+    def near(self, y: np.ndarray, least: float, probes: int) -> tuple[np.ndarray, np.ndarray]:
+        """(row, item passage) pairs with a cosine of ``least`` in the ``probes`` cells nearest to the row."""
+        to = y @ self.centres.T
+        probes = min(probes, to.shape[1])
+        chosen = np.zeros(to.shape, bool)
+        np.put_along_axis(chosen, np.argpartition(-to, probes - 1, axis=1)[:, :probes], True, axis=1)
+        rows, found = [], []
+        for c, members in enumerate(self.members):
+            at = np.nonzero(chosen[:, c])[0]
+            if len(at) and len(members):
+                r, m = np.nonzero(y[at] @ self.vectors[c] >= least)
+                rows.append(at[r])
+                found.append(members[m])
+        return (np.concatenate(rows), np.concatenate(found)) if rows else (np.zeros(0, np.int64), np.zeros(0, np.int64))
+
+
 def _search(shared):
-    """Verbatim leaks: candidates by cosine, then the common run."""
+    """Verbatim leaks: candidates by cosine in the nearest cells, then the words of both, then the common run."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         s = shared.value
-        space, idf, (index, owner) = s["space"].astype(np.float32), s["idf"], s["indexes"][WINDOW]
-        index, owner = index.T.copy(), np.array(s["items"])[owner]
+        space, idf, cells, owner = s["space"].astype(np.float32), s["idf"], s["cells"], s["indexes"][WINDOW][1]
         for b in batches:
-            ids, texts = b.column(0).to_pylist(), b.column(1).to_pylist()
-            codes, starts = _block(texts, s["vocabulary"])
-            text, first = windows(starts, WINDOW, STRIDE)
-            unknown = np.r_[0, np.cumsum(codes < 0)]
-            known = unknown[first + WINDOW] == unknown[first] if len(first) else np.zeros(0, bool)
-            text, first = text[known], first[known]
+            ids = b.column("doc_id").to_pylist()
+            codes, starts = _texts(b)
+            text, first = windows(starts, WINDOW, STRIDE, partial=True)
+            codes_end = np.r_[codes, np.full(WINDOW, -1, np.int32)]
             pairs: set[tuple[int, int]] = set()
-            for k in range(0, len(first), 2048):
-                rows = codes[first[k : k + 2048, None] + np.arange(WINDOW)]
-                near = project(rows, idf, space) @ index >= NEAR
-                w, i = np.nonzero(near)
-                pairs |= set(zip(text[k + w].tolist(), owner[i].tolist(), strict=True))
-            hits = sorted((t, o) for t, o in pairs if common_run(words(texts[t]), s["passages"][o]))
-            yield pa.RecordBatch.from_arrays([pa.array([ids[t] for t, _ in hits], pa.int64()), pa.array([o for _, o in hits], pa.int64())], names=["doc_id", "item_id"])
+            for k in range(0, len(first), 8192):
+                rows = _rows(codes_end, starts, text[k : k + 8192], first[k : k + 8192], WINDOW)
+                full = np.nonzero((rows >= 0).sum(axis=1) >= RUN)[0]
+                rows, of = rows[full], text[k : k + 8192][full]
+                w, i = cells.near(project(rows, idf, space), NEAR, PROBES)
+                o = owner[i]
+                once = np.unique(w * (len(s["items"]) + 1) + o)
+                w, o = once // (len(s["items"]) + 1), once % (len(s["items"]) + 1)
+                held = s["members"].get(o, rows[w]) >= RUN
+                pairs |= set(zip(of[w[held]].tolist(), o[held].tolist(), strict=True))
+            hits = sorted((t, o) for t, o in pairs if common_run(codes[starts[t] : starts[t + 1]].tolist(), s["passages"][o]))
+            yield pa.RecordBatch.from_arrays([pa.array([ids[t] for t, _ in hits], pa.int64()), pa.array([s["items"][o] for _, o in hits], pa.int64())], names=["doc_id", "item_id"])
 
     return run
 
 
-def _answered(text: list[str], answer: str | None) -> bool | None:
+def _answered(text: list[int], answer: list[int]) -> bool | None:
     """Whether the answer's words stand in the text in a row; None if the item has no answer."""
-    a = words(answer)
-    return any(text[i : i + len(a)] == a for i in range(len(text) - len(a) + 1)) if a else None
+    return any(text[i : i + len(answer)] == answer for i in range(len(text) - len(answer) + 1)) if answer else None
 
 
 def _rows(codes: np.ndarray, starts: np.ndarray, text: np.ndarray, first: np.ndarray, size: int) -> np.ndarray:
@@ -231,8 +303,8 @@ def _near(s: dict, codes: np.ndarray, starts: np.ndarray, size: int) -> Iterator
     The cosine is that of every ``size // 4``-th window; those between follow the nearest one.
     """
     space, idf, (index, owner) = s["space"].astype(np.float32), s["idf"], s["indexes"][size]
-    index, lengths, v = index.T.copy(), s["lengths"], len(s["vocabulary"])
-    codes = np.r_[codes, np.full(size, -1, np.int32)]
+    index, lengths = index.T.copy(), s["lengths"]
+    codes = np.r_[np.where(codes < len(idf), codes, -1), np.full(size, -1, np.int32)]
     group = np.nonzero(np.r_[True, owner[1:] != owner[:-1]])[0]
     text, first = windows(starts, size, size // 4, partial=True)
     shifts = np.arange(size // 4) - size // 8
@@ -284,72 +356,90 @@ def _rephrased(shared):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         s = shared.value
         for b in batches:
-            ids, texts = b.column(0).to_pylist(), b.column(1).to_pylist()
-            codes, starts = _block(texts, s["vocabulary"])
-            split: dict[int, list[str]] = {}
+            ids = b.column("doc_id").to_pylist()
+            codes, starts = _texts(b)
+            split: dict[int, list[int]] = {}
             best: dict[tuple[int, int], tuple[float, float]] = {}
             for size in PARA_SIZES:
-                for t, at, k, c in _near(s, codes, starts, size):  # the words' order decides at every window
-                    o = s["items"][k]
-                    mine = split.get(t) or split.setdefault(t, words(texts[t]))
+                for t, at, o, c in _near(s, codes, starts, size):  # the words' order decides at every window
+                    mine = split.get(t) or split.setdefault(t, codes[starts[t] : starts[t + 1]].tolist())
                     part = mine[at - starts[t] :][:size]
                     share = subsequence(part, s["passages"][o]) / min(len(part), len(s["passages"][o]))
                     if share >= PARA_LCS and (share, c) > best.get((t, o), (0.0, 0.0)):
                         best[t, o] = share, c
-            out = [(ids[t], o, c, share, common_run(split[t], s["passages"][o]), _answered(split[t], s["answers"][o])) for (t, o), (share, c) in sorted(best.items())]
+            out = [(ids[t], s["items"][o], c, share, common_run(split[t], s["passages"][o]), _answered(split[t], s["answers"][o])) for (t, o), (share, c) in sorted(best.items())]
             cols = list(zip(*out, strict=True)) or [[]] * 6
             yield pa.RecordBatch.from_arrays([pa.array(list(c), t) for c, t in zip(cols, (pa.int64(), pa.int64(), pa.float64(), pa.float64(), pa.bool_(), pa.bool_()), strict=True)], names=["doc_id", "item_id", "cosine", "lcs_share", "verbatim", "answer_found"])
 
     return run
 
 
-def _batches(items: DataFrame) -> Iterator[list]:
-    """Items in blocks of at most ``MAX_WINDOWS`` words, in order of their id."""
-    block, n = [], 0
-    for r in items.select("item_id", "passage", "answer").where("item_id is not null").orderBy("item_id").toLocalIterator():
-        w = words(r["passage"])
-        if block and n + len(w) > MAX_WINDOWS:
-            yield block
-            block, n = [], 0
-        block.append((r["item_id"], w, r["answer"]))
-        n += len(w)
-    if block:
-        yield block
+class Items:
+    """The query set with its words numbered: those of passages first, then those of answers alone."""
+
+    def __init__(self, items: DataFrame, answers: bool):
+        rows = [(r["item_id"], words(r["passage"]), words(r["answer"]) if answers else []) for r in items.select("item_id", "passage", "answer").where("item_id is not null").orderBy("item_id").toLocalIterator()]
+        rows = [r for r in rows if r[1]]
+        known = sorted({w for _, ws, _ in rows for w in ws})
+        self.counted = len(known)
+        self.vocabulary = {w: i for i, w in enumerate(known + sorted({w for _, _, ws in rows for w in ws} - set(known)))}
+        self.ids = [i for i, _, _ in rows]
+        self.passages = [[self.vocabulary[w] for w in ws] for _, ws, _ in rows]
+        self.answers = [[self.vocabulary[w] for w in ws] for _, _, ws in rows]
+
+    def blocks(self) -> Iterator[slice]:
+        """Slices of at most ``MAX_WINDOWS`` words."""
+        begin, n = 0, 0
+        for k, p in enumerate(self.passages):
+            if k > begin and n + len(p) > MAX_WINDOWS:
+                yield slice(begin, k)
+                begin, n = k, 0
+            n += len(p)
+        if self.passages:
+            yield slice(begin, len(self.passages))
+
+
+def _cut(passages: list[list[int]], size: int, step: int, partial: bool) -> tuple[np.ndarray, np.ndarray]:
+    """Word numbers of the windows of passages, and the place of each one's passage."""
+    codes = np.array([c for p in passages for c in p], np.int32)
+    starts = np.cumsum([0] + [len(p) for p in passages])
+    text, first = windows(starts, size, step, partial)
+    return _rows(np.r_[codes, np.full(size, -1, np.int32)], starts, text, first, size), text
+
+
+def _windowed(size: int, counted: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            codes, starts = _texts(b)
+            text, first = windows(starts, size, size, True)
+            rows = _rows(np.r_[np.where(codes < counted, codes, -1), np.full(size, -1, np.int32)], starts, text, first, size)
+            yield pa.RecordBatch.from_arrays([pa.ListArray.from_arrays(pa.array(np.arange(0, rows.size + 1, size), pa.int32()), pa.array(rows.ravel().astype(np.int32)))], names=["codes"])
+
+    return run
 
 
-def _index(docs: DataFrame, block: list, sizes: dict[int, int], partial: bool) -> dict | None:
-    """What a search needs of a block of items; the space is fitted on the first of ``sizes`` (size: step)."""
+def _over_items(docs: DataFrame, items: DataFrame, sizes: dict[int, int], verbatim: bool, search, schema: str) -> DataFrame:
+    """Search all documents for the items; the space is fitted on passages of the first of ``sizes`` (size: step)."""
     spark = docs.sparkSession
-    vocabulary = {w: i for i, w in enumerate(sorted({w for _, ws, _ in block for w in ws}))}
-    if not vocabulary:
-        return None
-    codes = np.array([vocabulary[w] for _, ws, _ in block for w in ws], np.int32)
-    starts = np.cumsum([0] + [len(ws) for _, ws, _ in block])
-    cut = {size: windows(starts, size, step, partial) for size, step in sizes.items()}
-    if not len(next(iter(cut.values()))[0]):
-        return None
-    idf = inverse_frequencies(docs, vocabulary)
-    rows = {size: _rows(np.r_[codes, np.full(size, -1, np.int32)], starts, text, first, size) for size, (text, first) in cut.items()}
-    passages = spark.createDataFrame(pa.table({"codes": pa.array(next(iter(rows.values())).tolist(), pa.list_(pa.int32()))}))
-    space = latent_space(passages, len(vocabulary), idf)
-    indexes = {size: (project(r, idf, space.astype(np.float32)), cut[size][0]) for size, r in rows.items()}
-    held = [k for k, (_, ws, _) in enumerate(block) if ws]
-    where = np.full(len(block), -1)
-    where[held] = np.arange(len(held))
-    indexes = {size: (index, where[owner]) for size, (index, owner) in indexes.items()}
-    members = Members([codes[starts[k] : starts[k + 1]] for k in held], len(vocabulary))
-    return {"vocabulary": vocabulary, "idf": idf, "space": space, "indexes": indexes, "items": [block[k][0] for k in held], "lengths": np.diff(starts)[held], "members": members, "passages": {i: ws for i, ws, _ in block}, "answers": {i: a for i, _, a in block}}
-
-
-def _over_items(docs: DataFrame, items: DataFrame, sizes: dict[int, int], partial: bool, search, schema: str) -> DataFrame:
+    known = Items(items, not verbatim)
+    size = next(iter(sizes))
+    if not known.ids:
+        return spark.createDataFrame([], schema)
+    read, idf = numbered(docs, known.vocabulary, known.counted, verbatim)
+    own, _ = _cut(known.passages, size, sizes[size], True)
+    few = read.orderBy(F.xxhash64("doc_id"), "doc_id").limit(FIT_DOCS).mapInArrow(_windowed(size, known.counted), "codes array<int>")
+    passages = spark.createDataFrame(pa.table({"codes": pa.array(own.tolist(), pa.list_(pa.int32()))})).unionByName(few)
+    space = latent_space(passages, known.counted, idf)
     out = None
-    docs = docs.select("doc_id", "text")
-    for block in _batches(items):
-        found = _index(docs, block, sizes, partial)
-        if found:
-            part = docs.mapInArrow(search(docs.sparkSession.sparkContext.broadcast(found)), schema)
-            out = part if out is None else out.unionByName(part)
-    return out if out is not None else docs.sparkSession.createDataFrame([], schema)
+    for block in known.blocks():
+        mine = known.passages[block]
+        indexes = {n: (project(rows, idf, space.astype(np.float32)), owner) for n, step in sizes.items() for rows, owner in [_cut(mine, n, step, True)]}
+        found = {"idf": idf, "space": space, "indexes": indexes, "items": known.ids[block], "passages": mine, "answers": known.answers[block], "lengths": np.array([len(p) for p in mine]), "members": Members([np.array(p) for p in mine], known.counted)}
+        if verbatim:
+            found["cells"] = Cells(indexes[size][0])
+        part = read.mapInArrow(search(spark.sparkContext.broadcast(found)), schema)
+        out = part if out is None else out.unionByName(part)
+    return out
 
 
 def verbatim_leaks(docs: DataFrame, items: DataFrame) -> DataFrame:
@@ -357,7 +447,7 @@ def verbatim_leaks(docs: DataFrame, items: DataFrame) -> DataFrame:
 
     Null and empty texts and passages give no rows; repeated documents give a row each.
     """
-    return _over_items(docs, items, {WINDOW: 1}, False, _search, "doc_id bigint, item_id bigint")
+    return _over_items(docs, items, {WINDOW: STRIDE}, True, _search, "doc_id bigint, item_id bigint")
 
 
 def paraphrases(docs: DataFrame, items: DataFrame) -> DataFrame:
@@ -366,4 +456,4 @@ def paraphrases(docs: DataFrame, items: DataFrame) -> DataFrame:
     ``lcs_share`` is the longest common subsequence by the shorter side; ``answer_found`` is null where
     the item has no answer.
     """
-    return _over_items(docs, items, {size: size // 4 for size in PARA_SIZES}, True, _rephrased, "doc_id bigint, item_id bigint, cosine double, lcs_share double, verbatim boolean, answer_found boolean")
+    return _over_items(docs, items, {size: size // 4 for size in PARA_SIZES}, False, _rephrased, "doc_id bigint, item_id bigint, cosine double, lcs_share double, verbatim boolean, answer_found boolean")
