@@ -3,7 +3,7 @@
 A smoothed character trigram model is trained on clean words of all records. Each word with letters
 beyond ASCII is scored under every candidate chain (encode with the wrong charset, decode with the
 true one); a segment takes the chain whose total gain in log likelihood is largest, if it passes a
-margin that was validated on held-out clean words and words damaged on purpose.
+margin that is validated on held-out segments, clean ones and the same damaged on purpose.
 """
 
 from __future__ import annotations
@@ -16,21 +16,26 @@ from collections.abc import Iterator
 from functools import lru_cache
 
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from auditlake.session import materialize
+
 #: Charsets text may have been read with by mistake; bytes without a meaning pass through, as browsers do.
 WRONG = ("cp1252", "iso8859-15", "cp1250", "iso8859-2", "cp1251", "koi8-r", "mac-roman", "cp437", "cp850", "cp866", "cp852", "cp1253", "cp1254", "cp1257", "mac-cyrillic", "iso8859-5", "latin-1")
 #: Charsets the bytes may really have been in, besides UTF-8.
-TRUE = ("cp1252", "cp1250", "iso8859-2", "cp1251", "koi8-r", "mac-roman", "cp437", "cp850", "cp866", "iso8859-5", "iso8859-7", "shift_jis", "euc_jp", "gb18030", "big5", "euc_kr")
-#: Multi-byte charsets that UTF-8 bytes may have been read with.
+TRUE = ("cp1252", "cp1250", "iso8859-2", "cp1251", "koi8-r", "mac-roman", "cp437", "cp850", "cp866", "iso8859-5", "iso8859-7", "cp1255", "cp1256", "cp1257", "cp874", "shift_jis", "euc_jp", "gb18030", "big5", "euc_kr")
+#: Multi-byte charsets that bytes may have been read with.
 WRONG_MULTI = ("shift_jis", "euc_jp", "gb18030", "big5", "euc_kr")
-#: Trigrams kept in the model, most frequent first.
-MODEL_SIZE = 300_000
+#: Trigrams kept in the model, most frequent first: more than the letters of all living scripts make in practice.
+MODEL_SIZE = 2_000_000
 #: Mean log likelihood of a character that a word reaches in any language the model knows.
 TYPICAL = -5.0
-#: Gain in nats that a record's best chain must pass; held-out clean words stay below, damaged ones above.
+#: Gain in nats that a record's best chain must pass, where there are too few held-out segments to validate it.
 MARGIN = 7.0
+#: Margins to choose from; one record of so many is held out of the training for it; least held-out segments.
+MARGINS, HELD_OUT, ENOUGH = tuple(x / 2 for x in range(8, 25)), 50, 200
 #: The same while the model is still trained on some damaged words.
 FIRST_MARGIN = 4.0
 #: Rounds of decoding that may lie on top of each other.
@@ -75,6 +80,7 @@ def decode(raw: bytes, charset: str) -> str | None:
         return None
 
 
+@lru_cache(maxsize=200_000)
 def candidates(word: str) -> dict[str, list[str]]:
     """Decoded word -> the chains that give it; UTF-8 rounds repeat up to ``DEPTH`` times.
 
@@ -97,7 +103,7 @@ def candidates(word: str) -> dict[str, list[str]]:
         level = [(c, t) for t, c in deeper.items()]
     if len(word.strip("0123456789.,:;!?()%-+/'")) < 2:
         return found
-    for w in WRONG:
+    for w in WRONG + (WRONG_MULTI if any(c >= "\u2e80" for c in word) else ()):  # those charsets give such signs
         raw = encode(word, w)
         if raw is None:
             continue
@@ -140,6 +146,7 @@ def escaped(raw: str, text: str, fixed: str) -> str:
     return _WORD.sub(lambda _: next(words), raw)
 
 
+@lru_cache(maxsize=200_000)
 def looks_damaged(word: str) -> bool:
     """Certain signs only: replacement characters, C1 controls, or bytes that are valid UTF-8."""
     if "�" in word or any("\x80" <= c <= "\x9f" for c in word):
@@ -252,6 +259,15 @@ def repair(model: Model, segment: str, chain: str) -> str:
 # --- distributed training and scoring -----------------------------------------------------------
 
 
+def _cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The distinct segments of each record that hold letters beyond ASCII; records without any are left out."""
+    for b in batches:
+        found = [list(dict.fromkeys(segments(p))) if p and not (p.isascii() and "&" not in p) else [] for p in b.column("html").to_pylist()]
+        some = pa.array([bool(f) for f in found], pa.bool_())
+        cols = [b.column(c).filter(some) for c in ("page_id", "declared", "held")]
+        yield pa.RecordBatch.from_arrays([*cols, pa.array([f for f in found if f], pa.list_(pa.string()))], names=["page_id", "declared", "held", "segments"])
+
+
 def _counter(model: Model | None):
     """Count trigrams of clean words; with a model, segments that it would repair are left out too."""
 
@@ -263,11 +279,9 @@ def _counter(model: Model | None):
 
         for b in batches:
             words: Counter[str] = Counter()
-            for page in b.column(0).to_pylist():
-                if page and not (page.isascii() and "&" not in page):
-                    for s in segments(page):
-                        if model is None or segment_chain(model, s)[1] <= FIRST_MARGIN:
-                            words.update(w for w in _WORD.findall(s) if not w.isascii())
+            for s in pc.list_flatten(b.column(0)).to_pylist():
+                if model is None or segment_chain(model, s)[1] <= FIRST_MARGIN:
+                    words.update(w for w in _WORD.findall(s) if not w.isascii())
             for w, n in words.items():
                 if not looks_damaged(w):
                     for g in trigrams(_digits(w)):
@@ -280,31 +294,69 @@ def _counter(model: Model | None):
     return count
 
 
-def train(pages: DataFrame, text: str = "html", size: int = MODEL_SIZE, rounds: int = 2) -> Model:
-    """Count the trigrams of all clean words of ``text``; the ``size`` most frequent make the model.
+def _misread(text: str) -> str:
+    """The UTF-8 bytes of a text read as cp1252: damage on purpose."""
+    table = {v: chr(k) for k, v in _bytes_of("cp1252").items()}
+    return "".join(table[x] for x in text.encode("utf-8", "replace"))
+
+
+def _gains(model):
+    """How many clean and how many damaged held-out segments pass each margin, and how many there are (at -1)."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        m, n = Model(model.value), Counter()
+        for b in batches:
+            for s in pc.list_flatten(b.column(0)).to_pylist():
+                gain = segment_chain(m, s)[1]
+                if any(looks_damaged(w) for w in _WORD.findall(s)) or gain > max(MARGINS):
+                    continue  # damaged already
+                bad = segment_chain(m, _misread(s))[1]
+                n[-1.0] += 1
+                n.update(x for x in MARGINS if gain > x)
+                n.update(x for x in MARGINS if bad <= x)
+        yield pa.RecordBatch.from_arrays([pa.array(list(n), pa.float64()), pa.array(list(n.values()), pa.int64())], names=["margin", "errors"])
+
+    return run
+
+
+def validated_margin(held: DataFrame, model) -> float:
+    """The margin with the fewest errors on held-out segments, clean ones and the same damaged on purpose.
+
+    Of several as good the one nearest to ``MARGIN``, which also holds where there are fewer than ``ENOUGH``.
+    """
+    n = {r["margin"]: r["errors"] for r in held.select("segments").mapInArrow(_gains(model), "margin double, errors bigint").groupBy("margin").agg(F.sum("errors").alias("errors")).collect()}
+    return MARGIN if n.get(-1.0, 0) < ENOUGH else min(MARGINS, key=lambda x: (n.get(x, 0), abs(x - MARGIN)))
+
+
+def train_on(cut: DataFrame, size: int = MODEL_SIZE, rounds: int = 2) -> Model:
+    """Count the trigrams of all clean words of ``segments``; the ``size`` most frequent make the model.
 
     The first round leaves out words with certain signs of damage, the second also the segments that
     the first model would repair. Counts are combined in each task before the shuffle.
     """
     model = None
     for _ in range(rounds):
-        grams = pages.select(text).mapInArrow(_counter(model), "gram string, n bigint").groupBy("gram").agg(F.sum("n").alias("n"))
+        grams = cut.select("segments").mapInArrow(_counter(model), "gram string, n bigint").groupBy("gram").agg(F.sum("n").alias("n"))
         top = grams.orderBy(F.desc("n"), "gram").limit(size)
         model = Model({r["gram"]: r["n"] for r in top.toLocalIterator()})
     return model
 
 
-def judge(model: Model, page: str | None, margin: float = MARGIN, declared: str | None = None) -> tuple[bool, bool, str, float, str | None]:
-    """(damaged, restorable, chain, gain, restored) of one record.
+def segmented(pages: DataFrame) -> DataFrame:
+    """(page_id, declared, held, segments) of the records of (page_id, html, declared) with letters beyond ASCII."""
+    held = F.pmod(F.xxhash64("page_id"), F.lit(HELD_OUT)) == 0
+    return pages.select("page_id", "html", "declared", F.coalesce(held, F.lit(False)).alias("held")).mapInArrow(_cut, "page_id bigint, declared string, held boolean, segments array<string>")
 
-    ``restored`` is the record with each damaged segment decoded; replacement characters make it not
-    restorable. Null, empty and pure ASCII records are undamaged.
-    """
-    if not page or (page.isascii() and "&" not in page):
-        return False, False, "", 0.0, None
+
+def train(pages: DataFrame, text: str = "html") -> Model:
+    """A model of the column ``text``."""
+    return train_on(materialize(segmented(pages.select(F.lit(None).cast("bigint").alias("page_id"), F.col(text).alias("html"), F.lit(None).cast("string").alias("declared"))), "segments"))
+
+
+def verdict(model: Model, distinct: list[str], margin: float, declared: str | None) -> tuple[bool, dict[str, str], tuple[str, float]]:
+    """Whether text of a record's segments is lost, the repaired ones, and the best chain with its gain."""
     lost, fixes, total = False, {}, defaultdict(float)
-    found = list(spans(page))
-    for s in dict.fromkeys(s for _, _, s in found):
+    for s in distinct:
         lost |= "�" in s
         chain, gain = segment_chain(model, s)
         if gain > 0.5 * margin:
@@ -313,8 +365,19 @@ def judge(model: Model, page: str | None, margin: float = MARGIN, declared: str
             lost |= "�" in fixes[s]
     first = ALIASES.get(declared or "", declared or "-") + ">"
     best = max(total.items(), key=lambda x: (x[1], x[0].startswith(first)), default=("", 0.0))
-    if best[1] <= margin:
-        fixes = {}
+    return lost, fixes if best[1] > margin else {}, best
+
+
+def judge(model: Model, page: str | None, margin: float = MARGIN, declared: str | None = None) -> tuple[bool, bool, str, float, str | None]:
+    """(damaged, restorable, chain, gain, restored) of one record.
+
+    ``restored`` is the record with each damaged segment decoded; replacement characters make it not
+    restorable. Null, empty and pure ASCII records are undamaged.
+    """
+    if not page or (page.isascii() and "&" not in page):
+        return False, False, "", 0.0, None
+    found = list(spans(page))
+    lost, fixes, best = verdict(model, list(dict.fromkeys(s for _, _, s in found)), margin, declared)
     if not lost and not fixes:
         return False, False, "", best[1], None
     parts, at = [], 0
@@ -329,21 +392,32 @@ def judge(model: Model, page: str | None, margin: float = MARGIN, declared: str
 ALIASES = {"windows-1252": "cp1252", "iso-8859-1": "cp1252", "latin1": "cp1252", "windows-1251": "cp1251", "windows-1250": "cp1250", "iso-8859-2": "iso8859-2", "iso-8859-15": "iso8859-15"}
 
 
-def _judged(model, with_text: bool):
+def _found(model, margin: float):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        m = Model(model.value)
+        for b in batches:
+            bad = []
+            for distinct, declared in zip(b.column("segments").to_pylist(), b.column("declared").to_pylist(), strict=True):
+                lost, fixes, _ = verdict(m, distinct, margin, declared)
+                bad.append(lost or bool(fixes))
+            yield pa.RecordBatch.from_arrays([b.column("page_id").filter(pa.array(bad, pa.bool_()))], names=["page_id"])
+
+    return run
+
+
+def _restored(model, margin: float):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m = Model(model.value)
         for b in batches:
             ids, cols = [], ([], [], [], [])
-            for key, page, declared in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), b.column(2).to_pylist(), strict=True):
-                damaged, restorable, chain, gain, restored = judge(m, page, declared=declared)
+            for key, page, declared in zip(b.column("page_id").to_pylist(), b.column("html").to_pylist(), b.column("declared").to_pylist(), strict=True):
+                damaged, restorable, chain, gain, restored = judge(m, page, margin, declared)
                 if damaged:
                     ids.append(key)
                     for c, v in zip(cols, (restorable, chain, gain, restored), strict=True):
                         c.append(v)
-            out = [pa.array(ids, pa.int64())]
-            if with_text:
-                out += [pa.array(c, t) for c, t in zip(cols, (pa.bool_(), pa.string(), pa.float64(), pa.string()), strict=True)]
-            yield pa.RecordBatch.from_arrays(out, names=["page_id", "restorable", "chain", "gain", "restored"][: len(out)])
+            out = [pa.array(ids, pa.int64()), *[pa.array(c, t) for c, t in zip(cols, (pa.bool_(), pa.string(), pa.float64(), pa.string()), strict=True)]]
+            yield pa.RecordBatch.from_arrays(out, names=["page_id", "restorable", "chain", "gain", "restored"])
 
     return run
 
@@ -353,10 +427,13 @@ def damaged_pages(pages: DataFrame, with_text: bool = False) -> DataFrame:
 
     Columns page_id and, with ``with_text``, restorable, chain, gain and restored (null where the text is
     lost). A charset declared in the headers only decides between chains of equal gain. Null or empty
-    html is undamaged; repeated rows are judged each on their own.
+    html is undamaged; repeated rows are judged each on their own. The html is cut into segments once.
     """
-    spark = pages.sparkSession
-    model = spark.sparkContext.broadcast(train(pages).three)
     label = F.lower(F.regexp_extract(F.coalesce(F.try_element_at("headers", F.lit("content-type")), F.lit("")), r"(?i)charset\s*=\s*[\"']?([^\s;\"']+)", 1))
-    schema = "page_id bigint" + (", restorable boolean, chain string, gain double, restored string" if with_text else "")
-    return pages.select("page_id", "html", label.alias("declared")).mapInArrow(_judged(model, with_text), schema)
+    labelled = pages.select("page_id", "html", label.alias("declared"))
+    cut = materialize(segmented(labelled), "segments")
+    model = pages.sparkSession.sparkContext.broadcast(train_on(cut.where("not held")).three)
+    margin = validated_margin(cut.where("held"), model)
+    if with_text:
+        return labelled.mapInArrow(_restored(model, margin), "page_id bigint, restorable boolean, chain string, gain double, restored string")
+    return cut.select("page_id", "declared", "segments").mapInArrow(_found(model, margin), "page_id bigint")

@@ -1,8 +1,8 @@
 """Mixing sources to target shares of the tokens, with a cap on repeats.
 
 Texts of a source are laid end to end and cut into blocks of a fixed number of tokens. Every output
-shard draws how many blocks it takes of each source (multinomial, conditioned on the totals that meet
-the targets). Slot j of a source is mapped through a pseudorandom permutation of its block numbers, one
+shard draws how many blocks it takes of each source (multinomial, held to the totals that meet the
+targets). Slot j of a source is mapped through a pseudorandom permutation of its block numbers, one
 per round through the source, and slots then fetch their blocks by number.
 """
 
@@ -11,13 +11,14 @@ from __future__ import annotations
 import base64
 import math
 import os
+import re
 from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark import TaskContext
-from pyspark.sql import Column, DataFrame
+from pyspark import SparkFiles, TaskContext
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from auditlake.session import materialize, parallelism
@@ -27,41 +28,56 @@ VOCABULARY = "/opt/tokenizers/byte_bpe_50k.tiktoken"
 PATTERN = r"""'(?:[sdmt]|ll|ve|re)| ?\p{L}++| ?\p{N}++| ?[^\s\p{L}\p{N}]++|\s++$|\s+(?!\S)|\s"""
 BLOCK_TOKENS = 256
 SHARD_BLOCKS = 1024
-#: Tasks that draw slots; the driver splits the totals among at most so many.
-GROUPS = 512
+#: Least number of groups of shards; there are as many as shards in a group beyond that, and a task for each.
+GROUPS = 64
 
 _encoders: dict[str, object] = {}
 
 
 def encoder(path: str = VOCABULARY):
-    """The tokenizer of ``path``, loaded once per process."""
+    """The tokenizer of ``path``, loaded once per process; ``shipped`` brings its file to the executors."""
     if path not in _encoders:
         import tiktoken
 
-        with open(path, "rb") as f:
+        sent = SparkFiles.get(os.path.basename(path)) if SparkFiles._root_directory or SparkFiles._is_running_on_worker else path
+        with open(sent if os.path.exists(sent) else path, "rb") as f:
             ranks = {base64.b64decode(a): int(b) for a, b in (line.split() for line in f if line.strip())}
         _encoders[path] = tiktoken.Encoding(os.path.basename(path), pat_str=PATTERN, mergeable_ranks=ranks, special_tokens={})
     return _encoders[path]
 
 
+def shipped(spark: SparkSession, path: str) -> str:
+    spark.sparkContext.addFile(path)
+    return path
+
+
 def source_name(c: Column) -> Column:
     """Source in lower case without surrounding space; hyphens and inner space as underscores."""
     t = F.regexp_replace(F.lower(F.regexp_replace(c, r"^\s+|\s+$", "")), r"[\s-]+", "_")
     return F.when(t != "", t)
 
 
-#: Characters that are encoded at once: longer texts are cut at a space first, as the tokenizer is slow on them.
+#: Characters that are encoded at once: the tokenizer is slow on longer texts.
 CHUNK = 100_000
+#: A space between two words: the split pattern always breaks before it, so cuts there change no token.
+_BREAK = re.compile(r"(?<=[^\W_]) (?=[^\W_])")
+
+
+def pieces(text: str) -> Iterator[str]:
+    """The text in parts of at least ``CHUNK`` characters whose tokens, in a row, are those of the whole."""
+    at = 0
+    while len(text) - at > CHUNK and (m := _BREAK.search(text, at + CHUNK)):
+        yield text[at : m.start()]
+        at = m.start()
+    yield text[at:]
+
+
+def encode(enc, text: str) -> list[int]:
+    return [t for p in pieces(text) for t in enc.encode_ordinary(p)]
 
 
 def count_tokens(enc, text: str) -> int:
-    n, at = 0, 0
-    while len(text) - at > CHUNK:
-        cut = text.rfind(" ", at + 1, at + CHUNK)
-        cut = cut if cut > at else at + CHUNK
-        n += len(enc.encode_ordinary(text[at:cut]))
-        at = cut
-    return n + len(enc.encode_ordinary(text[at:]))
+    return sum(len(enc.encode_ordinary(p)) for p in pieces(text))
 
 
 def _count(path: str):
@@ -100,7 +116,7 @@ def lay_out(docs: DataFrame, targets: dict[str, tuple[float, int]], path: str =
     spark = docs.sparkSession
     cap = F.create_map(*[x for s, (_, r) in targets.items() for x in (F.lit(s), F.lit(r))])
     used = docs.select("doc_id", "text", source_name(F.col("source")).alias("source")).where(F.col("source").isin(list(targets)) & (F.length("text") > 0) & F.col("doc_id").isNotNull())
-    sized = materialize(used.select("doc_id", "source", "text", F.xxhash64("text").alias("k1"), F.xxhash64(F.lit(seed), F.reverse("text")).alias("k2")).mapInArrow(_count(path), "doc_id bigint, source string, k1 bigint, k2 bigint, n bigint"), "tokens")
+    sized = materialize(used.select("doc_id", "source", "text", F.xxhash64("text").alias("k1"), F.xxhash64(F.lit(seed), F.reverse("text")).alias("k2")).mapInArrow(_count(shipped(spark, path)), "doc_id bigint, source string, k1 bigint, k2 bigint, n bigint"), "tokens")
     single = sized.where("n > 0").groupBy("k1", "k2").agg(F.min(F.struct(F.try_element_at(cap, F.col("source")).alias("cap"), "doc_id", "source", "n")).alias("r"))
     order = F.xxhash64(F.lit(seed), F.col("r.doc_id"))
     ranged = single.select("r.doc_id", "r.source", "r.n", order.alias("o")).repartitionByRange(parallelism(spark), "source", "o", "doc_id").sortWithinPartitions("source", "o", "doc_id")
@@ -151,9 +167,7 @@ def quotas(blocks: dict[str, int], targets: dict[str, tuple[float, int]], wanted
 
 
 def draw(rng: np.random.Generator, left: np.ndarray, n: int) -> np.ndarray:
-    """Counts per source of ``n`` blocks drawn from what is left, as without replacement."""
-    if left.sum() < 10**9:
-        return rng.multivariate_hypergeometric(left, n, method="marginals")
+    """Counts per source of ``n`` blocks: multinomial by what is left of each, drawn again beyond that."""
     got = np.minimum(rng.multinomial(n, left / left.sum()), left)
     while (miss := n - int(got.sum())) > 0:
         got += np.minimum(rng.multinomial(miss, (left - got) / (left - got).sum()), left - got)
@@ -216,7 +230,7 @@ def slots(spark, quota: Quota, seed: int = 7) -> DataFrame:
     shards = math.ceil(quota.total / SHARD_BLOCKS)
     if not shards:
         return spark.createDataFrame([], schema)
-    groups = min(GROUPS, shards)
+    groups = min(shards, max(GROUPS, math.isqrt(shards)))
     rng = np.random.default_rng([seed, 0])
     left, first, done, plan = np.array(quota.take, np.int64), np.zeros(len(quota.take), np.int64), 0, {}
     for g in range(groups):
@@ -225,7 +239,7 @@ def slots(spark, quota: Quota, seed: int = 7) -> DataFrame:
         got = draw(rng, left, n)
         plan[g] = (done, upto - done, got.tolist(), first.tolist())
         left, first, done = left - got, first + got, upto
-    return spark.range(groups, numPartitions=groups if groups < 64 else 64).select("id").mapInArrow(_slots(quota, plan, seed), schema)
+    return spark.range(groups, numPartitions=groups).select("id").mapInArrow(_slots(quota, plan, seed), schema)
 
 
 def mix(docs: DataFrame, targets: DataFrame, wanted_tokens: int | None = None, block_tokens: int = BLOCK_TOKENS, path: str = VOCABULARY, seed: int = 7) -> DataFrame:
@@ -268,7 +282,7 @@ def _assemble(path: str):
         for b in batches:
             out = []
             for text, start, n in zip(b.column("text").to_pylist(), b.column("start").to_pylist(), b.column("n_tokens").to_pylist(), strict=True):
-                out.append(enc.encode_ordinary(text)[start : start + n])
+                out.append(encode(enc, text)[start : start + n])
             rest = [c for c in b.schema.names if c != "text"]
             yield pa.RecordBatch.from_arrays([*[b.column(c) for c in rest], pa.array(out, pa.list_(pa.int32()))], names=[*rest, "tokens"])
 
@@ -276,7 +290,7 @@ def _assemble(path: str):
 
 
 def with_tokens(mixture: DataFrame, docs: DataFrame, path: str = VOCABULARY) -> DataFrame:
-    """The mixture with the tokens of each piece (texts up to ``CHUNK`` characters give the same cuts)."""
+    """The mixture with the tokens of each piece."""
     joined = mixture.join(docs.select("doc_id", "text"), "doc_id")
     schema = "doc_id bigint, shard bigint, slot int, source string, block bigint, epoch int, start bigint, n_tokens bigint, tokens array<int>"
-    return joined.select("doc_id", "shard", "slot", "source", "block", "epoch", "start", "n_tokens", "text").mapInArrow(_assemble(path), schema)
+    return joined.select("doc_id", "shard", "slot", "source", "block", "epoch", "start", "n_tokens", "text").mapInArrow(_assemble(shipped(docs.sparkSession, path)), schema)

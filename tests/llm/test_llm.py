@@ -229,6 +229,33 @@ def test_margin_separates_held_out_words():
         assert encoding.segment_chain(MODEL, misread(t.encode(), "cp1252"))[1] > encoding.MARGIN
 
 
+def test_margin_is_validated_on_held_out_segments(spark):
+    model = type("B", (), {"value": MODEL.three})()
+    words = [w for t in CLEAN.values() for w in t.split(" ") if not w.isascii()]
+    rng = random.Random(5)
+    held = spark.createDataFrame([([" ".join(rng.sample(words, 4))],) for _ in range(300)], "segments array<string>")
+    assert encoding.validated_margin(held.limit(3), model) == encoding.MARGIN
+    counts = {m: 0 for m in encoding.MARGINS}
+    for (s,) in held.collect():
+        gain, bad = encoding.segment_chain(MODEL, s[0])[1], encoding.segment_chain(MODEL, encoding._misread(s[0]))[1]
+        for m in counts:
+            counts[m] += (gain > m) + (bad <= m)
+    assert counts[encoding.validated_margin(held, model)] == min(counts.values())
+
+
+@pytest.mark.parametrize(("true", "wrong"), [("shift_jis", "euc_jp"), ("euc_kr", "gb18030"), ("big5", "gb18030")])
+def test_chains_between_double_byte_charsets(true, wrong):
+    found = 0
+    for text in ("古い時計台", "庭の茶屋", "川", "時計"):
+        try:
+            bad = text.encode(true).decode(wrong)
+        except UnicodeError:
+            continue
+        found += 1
+        assert f"{wrong}>{true};" in encoding.candidates(bad).get(text, [])
+    assert found or true == "euc_kr"
+
+
 def test_training_in_tasks(spark):
     df = spark.createDataFrame([(f"<p>{t}</p>",) for t in CLEAN.values()] * 5 + [(None,), ("",)], "html string")
     model = encoding.train(df)
@@ -358,6 +385,25 @@ def test_window_in_order_counts_beside_a_nearer_shuffled_one(spark):
         assert leaks.subsequence(a, b) == want
 
 
+def test_latent_space_decides(spark, monkeypatch):
+    docs = spark.createDataFrame([(i, " ".join(f"w{(i + k) % 60}" for k in range(40))) for i in range(20)], "doc_id long, text string")
+    items = spark.createDataFrame([(1, " ".join(f"w{k}" for k in range(20)), None), (2, " ".join(f"v{k}" for k in range(20)), None)], "item_id long, passage string, answer string")
+    assert leaks.verbatim_leaks(docs, items).count() > 5
+    monkeypatch.setattr(leaks, "latent_space", lambda passages, size, idf: np.zeros((size, 4)))
+    assert leaks.verbatim_leaks(docs, items).count() == 0
+
+
+def test_cells_hold_every_passage_once():
+    rng = np.random.default_rng(3)
+    vectors = rng.standard_normal((300, 16)).astype(np.float32)
+    vectors /= np.linalg.norm(vectors, axis=1, keepdims=True)
+    cells = leaks.Cells(vectors)
+    assert sorted(np.concatenate(cells.members).tolist()) == list(range(300))
+    every = {(r, m) for r, m in zip(*np.nonzero(vectors @ vectors.T >= 0.5), strict=True)}
+    assert set(zip(*cells.near(vectors, 0.5, len(cells.members)), strict=True)) == every
+    assert {(k, k) for k in range(300)} <= set(zip(*cells.near(vectors, 0.9, 2), strict=True))
+
+
 def test_small_helpers():
     assert leaks.subsequence("a b c d".split(), "a x c d".split()) == 3
     text, first = leaks.windows(np.array([0, 3, 3, 12]), 4, 2)
@@ -373,6 +419,26 @@ def test_permutation_is_one():
     assert mixing.permute(np.arange(100), 100, 5).tolist() != mixing.permute(np.arange(100), 100, 6).tolist()
 
 
+def test_long_texts_have_the_same_tokens():
+    rng = random.Random(8)
+    enc = mixing.encoder()
+    parts = ["alpha", "a_b", "don't", "12", "...", "日本語", "\n\n", "  ", "é", "x.", "(z)", "\u3000"]
+    text = "".join(rng.choice(parts) + rng.choice([" ", "  ", "\n", "", " "]) for _ in range(70_000))
+    for t in (text, "x" * (mixing.CHUNK + 1), "y z" * mixing.CHUNK, text[: mixing.CHUNK + 1], ""):
+        whole = enc.encode_ordinary(t)
+        assert mixing.encode(enc, t) == whole and mixing.count_tokens(enc, t) == len(whole)
+    assert len(list(mixing.pieces(text))) > 2
+
+
+@pytest.mark.parametrize("size", [10**3, 10**12])
+def test_one_way_to_draw(size):
+    left = np.array([size, 2 * size, 5])
+    rng = np.random.default_rng(1)
+    got = mixing.draw(rng, left, size)
+    assert got.sum() == size and (got <= left).all() and abs(got[0] / size - 1 / 3) < 0.05
+    assert mixing.draw(rng, left, int(left.sum())).tolist() == left.tolist()
+
+
 def test_quotas():
     q = mixing.quotas({"a": 100, "b": 10, "c": 0}, {"a": (0.5, 1), "b": (0.25, 3), "c": (0.25, 9)})
     assert q.sources == ["a", "b"] and q.take == [60, 30] and q.total == 90
