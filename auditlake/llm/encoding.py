@@ -103,13 +103,14 @@ def candidates(word: str) -> dict[str, list[str]]:
         level = [(c, t) for t, c in deeper.items()]
     if len(word.strip("0123456789.,:;!?()%-+/'")) < 2:
         return found
+    read: dict[bytes, list[str]] = {}  # many charsets give the same bytes
     for w in WRONG + (WRONG_MULTI if any(c >= "\u2e80" for c in word) else ()):  # those charsets give such signs
-        raw = encode(word, w)
-        if raw is None:
-            continue
+        if (raw := encode(word, w)) is not None:
+            read.setdefault(raw, []).append(w)
+    for raw, wrong in read.items():
         for true in TRUE:
-            if true != w and (t := decode(raw, true)) is not None and t != word:
-                found.setdefault(t, []).append(f"{w}>{true};")
+            if (t := decode(raw, true)) is not None and t != word and (names := [f"{w}>{true};" for w in wrong if w != true]):
+                found.setdefault(t, []).extend(names)
     return found
 
 
@@ -180,6 +181,7 @@ class Model:
             self.one[g[2]] += n
         self.total = sum(self.one.values()) or 1
         self.scores: dict[str, list[tuple[list[str], str, float]]] = {}
+        self.best: dict[str, float] = {}
 
     def known(self, text: str) -> bool:
         return all(c in self.one or c.isascii() for c in text)
@@ -220,18 +222,34 @@ class Model:
         return found
 
 
+    def most(self, word: str) -> float:
+        """The largest gain of any chain, 0 if none gains."""
+        found = self.best.get(word)
+        if found is None:
+            found = max((g for _, _, g in self.gains(word)), default=0.0)
+            if len(self.best) > 1_000_000:
+                self.best.clear()
+            found = self.best[word] = max(0.0, found)
+        return found
+
+
 def _digits(word: str) -> str:
     return re.sub(r"\d", "0", word)
 
 
-def segment_chain(model: Model, segment: str) -> tuple[str, float]:
-    """Best chain of a segment and its gain; words that a chain can't change count nothing."""
+def segment_chain(model: Model, segment: str, floor: float = -math.inf) -> tuple[str, float]:
+    """Best chain of a segment and its gain; words that a chain can't change count nothing.
+
+    Where the words' best gains together do not pass ``floor``, no chain can: then ("", that sum).
+    """
     total: dict[str, float] = defaultdict(float)
-    for word in _WORD.findall(segment):
-        if not word.isascii():
-            for chains, _, gain in model.gains(word):
-                for chain in chains:
-                    total[chain] += gain
+    words = [w for w in _WORD.findall(segment) if not w.isascii()]
+    if (most := sum(map(model.most, words))) <= floor:
+        return "", most
+    for word in words:
+        for chains, _, gain in model.gains(word):
+            for chain in chains:
+                total[chain] += gain
     return max(total.items(), key=lambda x: x[1], default=("", 0.0))
 
 
@@ -280,7 +298,7 @@ def _counter(model: Model | None):
         for b in batches:
             words: Counter[str] = Counter()
             for s in pc.list_flatten(b.column(0)).to_pylist():
-                if model is None or segment_chain(model, s)[1] <= FIRST_MARGIN:
+                if model is None or segment_chain(model, s, FIRST_MARGIN)[1] <= FIRST_MARGIN:
                     words.update(w for w in _WORD.findall(s) if not w.isascii())
             for w, n in words.items():
                 if not looks_damaged(w):
@@ -307,10 +325,10 @@ def _gains(model):
         m, n = Model(model.value), Counter()
         for b in batches:
             for s in pc.list_flatten(b.column(0)).to_pylist():
-                gain = segment_chain(m, s)[1]
+                gain = segment_chain(m, s, MARGINS[0])[1]
                 if any(looks_damaged(w) for w in _WORD.findall(s)) or gain > max(MARGINS):
                     continue  # damaged already
-                bad = segment_chain(m, _misread(s))[1]
+                bad = segment_chain(m, _misread(s), MARGINS[0])[1]
                 n[-1.0] += 1
                 n.update(x for x in MARGINS if gain > x)
                 n.update(x for x in MARGINS if bad <= x)
@@ -358,7 +376,7 @@ def verdict(model: Model, distinct: list[str], margin: float, declared: str | No
     lost, fixes, total = False, {}, defaultdict(float)
     for s in distinct:
         lost |= "�" in s
-        chain, gain = segment_chain(model, s)
+        chain, gain = segment_chain(model, s, 0.5 * margin)
         if gain > 0.5 * margin:
             total[chain] += gain
             fixes[s] = repair(model, s, chain)
