@@ -3,13 +3,15 @@
 from __future__ import annotations
 
 import argparse
+import os
 import sys
+import time
 from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from auditlake.operators import report
+from auditlake.operators import history, report
 from auditlake.plans.audit import Config, audit
 from auditlake.session import get_spark
 from auditlake.sources import http
@@ -35,6 +37,8 @@ def parser() -> argparse.ArgumentParser:
     a.add_argument("--no-color", action="store_true")
     a.add_argument("-o", "--output")
     a.add_argument("--verbose", action="store_true")
+    a.add_argument("--redis-url", default=os.environ.get("REDIS_URL"), help="accepted, not needed: the frontier is a table")
+    a.add_argument("--history", default=os.environ.get("AUDIT_HISTORY"), help="history table that the run is added to")
     d = sub.add_parser("diff", help="compare two reports")
     d.add_argument("before")
     d.add_argument("after")
@@ -46,14 +50,15 @@ def parser() -> argparse.ArgumentParser:
 
 
 def config_of(args: argparse.Namespace) -> Config:
-    return Config(args.depth, args.rate, args.max_pages, args.timeout, args.global_timeout, args.user_agent, args.ignore_robots, args.validate_sitemap, args.check_external_links)
+    return Config(args.depth, args.rate, args.max_pages, args.timeout, args.global_timeout, args.user_agent, args.ignore_robots, args.validate_sitemap, args.check_external_links, args.concurrency)
 
 
-def run_audit(spark: SparkSession, url: str, config: Config, web=None) -> DataFrame:
+def run_audit(spark: SparkSession, url: str, config: Config, web=None, on_pages=None) -> DataFrame:
     """The report of one root as a one-row frame; a crawl that found nothing has score 0."""
-    web = web or live(rate=config.rate, timeout=config.timeout, user_agent=config.user_agent)
+    deadline = {} if config.global_timeout is None else {"deadline": time.time() + config.global_timeout}
+    web = web or live(config.concurrency, rate=config.rate, timeout=config.timeout, user_agent=config.user_agent, **deadline)
     seeds = spark.createDataFrame([("job", url)], "job_id string, url string")
-    pages = audit(seeds, web, config)
+    pages = audit(seeds, web, config, on_pages)
     reports = report.assemble(pages, "root")
     if reports.isEmpty():
         score = 100 if config.depth == 0 else 0
@@ -61,6 +66,20 @@ def run_audit(spark: SparkSession, url: str, config: Config, web=None) -> DataFr
     return reports
 
 
+def bar(err=None):
+    """Draws the progress on a terminal: pages done of those known."""
+    err, done = err or sys.stderr, 0
+
+    def draw(pages: list, total: int) -> None:
+        nonlocal done
+        done += len(pages)
+        if err.isatty():
+            err.write("\r" + report.progress_bar(done, max(done, total)))
+            err.flush()
+
+    return draw
+
+
 def emit(reports: DataFrame, output: str | None, quiet: bool, colour: bool, out=None, err=None) -> None:
     """JSON to the file and text to stdout, or JSON to stdout and text to stderr; quiet: the score alone."""
     out, err = out or sys.stdout, err or sys.stderr
@@ -89,7 +108,10 @@ def main(argv: list[str] | None = None) -> int:
     spark.sparkContext.setLogLevel("INFO" if getattr(args, "verbose", False) else "ERROR")
     colour = report.use_colour(args.no_color)
     if args.command == "audit":
-        emit(run_audit(spark, args.url, config_of(args)), args.output, args.quiet, colour)
+        done = spark.createDataFrame(run_audit(spark, args.url, config_of(args), on_pages=None if args.quiet else bar()).collect(), report.REPORT)
+        emit(done, args.output, args.quiet, colour)
+        if args.history:
+            history.record(done, args.history)
         return 0
     before, after = report.read_json(spark, args.before), report.read_json(spark, args.after)
     result = report.diff_reports(before, after)

@@ -32,6 +32,25 @@ def append(runs: DataFrame, path: str) -> None:
     runs.select(*[c.split()[0] for c in SCHEMA.split(", ")]).write.mode("append").partitionBy("host").parquet(path)
 
 
+def create(spark: SparkSession, path: str) -> None:
+    """An empty history table at ``path`` unless there is one."""
+    p = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    fs = p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    if not fs.exists(p):
+        fs.mkdirs(p)
+
+
+def record(reports: DataFrame, path: str) -> None:
+    """Add finished reports (root, pages, site_score, crawled_at) as runs; the id is the time in microseconds.
+
+    The host includes the port. Failures are left to the caller.
+    """
+    at = F.to_timestamp("crawled_at")
+    body = F.to_json(F.struct("root", "pages", "site_score", "crawled_at"), {"ignoreNullFields": "false"})
+    host = F.regexp_extract("root", r"^[a-zA-Z]+://(?:[^/?#@]*@)?([^/?#]*)", 1)
+    append(reports.select(F.unix_micros(F.coalesce(at, F.current_timestamp())).alias("id"), host.alias("host"), F.col("root").alias("root_url"), "site_score", body.alias("report"), F.coalesce(at, F.current_timestamp()).alias("crawled_at")), path)
+
+
 def read(spark: SparkSession, path: str) -> DataFrame:
     """The history table; a filter on host reads only that host's files."""
     return spark.read.schema(SCHEMA).parquet(path)

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import time
+from collections.abc import Callable
 from dataclasses import dataclass
 
 from pyspark.sql import DataFrame
@@ -30,6 +31,7 @@ class Config:
     ignore_robots: bool = False
     validate_sitemap: bool = False
     check_external_links: bool = False
+    concurrency: int | None = None
 
     def __post_init__(self) -> None:
         self.rate = self.rate or 1
@@ -49,12 +51,15 @@ def host_files(pages: DataFrame, responses, name: str, url_column: str = "url")
 
 
 def fetch_level(frontier: DataFrame, responses, config: Config) -> DataFrame:
-    """Pages of one level (requested, depth, ...) that robots.txt allows and that could be fetched."""
+    """Pages of one level (requested, depth, ...) that robots.txt allows and that could be fetched, at its crawl delay."""
     if not config.ignore_robots:
         files = host_files(frontier, responses, "robots.txt", "requested").where("status BETWEEN 200 AND 299")
-        parsed = files.select("origin", F.explode(robots_ops.parse_robots("body")["rules"]).alias("r")).select("origin", "r.*")
+        robots = materialize(files.select("origin", robots_ops.parse_robots("body").alias("robots")), "robots")
+        parsed = robots.select("origin", F.explode("robots.rules").alias("r")).select("origin", "r.*")
         paths = frontier.withColumn("origin", origin_of(F.col("requested"))).withColumn("path", urls.url_parts(F.col("requested"))["path"])
-        frontier = robots_ops.decisions(paths, parsed, config.user_agent, "origin").where("allowed").drop("allowed", "path", "origin")
+        frontier = robots_ops.decisions(paths, parsed, config.user_agent, "origin").where("allowed").drop("allowed", "path")
+        frontier = frontier.join(robots_ops.crawl_delays(robots, "origin"), "origin", "left").drop("origin")
+        return recorded.fetch(frontier, responses).drop("delay")
     return recorded.fetch(frontier, responses)
 
 
@@ -84,38 +89,62 @@ def site_findings(pages: DataFrame, responses, config: Config) -> DataFrame:
     return joined.withColumn("findings", every).drop("origin", "rf", "sf", "lf")
 
 
-def audit(seeds: DataFrame, responses, config: Config | None = None) -> DataFrame:
+#: Pages of a level that are audited in one step where someone watches the progress.
+STEP = 16
+
+
+def _steps(level: DataFrame, watched: bool) -> list[DataFrame]:
+    """The level whole or, if it is watched, in steps in the order of its pages."""
+    if not watched:
+        return [level]
+    first, last = level.agg(F.min("place"), F.max("place")).collect()[0]
+    return [level.where(F.col("place").between(p, p + STEP - 1)) for p in range(first or 0, (last or -1) + 1, STEP)]
+
+
+def _audit_pages(level: DataFrame, responses, config: Config) -> tuple[DataFrame, DataFrame]:
+    """(job_id, root, url, depth, findings) of the pages of one step, and the pages with their links."""
+    single = config.depth == 0
+    fetched = materialize(fetch_level(level, responses, config), "fetched")
+    facts = extract(fetched.where("error IS NULL"), ["job_id", "root", "requested", "url", "depth", "place", "redirect_chain"])
+    found = rules.page_findings(facts).withColumn("links", F.col("facts.links")).withColumn("base", F.col("url" if single else "requested"))
+    linked = materialize(urls.with_links(found.drop("facts"), "base", "links"), "level")
+    pages = linked.withColumn("page_key", F.concat_ws("\n", "job_id", "requested"))
+    scored = site_findings(pages, responses, config).select("job_id", "root", F.col("base").alias("url"), "depth", "findings")
+    if single:
+        loops = fetched.where("error = 'RedirectLoop'")
+        scored = scored.unionByName(loops.select("job_id", "root", F.col("requested").alias("url"), "depth", F.array(rules.loop_finding(F.col("requested"), F.size("redirect_chain"))).alias("findings")))
+    return scored, linked
+
+
+def audit(seeds: DataFrame, responses, config: Config | None = None, on_pages: Callable[[list, int], None] | None = None) -> DataFrame:
     """(job_id, root, url, depth, findings, category_scores, score) of each page of each job.
 
     ``responses``: recorded responses or a ``Web``. ``seeds``: job_id, url. Depth 0 audits the root alone; a page is reported under its final URL then,
     under the requested URL in a crawl. Rules see the final URL, links are taken against the requested
     one. Pages that are not allowed or could not be fetched have no report, but for a redirect loop of a
-    root at depth 0. The global timeout is checked between levels; finished levels stand.
+    root at depth 0. The global timeout is checked between steps, and a ``Web`` with a deadline asks nothing
+    after it; what was finished stands. ``on_pages`` gets the (url, score) rows of each step and the number of URLs known.
     """
     config = config or Config()
     began = time.monotonic()
-    single = config.depth == 0
     level = seeds.where("url IS NOT NULL").select("job_id", F.col("url").alias("root"), F.col("url").alias("requested")).distinct().withColumn("depth", F.lit(0)).withColumn("place", F.lit(1).cast("bigint"))
     seen = level.select("job_id", "requested", "place")
     out = None
+    late = lambda: config.global_timeout is not None and time.monotonic() - began > config.global_timeout
     for depth in range(config.depth + 1):
-        fetched = fetch_level(level, responses, config)
-        loops = fetched.where("error = 'RedirectLoop'")
-        ok = fetched.where("error IS NULL")
-        keep = ["job_id", "root", "requested", "url", "depth", "place", "redirect_chain"]
-        facts = extract(ok, keep)
-        found = rules.page_findings(facts).withColumn("links", F.col("facts.links")).withColumn("base", F.col("url" if single else "requested"))
-        linked = materialize(urls.with_links(found.drop("facts"), "base", "links"), "level")
-        pages = linked.withColumn("page_key", F.concat_ws("\n", "job_id", "requested"))
-        scored = site_findings(pages, responses, config).select("job_id", "root", F.col("base").alias("url"), "depth", "findings")
-        if single:
-            looped = loops.select("job_id", "root", F.col("requested").alias("url"), "depth", F.array(rules.loop_finding(F.col("requested"), F.size("redirect_chain"))).alias("findings"))
-            scored = scored.unionByName(looped)
-        out = scored if out is None else out.unionByName(scored)
-        late = config.global_timeout is not None and time.monotonic() - began > config.global_timeout
-        if depth == config.depth or late:
+        children = None
+        for step in _steps(level, on_pages is not None):
+            scored, linked = _audit_pages(step, responses, config)
+            if on_pages is not None:
+                scored = materialize(scored, "scored")
+                on_pages(score.with_scores(scored).select("url", "score").collect(), seen.count())  # a step has few pages
+            out = scored if out is None else out.unionByName(scored)
+            found = linked.select("job_id", "root", "place", F.posexplode("discovered").alias("pos", "child"))
+            children = found if children is None else children.unionByName(found)
+            if late():
+                break
+        if depth == config.depth or late() or children is None:
             break
-        children = linked.select("job_id", "root", "place", F.posexplode("discovered").alias("pos", "child"))
         level, seen = _next_level(children, seen, depth + 1, config.max_pages)
         if level.isEmpty():
             break

@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+import inspect
 import json
 import os
+import sys
 import threading
 import time
 import uuid
@@ -61,12 +63,14 @@ class Admission:
 class Jobs:
     """Running and finished jobs; those older than the time to live are dropped when others come.
 
-    ``history``, if given, answers (host, limit) with the newest runs of the host and its regression.
+    ``run`` gets the root, the options and, if it takes a third value, a function for the (url, score) of pages
+    as they are done and the number of URLs known; else its pages are sent at its end. ``history``, if given, answers (host, limit) with the newest runs of the host and its
+    regression; ``keep`` stores each finished report, and its failure is not the job's.
     """
 
-    def __init__(self, run: Callable[[str, Config], dict], ttl: float = JOB_TTL, admission: Admission | None = None, history: Callable[[str, str | None], dict] | None = None):
+    def __init__(self, run: Callable[[str, Config, Callable], dict], ttl: float = JOB_TTL, admission: Admission | None = None, history: Callable[[str, str | None], dict] | None = None, keep: Callable[[dict], None] | None = None):
         self.run, self.ttl, self.known = run, ttl, {}
-        self.admission, self.history = admission or Admission(), history
+        self.admission, self.history, self.keep = admission or Admission(), history, keep
 
     @property
     def running(self) -> int:
@@ -82,10 +86,24 @@ class Jobs:
 
     def _work(self, job: Job, config: Config) -> None:
         job.send({"type": "Started", "job_id": job.id, "root": job.root})
+        done = 0
+
+        def page_done(pages: list, total: int = 0) -> None:
+            nonlocal done
+            for p in pages:
+                done += 1
+                job.send({"type": "PageDone", "job_id": job.id, "url": p["url"], "score": p["score"], "queue_depth": max(0, total - done), "pages_done": done})
+
         try:
-            result = self.run(job.root, config)
-            for n, p in enumerate(result["pages"], 1):
-                job.send({"type": "PageDone", "job_id": job.id, "url": p["url"], "score": p["score"], "queue_depth": 0, "pages_done": n})
+            watched = len(inspect.signature(self.run).parameters) > 2
+            result = self.run(job.root, config, page_done) if watched else self.run(job.root, config)
+            if not watched:
+                page_done(result["pages"])
+            if self.keep:
+                try:
+                    self.keep(result)
+                except Exception as e:  # noqa: BLE001 - a run is reported even if it can't be stored
+                    print(f"history: {str(e)[:500]}", file=sys.stderr)
             job.send({"type": "Done", "job_id": job.id, "report": result})
         except Exception as e:  # noqa: BLE001 - reported to the client
             job.send({"type": "Error", "job_id": job.id, "message": str(e)[:500]})
@@ -111,7 +129,7 @@ def handler(jobs: Jobs) -> type[BaseHTTPRequestHandler]:
                 body = json.loads(self.rfile.read(int(self.headers.get("Content-Length", 0))))
                 if not urls.parse(body["url"]):
                     raise ValueError("the URL can't be read")
-                config = Config(depth=int(body.get("depth", 1)), max_pages=body.get("max_pages"))
+                config = Config(depth=int(body.get("depth", 1)), max_pages=body.get("max_pages"), concurrency=int(body["concurrency"]) if body.get("concurrency") else None)
             except (ValueError, KeyError, TypeError) as e:
                 return self._json(500, {"error": str(e)})
             if not jobs.admission.admit(self.client_address[0], jobs.running):
@@ -160,17 +178,22 @@ def make_server(bind: str, jobs: Jobs) -> ThreadingHTTPServer:
 
 def serve(bind: str) -> None:
     from auditlake.cli import run_audit
-    from auditlake.operators import history
+    from auditlake.operators import history, report
     from auditlake.session import get_spark
 
     spark = get_spark()
 
-    def run(root: str, config: Config) -> dict:
-        return run_audit(spark, root, config).collect()[0].asDict(recursive=True)
+    def run(root: str, config: Config, page_done: Callable) -> dict:
+        return run_audit(spark, root, config, on_pages=page_done).collect()[0].asDict(recursive=True)
 
     table = os.environ.get("AUDIT_HISTORY")
+    if table:
+        history.create(spark, table)
 
     def past(host: str, limit: str | None) -> dict:
         return history.answer(history.read(spark, table), host, limit)
 
-    make_server(bind, Jobs(run, history=past if table else None)).serve_forever()
+    def keep(result: dict) -> None:
+        history.record(spark.createDataFrame([result], report.REPORT), table)
+
+    make_server(bind, Jobs(run, history=past if table else None, keep=keep if table else None)).serve_forever()

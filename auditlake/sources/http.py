@@ -35,9 +35,9 @@ class _NoRedirect(urllib.request.HTTPRedirectHandler):
 class TokenBucket:
     """Per host: ``rate`` requests a second with a burst of as many, and a least interval."""
 
-    def __init__(self, rate: float, interval: float = 0.0, clock=time.monotonic, sleep=time.sleep):
+    def __init__(self, rate: float, interval: float = 0.0, clock=time.time, sleep=time.sleep, full_at: float = float("-inf"), last: float = float("-inf")):
         self.rate, self.interval, self.clock, self.sleep = max(1.0, rate), interval, clock, sleep
-        self.full_at, self.last = float("-inf"), float("-inf")
+        self.full_at, self.last = full_at, last
 
     def acquire(self) -> float:
         now = self.clock()
@@ -85,22 +85,34 @@ class _Reader(DataSourceReader):
         return fetch_all(partition.targets, self.o)
 
 
-def fetch_all(targets: list[str], o: dict) -> Iterator[tuple]:
-    """Rows of ``SCHEMA`` for each URL: one after the other, within each host's limits, with retries of GET."""
+def fetch_all(targets: list[str], o: dict, limits: dict[str, TokenBucket] | None = None, delays: list[float | None] | None = None) -> Iterator[tuple]:
+    """Rows of ``SCHEMA`` for each URL: one after the other, within each host's limits, with retries of GET.
+
+    ``limits`` keeps the hosts' buckets between calls; ``delays`` are least intervals that a host asks for.
+    After the option deadline (seconds since the epoch) nothing is asked any more: error "Deadline".
+    """
     method = o.get("method", "GET").upper()
     timeout, agent = float(o.get("timeout", "30")), o.get("user_agent", USER_AGENT)
-    limits: dict[str, TokenBucket] = {}
-    for u in targets:
+    deadline = float(o.get("deadline", "inf"))
+    limits = {} if limits is None else limits
+    for u, delay in zip(targets, delays or [None] * len(targets), strict=True):
         host = urls.host_of(u) or ""
-        bucket = limits.setdefault(host, TokenBucket(float(o.get("rate", "2")), float(o.get("delay", "0"))))
+        if host not in limits:
+            limits[host] = TokenBucket(float(o.get("rate", "2")), float(o.get("delay", "0")))
+        bucket = limits[host]
+        bucket.set_interval(delay or 0.0)
         for attempt in range(MAX_RETRIES + 1):
-            bucket.acquire()
-            status, location, headers, body, error = request(u, method, timeout, agent)
+            if time.time() < deadline:
+                bucket.acquire()
+            if time.time() >= deadline:
+                yield (method, u, None, None, {}, None, "Deadline", attempt)
+                break
+            status, location, headers, body, error = request(u, method, min(timeout, max(0.1, deadline - time.time())), agent)
             yield (method, u, status, location, headers, body, error, attempt)
             if method != "GET" or status not in (429, 503) or attempt == MAX_RETRIES:
                 break
             after = headers.get("retry-after", "")
-            time.sleep(int(after) if after.isdigit() else 2**attempt)
+            time.sleep(min(int(after) if after.isdigit() else 2**attempt, max(0.0, deadline - time.time())))
 
 
 class HttpSource(DataSource):

@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from auditlake.functions import urls
-from auditlake.session import materialize
+from auditlake.session import broadcast_if_small, materialize
 
 MAX_HOPS = 10
 MAX_RETRIES = 3
@@ -84,18 +84,21 @@ def fetch(seeds: DataFrame, source, max_hops: int = MAX_HOPS) -> DataFrame:
 
     A redirect needs a 3xx status and a Location. ``redirect_chain`` holds the URLs visited before the final
     one. A URL met twice, or more than ``max_hops`` hops, gives error "RedirectLoop"; a URL without a
-    record, or one whose record failed, gives its error. One join per hop; only rows that still move
-    take part in the next, and hops end when none do.
+    record, or one whose record failed, gives its error. One join per hop over statuses and locations alone;
+    only rows that still move take part in the next, and hops end when none do. Headers and bodies are
+    fetched once, for the final URLs. A column delay (seconds) is the least time between a host's requests.
     """
     from auditlake.sources.web import as_web
 
     web = as_web(source)
-    answers = lambda urls: final_attempts(web(urls, "GET")).select(F.col("url").alias("r_url"), F.col("status").alias("r_status"), "location", F.col("headers").alias("r_headers"), "body", F.col("error").alias("r_error"))
     keep = seeds.columns
     moving = seeds.withColumn("url", F.col("requested")).withColumn("redirect_chain", F.array().cast("array<string>"))
-    done = None
+    done, sources = None, []
     for hop in range(max_hops + 1):
-        table = answers(moving.select("url"))
+        raw = web(moving.select("url", *[c for c in keep if c == "delay"]), "GET")
+        if not any(raw is x for x in sources):
+            sources.append(raw)
+        table = final_attempts(raw.select("method", "url", "status", "location", "error", "attempt")).select(F.col("url").alias("r_url"), F.col("status").alias("r_status"), "location", F.col("error").alias("r_error"), F.coalesce("attempt", F.lit(0)).alias("r_attempt"))
         met = moving.join(table, moving["url"] == table["r_url"], "left")
         redirect = F.col("r_status").between(300, 399) & F.col("location").isNotNull() & F.col("r_error").isNull()
         met = met.withColumn("next", F.when(redirect, join_url(F.col("url"), F.coalesce("location", F.lit("")))))
@@ -103,11 +106,20 @@ def fetch(seeds: DataFrame, source, max_hops: int = MAX_HOPS) -> DataFrame:
         error = F.when(F.col("r_url").isNull(), "NotRecorded").when(F.col("r_error").isNotNull(), F.col("r_error")).when(loops, "RedirectLoop")
         ended = F.col("next").isNull() | loops
         chain = F.when(loops, F.concat("redirect_chain", F.array("url"))).otherwise(F.col("redirect_chain"))
-        part = met.where(ended).select(*keep, "url", F.col("r_status").alias("status"), chain.alias("redirect_chain"), F.coalesce("r_headers", F.create_map().cast("map<string,string>")).alias("headers"), "body", error.alias("error"))
+        part = met.where(ended).select(*keep, "url", F.col("r_status").alias("status"), chain.alias("redirect_chain"), error.alias("error"), "r_attempt")
         done = part if done is None else done.unionByName(part)
         if hop == max_hops:
             break
         moving = materialize(met.where(~ended).select(*keep, F.col("next").alias("url"), F.concat("redirect_chain", F.array("url")).alias("redirect_chain")), "hop")
         if moving.isEmpty():
             break
-    return done.withColumn("html", decode_html("body", F.try_element_at("headers", F.lit("content-type")))).drop("body")
+    done = materialize(done, "fetched")
+    wanted = broadcast_if_small(done.select(F.col("url").alias("b_url"), F.col("r_attempt").alias("b_attempt")).where("b_attempt IS NOT NULL").distinct())
+    bodies = None
+    for raw in sources:
+        got = raw.where("method = 'GET'").withColumn("attempt", F.coalesce("attempt", F.lit(0))).join(wanted, (F.col("url") == F.col("b_url")) & (F.col("attempt") == F.col("b_attempt"))).select("b_url", "b_attempt", "headers", "body")
+        bodies = got if bodies is None else bodies.unionByName(got)
+    bodies = bodies.groupBy("b_url", "b_attempt").agg(F.first(F.struct("headers", "body")).alias("r"))
+    joined = done.join(bodies, (done["url"] == bodies["b_url"]) & (done["r_attempt"] == bodies["b_attempt"]), "left")
+    full = joined.select(*keep, "url", "status", "redirect_chain", F.coalesce(F.col("r.headers"), F.create_map().cast("map<string,string>")).alias("headers"), F.col("r.body").alias("body"), "error")
+    return full.withColumn("html", decode_html("body", F.try_element_at("headers", F.lit("content-type")))).drop("body")
