@@ -103,12 +103,14 @@ ERRORS = (
 )
 FILLERS = (
     r"lorem ipsum\b.*",
+    r"(?:this is )?(?:a )?(?:sample|dummy|placeholder|filler) (?:text|content)\b.*",
     r"(\w+) (?:\1,? ?){2,}",
 )
 
 _LABELS = [(name, tuple(re.compile(rf"(?:{p})\W*$", re.S) for p in pats)) for name, pats in (("note", NOTES), ("filler", FILLERS), ("script", SCRIPTS), ("error", ERRORS))]
 #: Keyboard noise makes a sentence of its own, which is filler.
-_NOISE = re.compile(r"((?:(?<!\w)(?:asdf|qwerty|jkl|xxx+)(?!\w)[ ,]*){2,})")
+NOISE = ("asdf", "qwerty", "jkl", "xxx")
+_NOISE = re.compile(rf"((?:(?<!\w)(?:{'|'.join(NOISE)}+)(?!\w)[ ,]*){{2,}})")
 #: Seeds are short: longer sentences talk about such things. Learned messages may have any length.
 LONGEST = 16
 
@@ -192,14 +194,14 @@ def trusted_label(text: str) -> str | None:
 
 
 @lru_cache(maxsize=100_000)
-def unit(text: str) -> tuple[int, str | None, int]:
-    """(id, trusted label, words that count as real) of a normalised sentence."""
-    words = sum(any(c.isalpha() for c in w) for w in text.split())
+def unit(text: str) -> tuple[int, str | None, int, int]:
+    """(id, trusted label, words that count as real, words) of a normalised sentence; two characters stand for a word where no spaces do."""
+    words, size = sum(any(c.isalpha() for c in w) for w in text.split()), text.count(" ") + 1
     if any("\u3040" <= c <= "\u9fff" or "\uac00" <= c <= "\ud7af" for c in text):
-        words = REAL_WORDS if len(text) >= REAL_CHARS else 0
+        words, size = REAL_WORDS if len(text) >= REAL_CHARS else 0, max(size, len(text) // 2)
     elif len(text) >= LONG_CHARS:
         words = max(words, REAL_WORDS)
-    return _id(text), trusted_label(text), words if words >= REAL_WORDS else 0
+    return _id(text), trusted_label(text), words if words >= REAL_WORDS else 0, size
 
 
 def _id(text: str) -> int:
@@ -218,7 +220,7 @@ def units(page: str | None) -> list[tuple[str, str]]:
                 out.append(("token", text))
         for s in _SENTENCE.split(text):
             if s and (n := normal(s)):
-                out += [(role, t) for p in _NOISE.split(n) if (t := p.strip())] if _NOISE.search(n) else [(role, n)]
+                out += [(role, t) for p in _NOISE.split(n) if (t := p.strip())] if any(w in n for w in NOISE) and _NOISE.search(n) else [(role, n)]
     return out
 
 
@@ -298,12 +300,6 @@ MAIN, SAYS = ROLES["noscript"] | ROLES["head"] | ROLES["body"], ROLES["noscript"
 UNIT_SCHEMA = "page_id bigint, site string, roles int, unit bigint, words int, size int, page_units int, page_size int, page_real int, text string, label string"
 
 
-def _size(text: str) -> int:
-    """Words of a sentence; two characters stand for one in scripts without spaces."""
-    n = len(text.split())
-    return max(n, len(text) // 2) if any("\u3040" <= c <= "\u9fff" for c in text) else n
-
-
 def _cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """One row per capture and unit, with what the capture has of units and words in its main part."""
     sent: set[int] = set()
@@ -314,11 +310,11 @@ def _cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for role, text in units(page):
                 if role == "token":
                     text = f"token: {text}"  # a unit of its own beside a sentence of that text
-                key, label, n = (_id(text), "token", 0) if role == "token" else unit(text)
+                key, label, n, size = (_id(text), "token", 0, 0) if role == "token" else unit(text)
                 if key in held:
                     held[key][0] |= ROLES[role]
                 else:
-                    held[key] = [ROLES[role], n, 0 if role == "token" else _size(text), None if key in sent else text, label]
+                    held[key] = [ROLES[role], n, size, None if key in sent else text, label]
                     sent.add(key)
             main = [h for h in held.values() if h[0] & MAIN]
             whole = len(main), sum(h[2] for h in main), sum(h[1] for h in main if h[0] & ROLES["body"])
@@ -440,14 +436,14 @@ def _hint(df: DataFrame, rows: int) -> DataFrame:
     return F.broadcast(df) if rows <= BROADCAST_ROWS else df
 
 
-def _pairs(texts: DataFrame, front: DataFrame, n: int, by_print: bool) -> DataFrame:
-    """(unit, label) of the units similar to one of the ``n`` in ``front``; ids and fingerprints are sent, texts only fetched for close ones."""
+def _pairs(texts: DataFrame, known: DataFrame, front: DataFrame, n: int, by_print: bool) -> DataFrame:
+    """(unit, label) of the units not ``known`` yet that are similar to one of the ``n`` in ``front``; ids and fingerprints are sent, texts only fetched for close ones."""
     keyed, close, needs = (_by_print, _print_close(), ["print"]) if by_print else (_by_shingle, _shingle_close(), ["keys", "size"])
     probe = keyed(front.select(F.col("unit").alias("other"), "label", *needs))
     probe = probe.select("other", "label", "key", *[F.col(c).alias(f"near_{c}") for c in probe.columns if c not in ("other", "label", "key")])
     probe = _hint(probe, n * TABLES) if by_print else broadcast_if_small(probe)
-    tables = keyed(texts.select("unit", *needs))
-    met, m = _kept(tables.join(probe, (tables["key"] == probe["key"]) & close & (F.col("unit") != F.col("other"))).select("unit", "other", "label").distinct(), "pairs")
+    tables = keyed(texts.select("unit", *needs).join(known, "unit", "left_anti"))
+    met, m = _kept(tables.join(probe, (tables["key"] == probe["key"]) & close).select("unit", "other", "label").distinct(), "pairs")
     with_text = _hint(met, m).join(texts.select("unit", "text"), "unit").join(_hint(front.select(F.col("unit").alias("other"), F.col("text").alias("near")), n), "other")
     return with_text.select("unit", "label", "text", "near").mapInArrow(_similar, "unit bigint, label string").groupBy("unit").agg(F.min("label").alias("label"))
 
@@ -459,7 +455,7 @@ def _spread(texts: DataFrame, known: DataFrame, front: DataFrame, rounds: int) -
         reached, edge, n = front, front, front.count()
         for k in range(rounds + 1):
             source = _hint(edge.select("unit", "label"), n).join(texts.select("unit", "text", *needs), "unit")
-            fresh, n = _kept(_pairs(texts, source, n, by_print).join(broadcast_if_small(known.select("unit")), "unit", "left_anti"), "spread")
+            fresh, n = _kept(_pairs(texts, broadcast_if_small(known.select("unit")), source, n, by_print), "spread")
             if not n:
                 break
             if k == rounds:
@@ -486,6 +482,8 @@ def spread_labels(texts: DataFrame, rounds: int = 12) -> DataFrame:
 #: A capture says no more than its message if so few words of its main part are not of it, or so large a share
 #: of its units is; a unit belongs to messages if it stands in them at least so often.
 FEW_WORDS, SHARE_OF_PAGE, SHARE_OF_UNIT = 25, 0.3, 0.5
+#: The same share where two units at least are filler, which comes in many sentences.
+SHARE_OF_FILLER = 0.2
 
 
 def learn(stands: DataFrame, totals: DataFrame, known: DataFrame) -> DataFrame:
@@ -497,8 +495,9 @@ def learn(stands: DataFrame, totals: DataFrame, known: DataFrame) -> DataFrame:
     """
     shown = stands.where(F.col("roles").bitwiseAND(MAIN) != 0)
     hit = shown.join(broadcast_if_small(known), "unit").where("label in ('error', 'script', 'filler')")
-    hit = hit.groupBy("page_id").agg(F.count("*").alias("n"), F.sum("size").alias("s"), F.min("label").alias("label"), F.max("page_units").alias("pu"), F.max("page_size").alias("ps"))
-    says, n = _kept(hit.where((F.col("ps") - F.col("s") <= FEW_WORDS) | (F.col("n") >= F.lit(SHARE_OF_PAGE) * F.col("pu"))).select("page_id", "label"), "messages")
+    hit = hit.groupBy("page_id").agg(F.count("*").alias("n"), F.sum("size").alias("s"), F.min("label").alias("label"), F.max("page_units").alias("pu"), F.max("page_size").alias("ps"), F.count_if(F.col("label") == "filler").alias("f"))
+    filler = (F.col("f") >= 2) & (F.col("f") >= F.lit(SHARE_OF_FILLER) * F.col("pu"))
+    says, n = _kept(hit.where((F.col("ps") - F.col("s") <= FEW_WORDS) | (F.col("n") >= F.lit(SHARE_OF_PAGE) * F.col("pu")) | filler).select("page_id", "label"), "messages")
     met = shown.where(F.col("roles").bitwiseAND(SAYS) != 0).join(_hint(says, n), "page_id")
     met = met.groupBy("unit").agg(F.count("*").alias("n"), F.min("label").alias("label"), (F.min("site") != F.max("site")).alias("sites"))
     met = met.where("sites").join(known.select("unit"), "unit", "left_anti")
