@@ -43,6 +43,12 @@ def page_findings(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rules.exploded(rules.page_findings(facts(spark, sf_dir)), ["page_id"])
 
 
+def rule_messages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(page_id, check_id, message) of the rules whose messages need no parsed URL."""
+    found = rules.page_findings(facts(spark, sf_dir), ["title", "description", "headings", "social", "redirects", "scripted", "https"])
+    return rules.exploded(found, ["page_id"]).select("page_id", "check_id", "message")
+
+
 def title_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _rule_rows(spark, sf_dir, "title")
 
@@ -176,13 +182,18 @@ def score_bands(spark: SparkSession, sf_dir: str) -> DataFrame:
 # --- comparison and history ------------------------------------------------------------------
 
 
-def _jobs(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
-    """Pages (host, url, score) of the last job of each host and of the one before."""
+def _last_jobs(reports: DataFrame) -> DataFrame:
+    """(host, job_id, place) of the last two jobs of each host, the last first."""
     from pyspark.sql import Window
 
+    jobs = reports.where("host IS NOT NULL AND job_id IS NOT NULL").groupBy("host", "job_id").agg(F.max("reported_at").alias("at"))
+    return jobs.withColumn("place", F.row_number().over(Window.partitionBy("host").orderBy(F.desc("at"), F.desc("job_id")))).where("place <= 2").select("host", "job_id", "place")
+
+
+def _jobs(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    """Pages (host, url, score) of the last job of each host and of the one before."""
     r = _reports(spark, sf_dir).where("host IS NOT NULL AND job_id IS NOT NULL")
-    jobs = r.groupBy("host", "job_id").agg(F.max("reported_at").alias("at"))
-    ranked = jobs.withColumn("place", F.row_number().over(Window.partitionBy("host").orderBy(F.desc("at"), F.desc("job_id")))).where("place <= 2").select("host", "job_id", "place")
+    ranked = _last_jobs(r)
     rows = materialize(r.join(ranked, ["host", "job_id"]).select("host", "url", "score", "place", F.struct("reported_at", "report_id").alias("pos")), "jobs")
     side = lambda k: diff.last_entries(rows.where(F.col("place") == k), ["host", "url"], "pos", ["score"])
     return side(2), side(1)
@@ -197,11 +208,16 @@ def report_diff_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
     return diff.summary(report_diff(spark, sf_dir), ["host"])
 
 
-def category_deltas(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Change of each category's mean between the first and the second half of a host's reports by id."""
-    rows = _category_rows(spark, sf_dir).where("host IS NOT NULL")
-    even = F.pmod("report_id", F.lit(2)) == 0
-    return diff.category_deltas(rows.where(even), rows.where(~even), ["host"])
+def job_category_deltas(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Change of each category's mean from the last job but one of a host to its last."""
+    rows = _category_rows(spark, sf_dir).where("host IS NOT NULL AND job_id IS NOT NULL")
+    placed = materialize(rows.join(_last_jobs(_reports(spark, sf_dir)), ["host", "job_id"]).select("host", "category", "score", "place"), "categories")
+    return diff.category_deltas(placed.where("place = 2"), placed.where("place = 1"), ["host"])
+
+
+def report_diff_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The page comparison as a terminal shows it: short URL, signed delta."""
+    return report_diff(spark, sf_dir).select("host", diff.short(F.col("url")).alias("page"), "kind", diff.signed(F.col("delta")).alias("change"))
 
 
 def _history(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -304,6 +320,63 @@ def sitemap_locs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return body.select("host", F.posexplode(sitemap.read_sitemap(full)["locs"]).alias("pos", "loc"))
 
 
+def _lot(c: str):
+    """A number from 0 to 255 that decides how a recorded host or URL behaves."""
+    return F.conv(F.substring(F.md5(c), 1, 2), 16, 10).cast("int")
+
+
+def _hosts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return table(spark, sf_dir, "page").select("host").where("host IS NOT NULL").distinct().withColumn("d", _lot("host"))
+
+
+def robots_states(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Findings on each host's robots.txt where half of the hosts have none."""
+    parsed = _robots(spark, sf_dir).select("host", F.when(_lot("host") < 128, 404).otherwise(200).alias("status"), robots.parse_robots("body").alias("robots"))
+    return parsed.select("host", F.explode(robots.robots_findings(F.col("status"), F.col("robots"))).alias("f")).select("host", "f.check_id", "f.message")
+
+
+def sitemap_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Findings on each host's recorded sitemap: absent, malformed, with a dead URL, or sound."""
+    d, at = F.col("d"), lambda path: F.concat(F.lit("<url><loc>https://"), "host", F.lit(path + "</loc></url>"))
+    body = F.when(d < 100, F.lit("<urlset><url>")).otherwise(F.concat(F.lit("<urlset>"), at("/ok"), F.when(d < 190, at("/dead")).otherwise(F.lit("")), F.lit("</urlset>")))
+    site = _hosts(spark, sf_dir).select("host", F.when(d < 50, 404).otherwise(200).alias("status"), sitemap.read_sitemap(body).alias("sitemap"))
+    locs = site.select(F.explode("sitemap.locs").alias("url"))
+    dead = sitemap.unreachable_urls(site, locs.select("url", F.when(F.endswith("url", F.lit("/dead")), 404).otherwise(200).alias("status")))
+    found = site.join(dead, "host", "left").select("host", F.explode(sitemap.sitemap_findings(F.col("status"), F.col("sitemap"), F.col("unreachable"))).alias("f"))
+    return found.select("host", "f.check_id", "f.message")
+
+
+def redirect_loops(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What fetching /0 of each host gives where some hosts redirect in a circle or too often."""
+    hosts = _hosts(spark, sf_dir)
+    last = F.when(F.col("d") < 85, 1).when(F.col("d") < 170, 3).otherwise(12)
+    hop = hosts.withColumn("n", last).select("host", "d", "n", F.explode(F.sequence(F.lit(0), "n")).alias("i"))
+    at = lambda i: F.concat(F.lit("https://"), "host", F.lit("/"), i.cast("string"))
+    to = F.when(F.col("i") < F.col("n"), at(F.col("i") + 1)).when(F.col("d") < 85, at(F.lit(0)))
+    made = hop.select(F.lit("GET").alias("method"), at(F.col("i")).alias("url"), F.when(to.isNotNull(), 301).otherwise(200).alias("status"), to.alias("location"), F.create_map().cast("map<string,string>").alias("headers"), F.lit(None).cast("binary").alias("body"), F.lit(None).cast("string").alias("error"), F.lit(0).alias("attempt"))
+    got = recorded.fetch(hosts.select("host", at(F.lit(0)).alias("requested")), materialize(made, "loops"))
+    looped = F.col("error") == "RedirectLoop"
+    return got.select("host", F.size("redirect_chain").alias("n_hops"), "error", F.when(looped, rules.loop_finding(F.col("requested"), F.size("redirect_chain"))["message"]).alias("message"))
+
+
+def retried_responses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The answer that counts for each page URL where some servers answer 429 or 503 first, and the wait before a next try."""
+    pages = table(spark, sf_dir, "page").select("url").where("url IS NOT NULL").distinct().withColumn("d", _lot("url"))
+    tries = pages.select("url", "d", F.explode(F.sequence(F.lit(0), F.when(F.col("d") < 85, 1).when(F.col("d") < 170, 3).otherwise(0))).alias("attempt"))
+    status = F.when(F.col("d") < 85, F.when(F.col("attempt") == 0, 429).otherwise(200)).when(F.col("d") < 170, 503).otherwise(200)
+    made = tries.select(F.lit("GET").alias("method"), "url", status.alias("status"), F.lit(None).cast("string").alias("error"), "attempt", F.when(F.col("d") < 40, "7").alias("retry_after"))
+    return recorded.final_attempts(made).select("url", "status", "attempt", recorded.retry_wait(F.col("retry_after"), F.col("attempt")).alias("wait"))
+
+
+def decoded_bodies(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Bodies in two charsets, named by the header or by the body itself, decoded again."""
+    d, text = _lot("url"), F.concat(F.lit("naïve "), "url")
+    meta = F.concat(F.lit('<meta charset="iso-8859-1">'), text)
+    body = F.when(d < 85, F.encode(text, "ISO-8859-1")).when(d < 170, F.encode(meta, "ISO-8859-1")).otherwise(F.encode(text, "UTF-8"))
+    label = F.when(d < 85, "text/html; charset=ISO-8859-1").when(d < 170, "text/html").otherwise("text/html; charset=unheard-of")
+    return table(spark, sf_dir, "page").where(F.rlike("url", F.lit("^[ -~]*$"))).select("page_id", recorded.decode_html(body, label).alias("text"))
+
+
 def charset_labels(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Charset that each capture's headers declare, in lower case."""
     label = F.lower(F.regexp_extract(F.coalesce(F.try_element_at("headers", F.lit("content-type")), F.lit("")), r"(?i)charset=\s*[\"']?([^\s;\"']+)", 1))
@@ -326,7 +399,8 @@ def fetched_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.when(last, F.encode(F.coalesce("html", F.lit("")), "UTF-8")).alias("body"),
         F.lit(None).cast("string").alias("error"),
         F.lit(0).alias("attempt"),
-    ).dropDuplicates(["url"])
+    )
+    made = made.groupBy("method", "url").agg(F.min_by(F.struct(*[c for c in made.columns if c not in ("method", "url")]), F.struct("status", "location")).alias("r")).select("method", "url", "r.*")
     got = recorded.fetch(seeds.select("requested").distinct(), made)
     return got.select("requested", "url", "status", F.size("redirect_chain").alias("n_hops"), F.length("html").alias("n_chars"), "error")
 
@@ -370,11 +444,11 @@ def grant_times(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {
     f.__name__: f
     for f in (
-        audited_pages, page_facts, page_findings, title_rules, description_rules, heading_rules, social_rules, image_rules, https_rules, redirect_rules, canonical_rules, scripted_rules, audit_report_json,
+        audited_pages, page_facts, page_findings, rule_messages, title_rules, description_rules, heading_rules, social_rules, image_rules, https_rules, redirect_rules, canonical_rules, scripted_rules, audit_report_json,
         page_links, top_linked, probe_classes, url_normal_forms, same_host_urls,
         category_scores, page_scores, site_scores, category_means, severity_counts, score_bands,
-        report_diff, report_diff_summary, category_deltas, history_topk, score_regressions, history_chart,
-        crawl_bfs, crawl_max_pages, redirect_targets, robots_rules, robots_decisions, robots_findings, crawl_delay_by_host, sitemap_locs, charset_labels, fetched_pages, full_audit,
+        report_diff, report_diff_summary, report_diff_lines, job_category_deltas, history_topk, score_regressions, history_chart,
+        crawl_bfs, crawl_max_pages, redirect_targets, robots_rules, robots_decisions, robots_findings, crawl_delay_by_host, robots_states, sitemap_locs, sitemap_rules, redirect_loops, retried_responses, decoded_bodies, charset_labels, fetched_pages, full_audit,
         progress_stream, rate_limit_windows, grant_times,
     )
 }

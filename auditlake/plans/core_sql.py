@@ -130,8 +130,33 @@ SELECT page_id, CASE WHEN regexp_matches(host, '^https?://.') THEN host || CASE
     "score_bands": f"SELECT CASE WHEN score >= 90 THEN 'good' WHEN score >= 70 THEN 'fair' ELSE 'poor' END AS band, count(*) AS n FROM ({_REPORTS}) WHERE score IS NOT NULL GROUP BY 1",
     "report_diff": f"WITH {_JOBS} SELECT * FROM d",
     "report_diff_summary": f"WITH {_JOBS} SELECT host, count(*) FILTER (WHERE kind = 'Changed' AND delta < 0) AS regressions, count(*) FILTER (WHERE kind = 'Changed' AND delta >= 0) AS improvements, count(*) FILTER (WHERE kind = 'Unchanged') AS unchanged, count(*) FILTER (WHERE kind = 'Added') AS added, count(*) FILTER (WHERE kind = 'Removed') AS removed FROM d GROUP BY host",
-    "category_deltas": f"""WITH {_CATEGORY_ROWS}, g AS (SELECT host, category, report_id % 2 AS side, sum(score) // count(score) AS m FROM cr WHERE host IS NOT NULL AND score IS NOT NULL GROUP BY host, category, side)
-SELECT host, category, CAST(coalesce(max(m) FILTER (WHERE side = 1), 0) - coalesce(max(m) FILTER (WHERE side = 0), 0) AS INT) AS delta FROM g GROUP BY host, category""",
+    "job_category_deltas": f"""WITH {_JOBS}, cr AS (SELECT host, job_id, unnest(map_keys(c)) AS category, unnest(map_values(c)) AS score FROM (SELECT any_value(host) AS host, any_value(job_id) AS job_id, any_value(category_scores) AS c FROM page_report GROUP BY report_id)),
+g AS (SELECT cr.host, category, place, sum(cr.score) // count(cr.score) AS m FROM cr JOIN k ON k.host = cr.host AND k.job_id = cr.job_id AND k.place <= 2 WHERE cr.score IS NOT NULL GROUP BY cr.host, category, place)
+SELECT host, category, CAST(coalesce(max(m) FILTER (WHERE place = 1), 0) - coalesce(max(m) FILTER (WHERE place = 2), 0) AS INT) AS delta FROM g GROUP BY host, category""",
+    "report_diff_lines": f"WITH {_JOBS} SELECT host, CASE WHEN length(url) > 60 THEN left(url, 60) || '…' ELSE url END AS page, kind, CASE WHEN delta > 0 THEN '+' ELSE '' END || delta AS change FROM d",
+    "rule_messages": f"WITH {_H}, {', '.join(_RULES[k] for k in ('title', 'description', 'headings', 'social', 'redirects', 'scripted', 'https'))}, em AS (SELECT page_id, unnest(regexp_extract_all(b, '(?is)<h([1-6])[^>]*>\\s*</h[1-6]\\s*>', 1)) AS l FROM h), " + """m AS (
+ SELECT page_id, 'title.missing' AS check_id, 'Page has no <title> tag' AS message FROM tt WHERE NOT has UNION ALL SELECT page_id, 'title.empty', 'Title tag is empty' FROM tt WHERE has AND n = 0
+ UNION ALL SELECT page_id, 'title.short', 'Title is ' || n || ' chars (min 30)' FROM tt WHERE has AND n BETWEEN 1 AND 29 UNION ALL SELECT page_id, 'title.long', 'Title is ' || n || ' chars (max 60)' FROM tt WHERE has AND n > 60
+ UNION ALL SELECT page_id, 'description.missing', 'Page has no meta description' FROM dd WHERE NOT has UNION ALL SELECT page_id, 'description.empty', 'Meta description is empty' FROM dd WHERE has AND n = 0
+ UNION ALL SELECT page_id, 'description.short', 'Meta description is ' || n || ' chars (min 50)' FROM dd WHERE has AND n BETWEEN 1 AND 49 UNION ALL SELECT page_id, 'description.long', 'Meta description is ' || n || ' chars (max 160)' FROM dd WHERE has AND n > 160
+ UNION ALL SELECT page_id, 'headings.no-h1', 'Page has no <h1>' FROM hh WHERE ones = 0 UNION ALL SELECT page_id, 'headings.multiple-h1', 'Page has ' || ones || ' <h1> elements; expected exactly 1' FROM hh WHERE ones > 1
+ UNION ALL SELECT page_id, 'headings.empty', '<h' || l || '> is empty' FROM em UNION ALL SELECT page_id, 'headings.skipped-level', 'Heading level skipped: h' || p || ' → h' || l FROM lp WHERE l - p > 1
+ UNION ALL SELECT page_id, check_id, CASE WHEN check_id = 'twitter.card.missing' THEN 'Missing or empty meta tag: twitter:card' ELSE 'Missing or empty OpenGraph tag: ' || replace(replace(check_id, '.missing', ''), '.', ':') END FROM social_f
+ UNION ALL SELECT page_id, 'redirects.chain-excessive', 'Redirect chain is ' || len(redirect_chain) || ' hops (max 5); excessive redirects hurt crawlability' FROM h WHERE len(redirect_chain) > 5
+ UNION ALL SELECT page_id, 'redirects.chain-long', 'Redirect chain is ' || len(redirect_chain) || ' hops (recommended max 3)' FROM h WHERE len(redirect_chain) BETWEEN 4 AND 5
+ UNION ALL SELECT page_id, check_id, 'page appears to require JS rendering — results may be incomplete' FROM scripted_f
+ UNION ALL SELECT page_id, 'https.insecure', 'Page served over ' || regexp_extract(url, '^([a-z]+):', 1) || '; HTTPS required' FROM h WHERE url NOT LIKE 'https://%'
+ UNION ALL SELECT page_id, 'https.mixed-content', 'Mixed content: http resource on https page — ' || r FROM rs WHERE url LIKE 'https://%' AND starts_with(r, 'http://')) SELECT * FROM m""",
+    "robots_states": f"""WITH {_ROBOTS}, x AS (SELECT * FROM (VALUES (1, 'robots.no-sitemap'), (2, 'robots.disallow-all'), (2, 'robots.no-sitemap'), (3, 'robots.disallow-all'), (9, 'robots.missing')) AS v(which, check_id)), st AS (SELECT host, CASE WHEN CAST('0x' || substr(md5(host), 1, 2) AS INT) < 128 THEN 9 ELSE which END AS which FROM ro)
+SELECT host, check_id, CASE check_id WHEN 'robots.missing' THEN 'robots.txt not found or inaccessible' WHEN 'robots.disallow-all' THEN 'robots.txt disallows all crawlers (Disallow: / for User-agent: *)' ELSE 'robots.txt does not contain a Sitemap: directive' END AS message FROM st JOIN x ON x.which = st.which""",
+    "sitemap_rules": """WITH s AS (SELECT DISTINCT host, CAST('0x' || substr(md5(host), 1, 2) AS INT) AS d FROM page WHERE host IS NOT NULL)
+SELECT host, CASE WHEN d < 50 THEN 'sitemap.missing' WHEN d < 100 THEN 'sitemap.malformed' ELSE 'sitemap.url-unreachable' END AS check_id,
+ CASE WHEN d < 50 THEN 'sitemap.xml not found or inaccessible' WHEN d < 100 THEN 'sitemap.xml is present but could not be parsed as valid XML' ELSE 'Sitemap URL https://' || host || '/dead unreachable (status 404)' END AS message FROM s WHERE d < 190""",
+    "redirect_loops": """WITH s AS (SELECT DISTINCT host, CAST('0x' || substr(md5(host), 1, 2) AS INT) AS d FROM page WHERE host IS NOT NULL), n AS (SELECT host, d, CASE WHEN d < 85 THEN 2 WHEN d < 170 THEN 3 ELSE 11 END AS n_hops FROM s)
+SELECT host, CAST(n_hops AS INT) AS n_hops, CASE WHEN d < 85 OR d >= 170 THEN 'RedirectLoop' END AS error, CASE WHEN d < 85 OR d >= 170 THEN 'Redirect loop detected at https://' || host || '/0 after ' || n_hops || ' hops' END AS message FROM n""",
+    "retried_responses": """WITH s AS (SELECT DISTINCT url, CAST('0x' || substr(md5(url), 1, 2) AS INT) AS d FROM page WHERE url IS NOT NULL), a AS (SELECT url, d, CAST(CASE WHEN d < 85 THEN 1 WHEN d < 170 THEN 3 ELSE 0 END AS INT) AS attempt FROM s)
+SELECT url, CAST(CASE WHEN d BETWEEN 85 AND 169 THEN 503 ELSE 200 END AS INT) AS status, attempt, CAST(CASE WHEN d < 40 THEN 7 ELSE pow(2, attempt) END AS BIGINT) AS wait FROM a""",
+    "decoded_bodies": """SELECT page_id, CASE WHEN CAST('0x' || substr(md5(url), 1, 2) AS INT) BETWEEN 85 AND 169 THEN '<meta charset="iso-8859-1">' ELSE '' END || 'naïve ' || url AS text FROM page WHERE regexp_full_match(url, '[ -~]*')""",
     "history_topk": f"WITH {_HISTORY}, w AS (SELECT *, row_number() OVER (PARTITION BY host ORDER BY crawled_at DESC, id DESC) AS place FROM hr WHERE host IS NOT NULL) SELECT host, id, site_score, place FROM w WHERE place <= 3",
     "score_regressions": f"""WITH {_HISTORY}, w AS (SELECT host, site_score, row_number() OVER (PARTITION BY host ORDER BY crawled_at DESC, id DESC) AS place FROM hr WHERE host IS NOT NULL AND site_score IS NOT NULL),
 t AS (SELECT host, max(site_score) FILTER (WHERE place = 1) AS newest_score, max(site_score) FILTER (WHERE place = 2) AS previous_score FROM w GROUP BY host)

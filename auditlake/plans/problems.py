@@ -34,6 +34,11 @@ def p4_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return flatten_reports(_runs(spark, sf_dir))["runs"]
 
 
+def p4_readable(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(run_id, readable, n_pages) of every run."""
+    return p4_runs(spark, sf_dir).select("run_id", "readable", "n_pages")
+
+
 def p4_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
     return flat_table(_decoded(spark, sf_dir), "pages")
 
@@ -118,7 +123,7 @@ def p6_changes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return c.select(F.col("before_id").alias("before_run_id"), F.col("after_id").alias("after_run_id"), "url", "change_kind", "before_score", "after_score")
 
 
-QUERIES = {f.__name__: f for f in (p4_found, p4_runs, p4_pages, p4_findings, p4_scores, p5_found, p5_hosts, p5_urls, p5_score_gaps, p6_found, p6_changes)}
+QUERIES = {f.__name__: f for f in (p4_found, p4_runs, p4_readable, p4_pages, p4_findings, p4_scores, p5_found, p5_hosts, p5_urls, p5_score_gaps, p6_found, p6_changes)}
 
 _RUNS = "SELECT DISTINCT id, nullif(lower(trim(host, chr(9) || chr(10) || chr(13) || ' ')), '') AS host, site_score, crawled_at FROM audit_runs"
 _REPORTS = "SELECT DISTINCT report_id AS id, url, score, reported_at FROM page_report"
@@ -158,6 +163,11 @@ SQL = {
     "p4_found": f"WITH {_READ}, {_LIST} SELECT run_id, page_no, 'page' AS kind, '' AS item FROM o UNION ALL SELECT run_id, page_no, 'finding', CAST(finding_no AS VARCHAR) FROM fi WHERE json_type(f) = 'OBJECT' UNION ALL SELECT run_id, page_no, 'score', unnest(k) FROM s",
     "p4_pages": f"WITH {_READ} SELECT run_id, page_no, json_extract_string(pg, '$.url') AS url, CAST(json_extract_string(pg, '$.score') AS INT) AS score FROM o",
     "p4_findings": f"WITH {_READ}, {_LIST} SELECT run_id, page_no, finding_no, json_extract_string(f, '$.check_id') AS check_id, json_extract_string(f, '$.category') AS category, json_extract_string(f, '$.severity') AS severity, json_extract_string(f, '$.message') AS message, CAST(json_extract_string(f, '$.penalty') AS INT) AS penalty FROM fi WHERE json_type(f) = 'OBJECT'",
+    "p4_readable": f"WITH {_READ} SELECT a.id AS run_id, g.run_id IS NOT NULL AS readable, CAST(coalesce(json_array_length(g.pages), 0) AS INT) AS n_pages FROM (SELECT DISTINCT id FROM audit_runs WHERE id IS NOT NULL) a LEFT JOIN g ON g.run_id = a.id",
+    "p4_scores": f"""WITH {_READ}, sk AS (SELECT run_id, page_no, pg, unnest(json_keys(pg, '$.category_scores')) AS category FROM o WHERE json_type(pg, '$.category_scores') = 'OBJECT'),
+sl AS (SELECT run_id, page_no, unnest(json_extract(pg, '$.category_scores[*]')) AS e FROM o WHERE json_type(pg, '$.category_scores') = 'ARRAY'),
+v AS (SELECT run_id, page_no, category, json_extract_string(pg, '$.category_scores."' || category || '"') AS t FROM sk UNION ALL SELECT run_id, page_no, json_extract_string(e, '$.category'), json_extract_string(e, '$.score') FROM sl)
+SELECT run_id, page_no, category, CAST(round(TRY_CAST(t AS DOUBLE)) AS INT) AS score FROM v WHERE category IS NOT NULL AND t IS NOT NULL""",
     "p6_found": f"WITH {_READ}, {_STEPS} SELECT before_run_id, after_run_id, url, change_kind FROM c",
     "p6_changes": f"WITH {_READ}, {_STEPS} SELECT * FROM c",
     "p5_found": f"""WITH h AS ({_RUNS}), u AS ({_REPORTS})
