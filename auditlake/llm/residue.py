@@ -128,7 +128,8 @@ _INLINE = frozenset("a abbr b bdi bdo big cite del dfn em font i img ins label m
 _ASIDE = frozenset("nav footer header aside button select option form".split())
 _NAV_LIST = re.compile(r"<ul\b[^>]*\b(?:class|id|role)\s*=\s*[\"'][^\"']*\b(?:nav|navigation|menu|breadcrumbs?)\b", re.I)
 _SENTENCE = re.compile(r"(?<=[.!?…])[\"'”’»)]*\s+(?=\S)|(?<=[。！？])")
-_SPACE = re.compile(r"\s+")
+_ALPHA_WORD = re.compile(r"\S*[^\W\d_]\S*")
+_UNSPACED = re.compile(r"[\u3040-\u9fff\uac00-\ud7af]")
 _DIGITS = re.compile(r"\d+")
 
 
@@ -177,7 +178,7 @@ def blocks(page: str) -> list[tuple[str, str]]:
 
 def normal(sentence: str) -> str:
     """Lower case, digits as one 0, single spaces."""
-    return _DIGITS.sub("0", _SPACE.sub(" ", sentence)).strip().casefold()
+    return _DIGITS.sub("0", " ".join(sentence.split())).casefold()
 
 
 def trusted_label(text: str) -> str | None:
@@ -193,11 +194,11 @@ def trusted_label(text: str) -> str | None:
     return None
 
 
-@lru_cache(maxsize=100_000)
+@lru_cache(maxsize=300_000)
 def unit(text: str) -> tuple[int, str | None, int, int]:
     """(id, trusted label, words that count as real, words) of a normalised sentence; two characters stand for a word where no spaces do."""
-    words, size = sum(any(c.isalpha() for c in w) for w in text.split()), text.count(" ") + 1
-    if any("\u3040" <= c <= "\u9fff" or "\uac00" <= c <= "\ud7af" for c in text):
+    words, size = len(_ALPHA_WORD.findall(text)), text.count(" ") + 1
+    if _UNSPACED.search(text):
         words, size = REAL_WORDS if len(text) >= REAL_CHARS else 0, max(size, len(text) // 2)
     elif len(text) >= LONG_CHARS:
         words = max(words, REAL_WORDS)
@@ -220,7 +221,7 @@ def units(page: str | None) -> list[tuple[str, str]]:
                 out.append(("token", text))
         for s in _SENTENCE.split(text):
             if s and (n := normal(s)):
-                out += [(role, t) for p in _NOISE.split(n) if (t := p.strip())] if any(w in n for w in NOISE) and _NOISE.search(n) else [(role, n)]
+                out += [(role, t) for p in _NOISE.split(n) if (t := p.strip())] if (NOISE[0] in n or NOISE[1] in n or NOISE[2] in n or NOISE[3] in n) and _NOISE.search(n) else [(role, n)]
     return out
 
 
