@@ -13,7 +13,8 @@ def crawl(seeds: DataFrame, edges: DataFrame, max_depth: int, max_pages: int | N
 
     ``seeds``: job_id, url. ``edges``: src, dst, pos (place of the link on its page). A URL counts once per
     job, at its least depth. With ``max_pages`` each job keeps the first so many in the order (depth,
-    place of the parent, place of the link); a root always counts, even for 0. The seen set is an
+    place of the parent, place of the link); a root always counts, even for 0; without it the place is null
+    from depth 1 on. The seen set is an
     anti join; each level is written out, so a lost executor costs no more than one level. Nulls reach
     nothing.
     """
@@ -25,11 +26,12 @@ def crawl(seeds: DataFrame, edges: DataFrame, max_depth: int, max_pages: int | N
     for depth in range(1, max_depth + 1):
         reached = level.join(links, level["url"] == links["src"]).select("job_id", F.col("dst").alias("url"), F.col("place").alias("parent"), "pos")
         fresh = reached.groupBy("job_id", "url").agg(F.min(F.struct("parent", "pos")).alias("first")).join(seen.select("job_id", "url"), ["job_id", "url"], "left_anti")
-        counts = seen.groupBy("job_id").agg(F.max("place").alias("used"))
-        ranked = fresh.withColumn("rank", F.row_number().over(Window.partitionBy("job_id").orderBy("first.parent", "first.pos", "url"))).join(counts, "job_id")
-        new = ranked.select("job_id", "url", F.lit(depth).alias("depth"), (F.col("used") + F.col("rank")).alias("place"))
-        if max_pages is not None:
-            new = new.where(F.col("place") <= max_pages)
+        if max_pages is None:  # the order decides nothing then
+            new = fresh.select("job_id", "url", F.lit(depth).alias("depth"), F.lit(None).cast("bigint").alias("place"))
+        else:  # each task keeps a job's first rows before the shuffle, as no more can count
+            counts = seen.groupBy("job_id").agg(F.max("place").alias("used"))
+            ranked = fresh.withColumn("rank", F.row_number().over(Window.partitionBy("job_id").orderBy("first.parent", "first.pos", "url"))).where(F.col("rank") <= max(1, max_pages)).join(counts, "job_id")
+            new = ranked.select("job_id", "url", F.lit(depth).alias("depth"), (F.col("used") + F.col("rank")).alias("place")).where(F.col("place") <= max_pages)
         level = materialize(new, "level")
         if level.isEmpty():
             break

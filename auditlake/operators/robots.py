@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from auditlake.operators.rules import CRITICAL, INFO, WARNING, finding, first_of, none
+from auditlake.session import broadcast_if_small
 
 _RULE = T.ArrayType(T.StructType([T.StructField("ua", T.StringType()), T.StructField("kind", T.StringType()), T.StructField("prefix", T.StringType())]))
 _DELAY = T.ArrayType(T.StructType([T.StructField("ua", T.StringType()), T.StructField("secs", T.DoubleType())]))
@@ -90,7 +91,7 @@ def decisions(paths: DataFrame, rules: DataFrame, user_agent: str, key: str = "h
     scope = named.groupBy(key).agg(F.max("own").alias("has_own"))
     used = named.join(scope, key).where(F.col("own") == F.col("has_own")).select(key, "kind", "prefix").distinct()
     distinct = paths.select(key, path).distinct()
-    hit = distinct.join(used, key, "left").where(F.col("prefix").isNull() | F.startswith(F.col(path), F.col("prefix")))
+    hit = distinct.join(broadcast_if_small(used), key, "left").where(F.col("prefix").isNull() | F.startswith(F.col(path), F.col("prefix")))
     best = hit.groupBy(key, path).agg(F.max(F.when(F.col("kind") == "allow", F.octet_length("prefix"))).alias("a"), F.max(F.when(F.col("kind") == "disallow", F.octet_length("prefix"))).alias("d"))
     verdict = best.select(key, path, (F.col("d").isNull() | (F.coalesce("a", F.lit(-1)) >= F.col("d"))).alias("verdict"))
     return paths.join(verdict, [key, path], "left").withColumn("allowed", F.coalesce("verdict", F.lit(True))).drop("verdict")

@@ -145,13 +145,13 @@ def audit(seeds: DataFrame, responses, config: Config | None = None, on_pages: C
                 break
         if depth == config.depth or late() or children is None:
             break
-        level, seen = _next_level(children, seen, depth + 1, config.max_pages)
+        level, seen = _next_level(children, seen, depth + 1, config.max_pages, on_pages is not None)
         if level.isEmpty():
             break
     return score.with_scores(out)
 
 
-def _next_level(children: DataFrame, seen: DataFrame, depth: int, max_pages: int | None) -> tuple[DataFrame, DataFrame]:
+def _next_level(children: DataFrame, seen: DataFrame, depth: int, max_pages: int | None, ordered: bool) -> tuple[DataFrame, DataFrame]:
     """New URLs in the order of (place of the parent, place of the link), within the page budget."""
     from pyspark.sql import Window
 
@@ -159,8 +159,14 @@ def _next_level(children: DataFrame, seen: DataFrame, depth: int, max_pages: int
     fresh = fresh.join(seen.select("job_id", "requested"), ["job_id", "requested"], "left_anti")
     used = seen.groupBy("job_id").agg(F.max("place").alias("used"))
     order = Window.partitionBy("job_id").orderBy("first.place", "first.pos", "requested")
-    new = fresh.withColumn("r", F.row_number().over(order)).join(used, "job_id").withColumn("place", F.col("used") + F.col("r"))
-    if max_pages is not None:
-        new = new.where(F.col("place") <= max_pages)
+    if max_pages is None and not ordered:
+        new = fresh.withColumn("place", F.lit(1).cast("bigint"))  # the order decides nothing then
+    else:
+        ranked = fresh.withColumn("r", F.row_number().over(order))
+        if max_pages is not None:  # each task keeps a job's first rows before the shuffle, as no more can count
+            ranked = ranked.where(F.col("r") <= max(1, max_pages))
+        new = ranked.join(used, "job_id").withColumn("place", F.col("used") + F.col("r"))
+        if max_pages is not None:
+            new = new.where(F.col("place") <= max_pages)
     level = materialize(new.select("job_id", "root", "requested", F.lit(depth).alias("depth"), "place"), "frontier")
     return level, seen.unionByName(level.select("job_id", "requested", "place"))

@@ -7,10 +7,12 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
+from auditlake.session import broadcast_if_small, materialize, parallelism
+
 #: Requests that a window admits, and its length in seconds.
 MOST, SECONDS = 5, 60
 
@@ -84,15 +86,30 @@ def grant_times(requests: DataFrame, host: str, at: str, rate: float, interval:
 
     With ``interval`` requests of a host are also that far apart at least. Times are in seconds. The bucket
     is full again at a time with the closed form (i + 1)/rate + max over j <= i of (t_j - j/rate), so both
-    limits are running maxima that Spark's window operator streams over each host's sorted rows.
+    limits are running maxima. Rows are range-partitioned by host and time, so a host that holds much of
+    them lies in pieces; each piece takes up what the earlier ones of its host come to.
     """
     rate = max(1.0, rate)
-    keys = [F.col(at)] + ([F.col(order)] if order else [])
-    w = Window.partitionBy(host).orderBy(*keys)
-    i = (F.row_number().over(w) - 1).cast("double")
-    df = requests.withColumn("__i", i)
-    running = Window.partitionBy(host).orderBy(*keys).rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    df = df.withColumn("__full", F.max(F.col(at) - F.col("__i") / rate).over(running) + (F.col("__i") + 1) / rate)
-    df = df.withColumn("__bucket", F.greatest(F.col(at), F.coalesce(F.lag("__full").over(w), F.col(at)) - (rate - 1) / rate))
-    spaced = F.max(F.col("__bucket") - F.col("__i") * interval).over(running) + F.col("__i") * interval
-    return df.withColumn("granted", spaced).drop("__i", "__full", "__bucket")
+    spark, keys = requests.sparkSession, [at] + ([order] if order else [])
+    laid = requests.repartitionByRange(parallelism(spark), host, *keys).sortWithinPartitions(host, *keys).withColumn("__part", F.spark_partition_id())
+    laid = materialize(laid, "requests")
+    rows = Window.partitionBy("__part", host).orderBy(*keys)
+    running = rows.rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    earlier = Window.partitionBy(host).orderBy("__part").rowsBetween(Window.unboundedPreceding, -1)
+
+    def carried(df: DataFrame, what: Column, name: str) -> DataFrame:
+        """Add what the earlier pieces of each host come to; a host has a piece in few partitions."""
+        pieces = df.groupBy(host, "__part").agg(what.alias("__w")).withColumn(name, (F.sum if name == "__before" else F.max)("__w").over(earlier)).drop("__w")
+        pieces = pieces.withColumnsRenamed({host: "__host", "__part": "__piece"})
+        return df.join(broadcast_if_small(materialize(pieces, "pieces")), F.col(host).eqNullSafe(F.col("__host")) & (F.col("__part") == F.col("__piece"))).drop("__host", "__piece")
+
+    df = carried(laid, F.count("*"), "__before")
+    df = df.withColumn("__i", F.coalesce("__before", F.lit(0)) + F.row_number().over(rows) - 1.0)
+    df = carried(df, F.max(F.col(at) - F.col("__i") / rate), "__late")
+    full = F.greatest(F.max(F.col(at) - F.col("__i") / rate).over(running), F.col("__late")) + (F.col("__i") + 1) / rate
+    df = df.withColumn("__full", full)
+    last = F.coalesce(F.lag("__full").over(rows), F.col("__late") + F.col("__i") / rate)
+    df = df.withColumn("__bucket", F.greatest(F.col(at), F.coalesce(last, F.col(at)) - (rate - 1) / rate))
+    df = carried(df, F.max(F.col("__bucket") - F.col("__i") * interval), "__later")
+    spaced = F.greatest(F.max(F.col("__bucket") - F.col("__i") * interval).over(running), F.col("__later")) + F.col("__i") * interval
+    return df.withColumn("granted", spaced).select(*requests.columns, "granted")

@@ -1,4 +1,8 @@
-"""Progress of jobs as a stream of events, and what late subscribers see."""
+"""Progress of jobs as a stream of events, and what late subscribers see.
+
+A slow subscriber loses nothing: the server keeps a job's events and sends on from where the subscriber
+is, and streaming queries hold their source back, so there is no lag to report.
+"""
 
 from __future__ import annotations
 
@@ -27,9 +31,14 @@ def page_done(reports: DataFrame) -> DataFrame:
     return reports.select(F.lit("PageDone").alias("type"), "job_id", "url", "score", F.lit(0).cast("bigint").alias("queue_depth"))
 
 
-def job_counts(reports: DataFrame, key: str = "report_id") -> DataFrame:
-    """Running (job_id, pages_done, mean_score); a repeated ``key`` counts once. Batch or stream."""
-    return reports.dropDuplicates([key]).groupBy("job_id").agg(F.count("*").alias("pages_done"), F.avg("score").alias("mean_score"))
+def job_counts(reports: DataFrame, key: str = "report_id", late: str | None = None, at: str = "received_at") -> DataFrame:
+    """Running (job_id, pages_done, mean_score); a repeated ``key`` counts once. Batch or stream.
+
+    An endless stream needs ``late``, such as "7 days": how far apart by ``at`` the copies of a row may come.
+    Keys older than that are forgotten; without it every key is kept, which suits a stream that ends.
+    """
+    once = reports.dropDuplicates([key]) if late is None else reports.withWatermark(at, late).dropDuplicatesWithinWatermark([key])
+    return once.groupBy("job_id").agg(F.count("*").alias("pages_done"), F.avg("score").alias("mean_score"))
 
 
 def run_to_table(stream: DataFrame, path: str, checkpoint: str, mode: str = "complete") -> None:

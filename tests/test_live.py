@@ -134,3 +134,34 @@ def test_command_line_takes_a_frontier_address_and_shows_progress(capsys):
     draw([1, 2], 5)
     draw([3], 5)
     assert t.text.split("\r")[-1].endswith("3/5")
+
+
+def test_a_hot_host_gets_the_bucket_s_times(spark):
+    import random
+
+    from auditlake.sources.http import TokenBucket
+    from auditlake.streaming.limits import grant_times
+
+    rng = random.Random(4)
+    rows = [(i, "hot" if rng.random() < 0.8 else f"h{i % 7}", round(rng.random() * 300, 3)) for i in range(1500)]
+    want = {}
+    for host in {h for _, h, _ in rows}:
+        now = [0.0]
+        bucket = TokenBucket(2, 0.7, clock=lambda now=now: now[0], sleep=lambda s: None)
+        for i, _, t in sorted((r for r in rows if r[1] == host), key=lambda r: (r[2], r[0])):
+            now[0] = t
+            want[i] = bucket.acquire()
+    df = spark.createDataFrame(rows, "i long, host string, t double")
+    got = {r.i: r.granted for r in grant_times(df, "host", "t", 2, 0.7, "i").collect()}
+    assert got.keys() == want.keys() and all(abs(got[i] - want[i]) < 1e-6 for i in want)
+
+
+def test_endless_streams_forget_old_keys(spark, tmp_path):
+    rows = [(1, "j", 50, "2024-01-01 00:00:00"), (1, "j", 50, "2024-01-01 00:10:00"), (2, "j", 70, "2024-01-01 00:20:00")]
+    df = spark.createDataFrame(rows, "report_id long, job_id string, score int, received_at string").selectExpr("report_id", "job_id", "score", "cast(received_at as timestamp) received_at")
+    df.write.parquet(str(tmp_path / "in"))
+    stream = progress.read_stream(spark, str(tmp_path / "in"), df)
+    counts = progress.job_counts(stream, late="1 hour")
+    progress.run_to_table(counts, str(tmp_path / "out"), str(tmp_path / "state"))
+    got = spark.read.parquet(progress.newest_version(spark, str(tmp_path / "out"))).collect()
+    assert [(r.job_id, r.pages_done, r.mean_score) for r in got] == [("j", 2, 60.0)]
