@@ -13,12 +13,12 @@ TERM_FIELDS = ["check_id", "severity", "category"]
 
 def p1_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     """(page_id): captures that show template leftovers, filler, an error message or a call for scripts."""
-    return residue.residue_pages(spread(table(spark, sf_dir, "page").select("page_id", "host", "html"))).select("page_id")
+    return residue.residue_pages(spread(table(spark, sf_dir, "page").select("page_id", "url", "html"))).select("page_id")
 
 
 def p1_kinds(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The same with the kinds of residue found."""
-    return residue.residue_pages(spread(table(spark, sf_dir, "page").select("page_id", "host", "html")))
+    return residue.residue_pages(spread(table(spark, sf_dir, "page").select("page_id", "url", "html")))
 
 
 def p2_found(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -491,7 +491,7 @@ def learn(stands: DataFrame, totals: DataFrame, known: DataFrame) -> DataFrame:
     """(unit, label) of further units which captures that are messages say, too.
 
     ``stands``: rows of ``UNIT_SCHEMA`` without texts; ``totals``: how many captures have a unit in their
-    body. A unit has to stand in such captures of two sites at least and, where it stands in a body, mostly
+    body. A unit has to stand in such captures of two URLs at least and, where it stands in a body, mostly
     in theirs. Units are joined to captures through labelled units only, so unlabelled ones stay out.
     """
     shown = stands.where(F.col("roles").bitwiseAND(MAIN) != 0)
@@ -511,7 +511,7 @@ def labelled(pages: DataFrame, rounds: int = 12) -> tuple[DataFrame, DataFrame]:
     Trusted labels spread over near-duplicates, then through captures to what else they say, and again
     until nothing new is found.
     """
-    site = F.col("host") if "host" in pages.columns else F.col("page_id").cast("string")
+    site = F.col("url") if "url" in pages.columns else F.col("page_id").cast("string")
     cut = materialize(pages.select("page_id", site.alias("site"), "html").mapInArrow(_cut, UNIT_SCHEMA), "units")
     texts = cut.where("text is not null").groupBy("unit").agg(F.min("text").alias("text"), F.min("label").alias("label"))
     texts = materialize(texts, "texts")
@@ -537,11 +537,11 @@ def labelled(pages: DataFrame, rounds: int = 12) -> tuple[DataFrame, DataFrame]:
 
 
 def residue_pages(pages: DataFrame) -> DataFrame:
-    """(page_id, kinds): captures (page_id, html and, if there is one, host) with residue, and its sorted kinds.
+    """(page_id, kinds): captures (page_id, html and, if there is one, url) with residue, and its sorted kinds.
 
     A placeholder token or a note to the author counts in the title, the description or visible text, even
     beside real content. Filler, an error message or a call for scripts counts where no real sentence
-    stands in the body. Null and empty html is no case; repeated captures are judged alike.
+    stands in the body, or no more than ``FEW_WORDS`` under a heading that is an error message. Null and empty html is no case; repeated captures are judged alike.
     """
     found, labels = labelled(pages)
     in_role = lambda mask: F.col("roles").bitwiseAND(mask) != 0
@@ -549,6 +549,9 @@ def residue_pages(pages: DataFrame) -> DataFrame:
         F.max(F.col("label").isin("token", "note") & in_role(127 - ROLES["noscript"])).alias("template"),
         F.max(F.col("label").isin("error", "script", "filler") & in_role(MAIN)).alias("message"),
         (F.max("page_real") - F.coalesce(F.sum(F.when(in_role(ROLES["body"]), F.col("words"))), F.lit(0))).alias("real"),
+        F.max((F.col("label") == "error") & in_role(ROLES["head"])).alias("headed"),
+        (F.max("page_size") - F.sum(F.when(in_role(MAIN), F.col("size")).otherwise(0))).alias("rest"),
         F.array_sort(F.collect_set("label")).alias("kinds"),
     )
-    return per_page.where(F.col("template") | (F.col("message") & (F.col("real") == 0))).select("page_id", "kinds")
+    alone = (F.col("real") == 0) | (F.col("headed") & (F.col("rest") <= FEW_WORDS))
+    return per_page.where(F.col("template") | (F.col("message") & alone)).select("page_id", "kinds")

@@ -70,14 +70,15 @@ def test_residue_cases(spark):
 
 
 def test_what_messages_say_is_learned_from_them(spark, monkeypatch):
-    says = ["The lift stopped between two floors.", "A person will look after it."]
-    rows = [(k, f"site{k % 3}", page("<h1>503 Service Unavailable</h1>" + "".join(f"<p>{x}</p>" for x in says))) for k in range(6)]
-    rows += [(10, "site9", page(f"<h1>Hm</h1><p>{says[0]}</p>")), (11, "site9", page(f"<h1>Hm</h1><p>{says[0].replace('two floors', 'the two upper floors')}</p>")), (12, "site8", page(REAL + f"<p>{says[1]}</p>")), (13, "site7", page(REAL))]
-    df = spark.createDataFrame(rows, "page_id long, host string, html string")
+    says = ["The lift stopped between two floors of the building and nobody can tell for how long it will stay there today.", "A person will look after it as soon as the others have been helped out of their own lifts next door."]
+    rows = [(k, f"https://site{k % 3}.example/", page("<h1>503 Service Unavailable</h1>" + "".join(f"<p>{x}</p>" for x in says))) for k in range(6)]
+    rows += [(10, "u10", page(f"<h1>Hm</h1><p>{says[0]}</p>")), (11, "u11", page(f"<h1>Hm</h1><p>{says[0].replace('nobody', 'no one')}</p>")), (12, "u12", page(REAL + f"<p>{says[1]}</p>")), (13, "u13", page(REAL))]
+    rows += [(14, "u14", page("<h1>404 Not Found</h1><p>The lamp is not here any more.</p>")), (15, "u15", page("<h1>404 Not Found</h1>" + REAL + REAL.replace("mill", "barn").replace("table", "room")))]
+    df = spark.createDataFrame(rows, "page_id long, url string, html string")
     found = lambda: {r.page_id for r in residue.residue_pages(df).collect()}
-    assert found() == {*range(6), 10}
+    assert found() == {*range(6), 10, 11, 14}
     monkeypatch.setattr(residue, "learn", lambda stands, totals, known: known.limit(0))
-    assert found() == set()  # without the spread the unknown sentences are real
+    assert found() == {14}  # without the spread the unknown sentences are real
 
 
 def test_long_placeholders_and_form_fields(spark):
